@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("pixel_queries",)
+AREAS = ("pixel_queries", "tone_queries", "point_queries", "scan_queries", "roll_queries")
 
 
 def load():

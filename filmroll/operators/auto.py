@@ -2,13 +2,14 @@
 takes the median of its frames' estimates, and frames that sit well away from it are named.
 
 At most `DENSITY_BINS` bins of equal population per frame are cut by luminance; equal luminances are
-taken in row-major order. The cut points come from exact order statistics, so no frame is ever sorted
-in one task.
+taken in row-major order. On large frames the cut points come from exact order statistics, so no large
+frame is ever sorted in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from filmroll.constants import (
@@ -17,8 +18,9 @@ from filmroll.constants import (
 from filmroll.functions.density import cast_cc, cast_pack, cast_word, density
 from filmroll.functions.pixel import RGB, saturation
 from filmroll.operators.pixels import FRAME, PLACE, valid_pixels
-from filmroll.operators.quantiles import channel_quantiles, exact_quantiles, order_statistics
-from filmroll.session import attach, materialize
+from filmroll.operators.quantiles import (
+    channel_quantiles, exact_quantiles, is_small, largest_group, order_statistics)
+from filmroll.session import attach, materialize, store
 
 ROW_WIDTH = 2.0 ** 26  # one number for (y, x) in row-major order
 
@@ -39,25 +41,29 @@ def _place(y: Column, x: Column) -> Column:
     return y.cast("double") * ROW_WIDTH + x.cast("double")
 
 
-def density_bins(pixels: DataFrame) -> DataFrame:
-    """Adds `bin`, the pixel's density bin within its frame. Expects valid pixels only."""
+def density_bins(pixels: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Adds `bin`, the pixel's density bin within its frame. Expects valid pixels only; `at_most` bounds
+    the pixels of a frame. Frames within a small measured bound are ranked directly."""
     lum = (F.col("r") + F.col("g") + F.col("b")) / 3.0
+    if is_small(pixels, largest_group(pixels, FRAME) if at_most is None else at_most):
+        return _ranked_bins(pixels, lum)
     rows = pixels.withColumns({"_lum": lum, "_place": _place(F.col("y"), F.col("x"))})
-    cuts = materialize(order_statistics(rows, FRAME, "_lum", _cut_ranks, ties=True), "cuts")
-    cuts = cuts.withColumn("skip", F.col("rank") - F.col("below"))
-    tied = cuts.where(F.col("skip") > 0)
+    cuts, facts = store(order_statistics(rows, FRAME, "_lum", _cut_ranks, ties=True), "cuts",
+                        tied=F.count_if(F.col("rank") > F.col("below")))
+    size = 2 * cuts.measured_bytes
     first_place = F.lit(-1.0)
-    if not tied.isEmpty():
+    if facts["tied"]:
         # a cut falls inside a run of equal luminances: find the pixel it falls on
-        runs = tied.select(*FRAME, F.col("rank").alias("cut"), "skip", F.col("value").alias("_lum"))
-        same = attach(rows.select(*FRAME, "_lum", "_place"), runs, [*FRAME, "_lum"], label="runs", salt=["_place"])
+        runs = cuts.where(F.col("rank") > F.col("below")).select(
+            *FRAME, F.col("rank").alias("cut"), (F.col("rank") - F.col("below")).alias("skip"), F.col("value").alias("_lum"))
+        same = attach(rows.select(*FRAME, "_lum", "_place"), runs, [*FRAME, "_lum"], salt=["_place"], size=size)
         at = order_statistics(same, [*FRAME, "cut", "skip"], "_place", lambda n: F.array("skip"))
         at = at.select(*FRAME, F.col("cut").alias("rank"), F.col("value").alias("place"))
-        cuts = cuts.join(at, [*FRAME, "rank"], "left")
+        cuts = materialize(cuts.join(at, [*FRAME, "rank"], "left"), "places")
         first_place = F.coalesce(F.col("place"), F.lit(-1.0))
     per_frame = cuts.groupBy(*FRAME).agg(
         F.array_sort(F.collect_list(F.struct(F.col("value").alias("v"), first_place.alias("p")))).alias("_cuts"))
-    joined = attach(rows, per_frame, FRAME, "left", "cuts", PLACE)
+    joined = attach(rows, per_frame, FRAME, "left", salt=PLACE, size=size)
 
     def passed(k: int) -> Column:
         cut = F.get("_cuts", F.lit(k))
@@ -68,9 +74,21 @@ def density_bins(pixels: DataFrame) -> DataFrame:
         "_lum", "_place", "_cuts")
 
 
-def bin_medians(binned: DataFrame) -> DataFrame:
+def _ranked_bins(pixels: DataFrame, lum: Column) -> DataFrame:
+    frame = W.partitionBy(*FRAME)
+    rows = pixels.withColumns({"_n": F.count(F.lit(1)).over(frame), "_lum": lum}).withColumn(
+        "_k", F.row_number().over(frame.orderBy("_lum", *PLACE)) - 1)
+    bins = _bin_count(F.col("_n"))
+    base, extra = F.floor(F.col("_n") / bins), F.col("_n") % bins
+    long_part = extra * (base + 1)
+    number = F.when(F.col("_k") < long_part, F.floor(F.col("_k") / (base + 1))).otherwise(
+        F.floor((F.col("_k") - extra) / base))
+    return rows.withColumn("bin", number.cast("int")).drop("_n", "_lum", "_k")
+
+
+def bin_medians(binned: DataFrame, at_most: int | None = None) -> DataFrame:
     """Per-channel median of every (frame, bin): `r_mid`, `g_mid`, `b_mid`."""
-    return channel_quantiles(binned, [*FRAME, "bin"], list(RGB), {"mid": 0.5})
+    return channel_quantiles(binned, [*FRAME, "bin"], list(RGB), {"mid": 0.5}, at_most)
 
 
 def local_saturation(binned: DataFrame, medians: DataFrame) -> DataFrame:
@@ -80,21 +98,23 @@ def local_saturation(binned: DataFrame, medians: DataFrame) -> DataFrame:
         [F.col(c) for c in RGB], [F.col(f"{c}_mid") for c in RGB])).drop(*[f"{c}_mid" for c in RGB])
 
 
-def neutral_candidates(pixels: DataFrame, fraction: float = NEUTRAL_FRACTION) -> DataFrame:
+def neutral_candidates(pixels: DataFrame, fraction: float = NEUTRAL_FRACTION, at_most: int | None = None) -> DataFrame:
     """The least saturated `fraction` of each frame's valid pixels, ties at the threshold included."""
-    binned = density_bins(valid_pixels(pixels))
-    judged = local_saturation(binned, bin_medians(binned))
+    at_most = largest_group(pixels, FRAME) if at_most is None else at_most
+    # stored: several passes follow, and the bins cost more to find again than to read
+    binned = materialize(density_bins(valid_pixels(pixels), at_most), "binned")
+    judged = local_saturation(binned, bin_medians(binned, at_most))
     # +inf (a degenerate reference) ranks last without taking part in the arithmetic
     ranked = judged.withColumn("_s", F.least("saturation", F.lit(1e300)))
-    limit = exact_quantiles(ranked, FRAME, "_s", {"threshold": fraction}).drop("n")
+    limit = exact_quantiles(ranked, FRAME, "_s", {"threshold": fraction}, at_most).drop("n")
     return attach(ranked, limit, FRAME, "inner", "threshold", PLACE).where(
         F.col("_s") <= F.col("threshold")).drop("_s")
 
 
-def candidate_extremes(candidates: DataFrame) -> DataFrame:
+def candidate_extremes(candidates: DataFrame, at_most: int | None = None) -> DataFrame:
     """Per frame and channel: the thin (`shadow`) and dense (`highlight`) end of the candidates; frames
     with fewer than two candidates have no estimate and are left out."""
-    q = channel_quantiles(candidates, FRAME, list(RGB), {"shadow": SHADOW_PERCENTILE, "highlight": HIGHLIGHT_PERCENTILE})
+    q = channel_quantiles(candidates, FRAME, list(RGB), {"shadow": SHADOW_PERCENTILE, "highlight": HIGHLIGHT_PERCENTILE}, at_most)
     return q.where(F.col("n") >= 2)
 
 
@@ -118,7 +138,8 @@ def solve_two_point(extremes: DataFrame) -> DataFrame:
 
 def auto_estimate(pixels: DataFrame) -> DataFrame:
     """Every frame's own estimate, from its own pixels."""
-    return solve_two_point(candidate_extremes(neutral_candidates(pixels)))
+    at_most = largest_group(pixels, FRAME)
+    return solve_two_point(candidate_extremes(neutral_candidates(pixels, at_most=at_most), at_most))
 
 
 def weak_estimates(estimates: DataFrame) -> DataFrame:

@@ -49,10 +49,9 @@ def print_patches(points: DataFrame, pixels: DataFrame, profile, frame_tone: Dat
     return print_paper(with_tone(to_positive(with_profile(around, profile)), frame_tone), curve)
 
 
-def snap(clicks: DataFrame, pixels: DataFrame, radius: int = SNAP_RADIUS) -> DataFrame:
-    """For each click (roll_id, frame_id, i, y, x): the pixel nearest the median colour of its
-    neighbourhood, the first in row-major order on a tie. Joined by tile; a neighbourhood holds at most
-    (2 radius + 1)^2 pixels, so its median is a bounded aggregate."""
+def around(clicks: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
+    """The pixels within `radius` rows and columns of each click (roll_id, frame_id, i, y, x). Boxes meet
+    pixels by tile, an equality, before the exact comparison."""
     def tiles(c: str):
         return F.sequence(F.floor((F.col(c) - radius) / TILE), F.floor((F.col(c) + radius) / TILE))
 
@@ -62,7 +61,14 @@ def snap(clicks: DataFrame, pixels: DataFrame, radius: int = SNAP_RADIUS) -> Dat
     near = attach(tiled, boxes, [*FRAME, "_ty", "_tx"], label="boxes", salt=PLACE).where(
         F.col("y").between(F.col("cy") - radius, F.col("cy") + radius)
         & F.col("x").between(F.col("cx") - radius, F.col("cx") + radius))
-    near = materialize(near.select(*FRAME, "i", *PLACE, *RGB), "near")
+    return near.select(*FRAME, "i", *PLACE, *RGB)
+
+
+def snap(clicks: DataFrame, pixels: DataFrame, radius: int = SNAP_RADIUS) -> DataFrame:
+    """For each click: the pixel nearest the median colour of its neighbourhood, the first in row-major
+    order on a tie. A neighbourhood holds at most (2 radius + 1)^2 pixels, so its median is a bounded
+    aggregate."""
+    near = materialize(around(clicks, pixels, radius), "near")
     middle = near.groupBy(*FRAME, "i").agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in RGB])
     far = sum((F.pow(F.col(c) - F.col(f"_{c}"), F.lit(2.0)) for c in RGB), F.lit(0.0))
     joined = near.join(middle, [*FRAME, "i"])

@@ -12,7 +12,7 @@ from filmroll.functions.colour import working_to_srgb
 from filmroll.functions.density import floored
 from filmroll.functions.pixel import (
     RGB, Curve, balanced, chroma, is_finite, map_rgb, matrix_rgb, srgb_encode, to_8bit)
-from filmroll.session import attach
+from filmroll.session import attach, known_bytes
 
 FRAME = ["roll_id", "frame_id"]
 PLACE = ["y", "x"]
@@ -63,7 +63,7 @@ def nonfinite_report(cleaned: DataFrame) -> DataFrame:
 
 def apply_gain(df: DataFrame, gains: DataFrame) -> DataFrame:
     """Multiply by the frame's scan gain; 1 where it has none."""
-    joined = attach(df, gains.select(*FRAME, "gain"), FRAME, "left", "gains", PLACE)
+    joined = attach(df, gains.select(*FRAME, "gain"), FRAME, "left", "gains", PLACE, known_bytes(gains))
     return map_rgb(joined, lambda c: c * F.coalesce(F.col("gain"), F.lit(1.0))).drop("gain")
 
 
@@ -71,7 +71,7 @@ def with_profile(df: DataFrame, profile: dict[str, float] | DataFrame, on: list[
     """Put the six calibration columns next to each pixel."""
     if isinstance(profile, dict):
         return df.withColumns({k: F.lit(float(v)) for k, v in profile.items()})
-    return attach(df, profile.select(*on, *PROFILE), on, "inner", "profiles", PLACE)
+    return attach(df, profile.select(*on, *PROFILE), on, "inner", "profiles", PLACE, known_bytes(profile))
 
 
 def _wb(c: str) -> Column:
@@ -110,7 +110,8 @@ def develop(df: DataFrame, stage: Stage, profile: dict[str, float] | DataFrame)
 
 
 def with_tone(df: DataFrame, frame_tone: DataFrame, how: str = "inner") -> DataFrame:
-    return attach(df, frame_tone.select(*FRAME, "exposure", "grade", "linear_scale"), FRAME, how, "tone", PLACE)
+    return attach(df, frame_tone.select(*FRAME, "exposure", "grade", "linear_scale"), FRAME, how, "tone", PLACE,
+                  known_bytes(frame_tone))
 
 
 def print_paper(df: DataFrame, curve: Curve) -> DataFrame:

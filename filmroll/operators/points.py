@@ -117,7 +117,7 @@ def leave_one_out(dens: DataFrame) -> DataFrame:
     """Every point with the line through all the others (`slope_*`, `a_*`), the others' spread in green
     density and whether that line is acceptable."""
     sums = materialize(_sums(dens), "sums")
-    joined = attach(dens, sums, ROLL, salt=["i"], written=True)
+    joined = attach(dens, sums, ROLL, salt=["i"])
     ends = joined.groupBy(*ROLL).agg(
         F.count_if(F.col("d_g") == F.col("g_max")).alias("_at_max"), F.max(F.when(F.col("d_g") < F.col("g_max"), F.col("d_g"))).alias("_next_max"),
         F.count_if(F.col("d_g") == F.col("g_min")).alias("_at_min"), F.min(F.when(F.col("d_g") > F.col("g_min"), F.col("d_g"))).alias("_next_min"))

@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from filmroll.session import attach, materialize
+from filmroll.session import attach, store
 
 BUCKETS_PER_OCTAVE = 64
 SMALLEST_EXPONENT = 100
 SPLITS = 4096
 WINDOW_ROWS_CONF = "spark.filmroll.quantile.windowRows"
 WINDOW_ROWS = 200_000
+SMALL_GROUP_CONF = "spark.filmroll.quantile.smallGroupRows"
+SMALL_GROUP_ROWS = 20_000
 
 
 def log_bucket(value: Column) -> Column:
@@ -66,25 +68,22 @@ def order_statistics(df: DataFrame, groups: list[str], value: str, ranks: Callab
 
     found = []
     while True:
-        targets = materialize(targets, "ranks")
         done, hit = _settled(ties)
+        targets, facts = store(targets, "ranks", still_open=F.count_if(~done), largest=F.max(F.when(~done, F.col("_rows"))))
         found.append(targets.where(done).select(*groups, "n", "rank", *hit))
-        open_targets = targets.where(~done)
-        state = open_targets.agg(F.count(F.lit(1)), F.max("_rows")).first()
-        if not state[0]:
+        if not facts["still_open"]:
             break
-        cut = open_targets.groupBy(*groups, "_bucket", "_piece").agg(
-            *[F.first(c).alias(c) for c in ("_lo", "_hi", "_before")], F.collect_set("rank").alias("_ranks"),
-            F.first("n").alias("n"))
-        # every wanted (bucket, piece) is a range [_lo, _hi] of values that no other range overlaps
-        rows = attach(rows, cut.drop("_piece").withColumnsRenamed({"_lo": "_from", "_hi": "_to"}),
-                      [*groups, "_bucket"], salt=["_v"], written=True)
+        cut = targets.where(~done).groupBy(*groups, "_bucket", "_piece").agg(
+            *[F.first(c).alias(c) for c in ("_before", "n")], F.first("_lo").alias("_from"), F.first("_hi").alias("_to"),
+            F.collect_set("rank").alias("_ranks")).drop("_piece")
+        # every wanted bucket is a range of values that no other range overlaps; `cut` has no more rows
+        # than `targets`, whose measured size bounds it
+        rows = attach(rows, cut, [*groups, "_bucket"], salt=["_v"], size=2 * targets.measured_bytes)
         rows = rows.where(F.col("_v").between(F.col("_from"), F.col("_to")))
-        ranged = [*groups, "_bucket", "_from", "_to", "_before", "_ranks", "n"]
-        if state[1] <= small_bucket:
-            found.append(_rank_values(rows, groups, ranged))
+        if facts["largest"] <= small_bucket:
+            found.append(_rank_values(rows, groups))
             break
-        rows, targets = _split(rows, groups, ranged)
+        rows, targets = _split(rows, groups)
     result = found[0]
     for more in found[1:]:
         result = result.unionByName(more)
@@ -103,7 +102,7 @@ def _settled(ties: bool):
     return one_value | (rank == before) | last, [value, unknown.alias("below"), unknown.alias("equal")]
 
 
-def _rank_values(rows: DataFrame, groups: list[str], ranged: list[str]) -> DataFrame:
+def _rank_values(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Small ranges: count distinct values, then rank them inside their own range."""
     keys = [*groups, "_bucket", "_from"]
     running = W.partitionBy(*keys).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -115,7 +114,7 @@ def _rank_values(rows: DataFrame, groups: list[str], ranged: list[str]) -> DataF
         *groups, "n", "rank", F.col("_v").alias("value"), "below", "equal")
 
 
-def _split(rows: DataFrame, groups: list[str], ranged: list[str]):
+def _split(rows: DataFrame, groups: list[str]):
     """Large ranges: cut each linearly and find the piece of every wanted rank."""
     share = (F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from"))
     rows = rows.withColumn("_piece", F.floor(share * SPLITS).cast("bigint"))
@@ -131,33 +130,51 @@ def _split(rows: DataFrame, groups: list[str], ranged: list[str]):
     return rows.select(*groups, "_bucket", "_v"), targets
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per group: `n` and one column per name in `probs`, linearly interpolated between the
-    two neighbouring order statistics."""
+def largest_group(df: DataFrame, groups: list[str]) -> int:
+    """Rows in the largest group. Reads the group columns only, and combines before the shuffle."""
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    return int(sizes.agg(F.max("_n")).first()[0] or 0)
+
+
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether groups of at most `rows` rows may be handled one group at a time."""
+    return rows <= int(df.sparkSession.conf.get(SMALL_GROUP_CONF, str(SMALL_GROUP_ROWS)))
+
+
+def channel_quantiles(df: DataFrame, groups: list[str], columns: list[str], probs: dict[str, float],
+                      at_most: int | None = None) -> DataFrame:
+    """Per group: `n` and, for every column and name in `probs`, `{column}_{name}`: linearly
+    interpolated between the two neighbouring order statistics.
+
+    `at_most` is a known bound on the rows of a group; without one it is counted. Groups within a small
+    measured bound use the built-in exact percentile, larger ones the counting passes above."""
+    if is_small(df, largest_group(df, groups) if at_most is None else at_most):
+        ask = F.array(*[F.lit(p) for p in probs.values()])
+        found = df.groupBy(*groups).agg(
+            F.count(columns[0]).alias("n"), *[F.percentile(c, ask).alias(f"_{c}") for c in columns])
+        return found.select(*groups, "n", *[
+            F.get(f"_{c}", F.lit(i)).alias(f"{c}_{k}") for c in columns for i, k in enumerate(probs)])
+
     def ranks(n: Column) -> Column:
         at = [(n - 1) * F.lit(p) for p in probs.values()]
         return F.array(*[F.floor(h).cast("bigint") for h in at], *[F.ceil(h).cast("bigint") for h in at])
 
-    stats = order_statistics(df, groups, value, ranks)
-
-    def at_rank(k: Column) -> Column:
-        return F.max(F.when(F.col("rank") == k, F.col("value")))
+    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    tall = df.select(*groups, F.expr(f"stack({len(columns)}, {pairs}) as (_column, _value)"))
+    stats = order_statistics(tall, [*groups, "_column"], "_value", ranks)
 
-    out = []
-    for name, p in probs.items():
+    def at(c: str, p: float) -> Column:
         h = (F.col("n") - 1) * F.lit(p)
-        out += [at_rank(F.floor(h)).alias(f"_{name}_lo"), at_rank(F.ceil(h)).alias(f"_{name}_hi")]
-    wide = stats.groupBy(*groups).agg(F.max("n").alias("n"), *out)
-    return wide.select(*groups, "n", *[
-        (F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo"))
-         * ((F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p)))).alias(k)
-        for k, p in probs.items()])
+        lo, hi = (F.max(F.when((F.col("_column") == c) & (F.col("rank") == k), F.col("value"))) for k in (F.floor(h), F.ceil(h)))
+        share = F.max(F.when(F.col("_column") == c, h - F.floor(h)))
+        return lo + (hi - lo) * share
 
+    return stats.groupBy(*groups).agg(
+        F.max("n").alias("n"), *[at(c, p).alias(f"{c}_{k}") for c in columns for k, p in probs.items()])
 
-def channel_quantiles(df: DataFrame, groups: list[str], columns: list[str], probs: dict[str, float]) -> DataFrame:
-    """`exact_quantiles` of several columns at once; output columns are `{column}_{name}`."""
-    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
-    tall = df.select(*groups, F.expr(f"stack({len(columns)}, {pairs}) as (_column, _value)"))
-    q = exact_quantiles(tall, [*groups, "_column"], "_value", probs)
-    return q.groupBy(*groups).agg(F.max("n").alias("n"), *[
-        F.max(F.when(F.col("_column") == c, F.col(k))).alias(f"{c}_{k}") for c in columns for k in probs])
+
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float],
+                    at_most: int | None = None) -> DataFrame:
+    """`channel_quantiles` of one column; output columns are named as in `probs`."""
+    q = channel_quantiles(df.select(*groups, value), groups, [value], probs, at_most)
+    return q.select(*groups, "n", *[F.col(f"{value}_{k}").alias(k) for k in probs])

@@ -11,7 +11,7 @@ from filmroll.constants import (
 from filmroll.functions.density import log_luminance
 from filmroll.functions.pixel import Curve, is_finite
 from filmroll.operators.pixels import FRAME
-from filmroll.operators.quantiles import exact_quantiles
+from filmroll.operators.quantiles import exact_quantiles, largest_group
 
 
 def density_range(positive: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def fit_print(ranges: DataFrame, curve: Curve, grade: Column | None = None) -> D
 def linear_scale(positive: DataFrame) -> DataFrame:
     """Per frame: the flat scale that puts a robust highlight, over all channels pooled, at 0.8."""
     pooled = positive.select(*FRAME, F.explode(F.array("r", "g", "b")).alias("_v"))
-    q = exact_quantiles(pooled, FRAME, "_v", {"highlight": FLAT_PERCENTILE})
+    q = exact_quantiles(pooled, FRAME, "_v", {"highlight": FLAT_PERCENTILE}, 3 * largest_group(positive, FRAME))
     h = F.col("highlight")
     return q.select(*FRAME, h, F.when(h > 0, F.lit(FLAT_TARGET) / F.when(h > 0, h)).otherwise(F.lit(1.0)).alias("linear_scale"))
 

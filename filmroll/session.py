@@ -1,8 +1,8 @@
 """Shared storage, cut lineage and size-checked joins.
 
 Per-frame parameters are small next to the pixels they apply to, but "small" is checked, never
-assumed: `attach` measures the parameter table, broadcasts it below a byte limit and otherwise falls
-back to a salted shuffle join that splits a hot frame or roll over many tasks.
+assumed: `attach` knows the parameter table's measured size, broadcasts it below a byte limit and
+otherwise falls back to a salted shuffle join that splits a hot frame or roll over many tasks.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,28 +38,45 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/filmroll-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write once, read back: cuts the lineage and keeps later passes from recomputing `df`."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _column_bytes(field: T.StructField):
+def _column_bytes(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
     kind = field.dataType
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.length(c), F.lit(0)) + 16
     if isinstance(kind, T.ArrayType):
-        return (F.coalesce(F.size(c), F.lit(0)) + 2) * (kind.elementType.jsonValue().__len__() + 16)
+        leaves = len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1
+        return (F.coalesce(F.size(c), F.lit(0)) + 2) * (16 * leaves + 8)
+    if isinstance(kind, T.StructType):
+        return F.lit(16 * len(kind.fields) + 16)
     return F.lit(16)
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the in-memory size, from real row counts and lengths."""
-    width = sum((_column_bytes(f) for f in df.schema.fields), F.lit(32))
-    return int(df.agg(F.sum(width.cast("bigint"))).first()[0] or 0)
+def row_bytes(df: DataFrame) -> Column:
+    """Upper estimate of a row's size in memory, from real lengths."""
+    return sum((_column_bytes(f) for f in df.schema.fields), F.lit(32)).cast("bigint")
+
+
+def store(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Write once, read back: cuts the lineage and keeps later passes from recomputing `df`. The write
+    also measures the table (`bytes`) and any further `metrics`, so that needs no job of its own."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    seen = Observation()
+    measured = df.observe(seen, F.sum(row_bytes(df)).alias("bytes"), *[m.alias(k) for k, m in metrics.items()])
+    measured.write.mode("error").parquet(path)
+    facts = dict(seen.get)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.measured_bytes = int(facts["bytes"] or 0)
+    return stored, facts
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    return store(df, label)[0]
+
+
+def known_bytes(df: DataFrame) -> int | None:
+    """The measured size of a stored table; it also bounds any selection of its columns and rows."""
+    return getattr(df, "measured_bytes", None)
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -67,13 +84,16 @@ def broadcast_limit(spark: SparkSession) -> int:
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", label: str = "params",
-           salt: list[str] | None = None, written: bool = False, skewed: bool = True) -> DataFrame:
-    """Join `small` to `big`. `salt` names columns of `big` that spread one key's rows; `written` says
-    `small` is stored or cheap to compute again, so it is not written; `skewed=False` says no key has
-    many rows, so beyond the limit a plain shuffle join will do."""
-    if not written:
+           salt: list[str] | None = None, size: int | None = None, skewed: bool = True) -> DataFrame:
+    """Join `small` to `big`. A small table that is not stored yet is stored, which measures it; `size`
+    passes an upper bound already measured instead. `salt` names columns of `big` that spread one key's
+    rows; `skewed=False` says no key has many rows, so beyond the limit a plain shuffle join will do."""
+    if size is None:
+        size = known_bytes(small)
+    if size is None:
         small = materialize(small, label)
-    if measured_bytes(small) <= broadcast_limit(big.sparkSession):
+        size = small.measured_bytes
+    if size <= broadcast_limit(big.sparkSession):
         return big.join(F.broadcast(small), on, how)
     if not skewed:
         return big.join(small, on, how)

@@ -23,10 +23,13 @@ def read_pixels(spark: SparkSession, path: str, sample_type: str) -> DataFrame:
     return normalise_samples(spark.read.parquet(path), sample_type)
 
 
-def write_pixels(df: DataFrame, path: str) -> None:
+def write_pixels(df: DataFrame, path: str, file_bytes: int = 128 * 1024 * 1024) -> None:
     """Clustered by roll, frame and row, so a frame's row groups can be skipped by their statistics and
-    a large roll is spread over many files."""
-    df.repartitionByRange(*FRAME, "y").sortWithinPartitions(*FRAME, *PLACE).write.mode("error").parquet(path)
+    a large roll is spread over many files. The number of files follows the size of what is read."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    estimate = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    files = max(df.sparkSession.sparkContext.defaultParallelism, min(estimate // file_bytes, 1_000_000))
+    df.repartitionByRange(files, *FRAME, "y").sortWithinPartitions(*FRAME, *PLACE).write.mode("error").parquet(path)
 
 
 def write_developed(df: DataFrame, path: str, policy: str = "error") -> None:

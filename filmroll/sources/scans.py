@@ -46,7 +46,8 @@ def _entries(xmp: Column, prefix: str) -> Column:
 def edit_history(meta: DataFrame, xmp: str = "xmp", prefix: str = "darktable") -> DataFrame:
     """One row per history entry that counts, in order."""
     keep = [c for c in meta.columns if c != xmp]
-    rows = meta.select(*keep, F.explode(_entries(F.col(xmp), prefix)).alias("_e"))
+    # outer, then filtered: a plain explode would have the history parsed once more to skip empty ones
+    rows = meta.select(*keep, F.explode_outer(_entries(F.col(xmp), prefix)).alias("_e")).where(F.col("_e").isNotNull())
     return rows.select(*keep, "_e.pos", *[F.col(f"_e.{k}").alias(k) for k in ENTRY_FIELDS])
 
 
