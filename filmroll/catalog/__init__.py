@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-AREAS = ("pixel_queries", "tone_queries", "point_queries", "scan_queries", "roll_queries")
+AREAS = ("pixel_queries", "tone_queries", "point_queries", "scan_queries", "roll_queries", "source_queries",
+         "stream_queries")
 
 
 def load():

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from filmroll.functions.pixel import RGB, Curve
 from filmroll.operators.pixels import clean_nonfinite
-from filmroll.session import shared_path
+from filmroll.session import materialize, shared_path
 from filmroll.sources.pixels import normalise_samples, write_pixels
 from filmroll.sources.scans import scan_settings
 
@@ -65,14 +65,14 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_bad(normalise_samples(cells(spark, sf_dir), "uint32")).select("roll_id", "frame_id", "y", "x", *RGB)
 
 
-def _stamp(sf_dir: str) -> tuple:
-    path = f"{sf_dir}/lineitem.parquet"
+def _stamp(sf_dir: str, name: str) -> tuple:
+    path = f"{sf_dir}/{name}.parquet"
     return (os.path.getmtime(path), os.path.getsize(path)) if os.path.isfile(path) else ()
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean working-space pixels, stored once per application clustered by roll and frame."""
-    key = (spark.sparkContext.applicationId, sf_dir, _stamp(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(sf_dir, "lineitem"), "pixels")
     if key not in _stored:
         path = shared_path(spark, "pixels")
         write_pixels(clean_nonfinite(scanned(spark, sf_dir)).drop("bad"), path)
@@ -155,6 +155,14 @@ def exif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame's settings and edit state, stored as a table of its own, as pixels are."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(sf_dir, "orders"), "meta")
+    if key not in _stored:
+        _stored[key] = materialize(_frame_meta(spark, sf_dir), "meta").path
+    return spark.read.parquet(_stored[key])
+
+
+def _frame_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = F.col("frame_id")
     kind = F.when(frame % 13 == 7, F.lit(None).cast("string")).when(frame % 11 == 5, "camera reference (D65)").otherwise("multipliers")
     tonal = F.when(frame % 9 == 4, F.array(F.lit("exposure"), F.lit("sigmoid"))).otherwise(F.array().cast("array<string>"))

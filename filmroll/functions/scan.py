@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from filmroll.functions.text import general_number
+from filmroll.functions.text import general_number, let
 
 
 def relative_exposure(t: Column, f: Column, iso: Column) -> Column:
@@ -19,9 +19,12 @@ def stops(a: Column, b: Column) -> Column:
 
 def describe_scan(t: Column, f: Column, iso: Column) -> Column:
     """e.g. "1/30 f/8 ISO100"."""
-    shutter = F.when((t > 0) & (t < 1), F.concat(F.lit("1/"), F.rint(F.lit(1.0) / t).cast("bigint").cast("string"))
-                     ).otherwise(F.concat(general_number(t), F.lit("s")))
-    return F.concat(shutter, F.lit(" f/"), general_number(f), F.lit(" ISO"), general_number(iso))
+    def words(s: Column) -> Column:
+        fraction = F.concat(F.lit("1/"), F.rint(F.lit(1.0) / s["t"]).cast("bigint").cast("string"))
+        shutter = F.when((s["t"] > 0) & (s["t"] < 1), fraction).otherwise(F.concat(general_number(s["t"]), F.lit("s")))
+        return F.concat(shutter, F.lit(" f/"), general_number(s["f"]), F.lit(" ISO"), general_number(s["iso"]))
+
+    return let(F.struct(t.alias("t"), f.alias("f"), iso.alias("iso")), words)
 
 
 def _little_endian(hex_text: Column, start: int) -> Column:

@@ -67,6 +67,7 @@ def store(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict
     facts = dict(seen.get)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.measured_bytes = int(facts["bytes"] or 0)
+    stored.path = path
     return stored, facts
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from filmroll.constants import FLOAT_SAMPLES, SAMPLE_MAX
 from filmroll.functions.pixel import RGB, map_rgb
 from filmroll.operators.pixels import FRAME, PLACE
+from filmroll.session import attach
 
 
 def normalise_samples(df: DataFrame, sample_type: str) -> DataFrame:
@@ -32,19 +33,19 @@ def write_pixels(df: DataFrame, path: str, file_bytes: int = 128 * 1024 * 1024)
     df.repartitionByRange(files, *FRAME, "y").sortWithinPartitions(*FRAME, *PLACE).write.mode("error").parquet(path)
 
 
-def write_developed(df: DataFrame, path: str, policy: str = "error") -> None:
-    """Developed pixels by roll and frame. `policy`: "error" refuses a folder that exists, "overwrite"
-    replaces only the frames being written, "skip-existing" adds frames that are not there yet. Spark's
-    commit protocol makes a frame appear whole or not at all."""
+def write_developed(df: DataFrame, path: str, policy: str = "error", by: list[str] = FRAME) -> None:
+    """Developed pixels in a folder per roll and frame (or whatever `by` names). `policy`: "error"
+    refuses a path that exists, "overwrite" replaces only the folders being written, "skip-existing" adds
+    those that are not there yet. Spark's commit protocol makes a write appear whole or not at all."""
     spark = df.sparkSession
-    if policy == "skip-existing" and _exists(spark, path):
-        there = spark.read.parquet(path).select(*FRAME).distinct()
-        df = df.join(there, FRAME, "left_anti")
-    elif policy not in ("error", "overwrite", "skip-existing"):
+    if policy not in ("error", "overwrite", "skip-existing"):
         raise ValueError(f"unknown policy {policy}")
+    if policy == "skip-existing" and _exists(spark, path):
+        there = spark.read.parquet(path).select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in by]).distinct()
+        df = attach(df, there, by, "left_anti", "written", PLACE)
     mode = {"error": "error", "overwrite": "overwrite", "skip-existing": "append"}[policy]
     (df.repartitionByRange(*FRAME, "y").sortWithinPartitions(*FRAME, *PLACE).write.mode(mode)
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*FRAME).parquet(path))
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

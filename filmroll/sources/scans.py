@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from filmroll.constants import (
     CAMERA_REFERENCE, CAMERA_REFERENCE_PRESET, CAMERA_REFERENCE_VERSION, NON_TONAL_MODULES)
 from filmroll.functions.scan import hex_float, hex_int
+from filmroll.functions.text import let
 
 ENTRY_FIELDS = {"op": "operation", "instance": "multi_priority", "enabled": "enabled",
                 "params": "params", "modversion": "modversion"}
@@ -22,9 +23,9 @@ def scan_settings(meta: DataFrame, exif: str = "exif") -> DataFrame:
             value["den"] != 0, value["num"] / F.when(value["den"] != 0, value["den"]))
 
     iso = F.coalesce(*[F.try_element_at(exif, F.lit(k))["num"] for k in ("ISOSpeedRatings", "PhotographicSensitivity")]).cast("double")
-    rows = meta.withColumns({"_t": number("ExposureTime"), "_f": number("FNumber"), "_iso": iso})
-    whole = F.coalesce((F.col("_t") != 0) & (F.col("_f") != 0) & (F.col("_iso") != 0), F.lit(False))
-    return rows.withColumns({k: F.when(whole, F.col(f"_{k}")) for k in ("t", "f", "iso")}).drop("_t", "_f", "_iso")
+    read = F.struct(number("ExposureTime").alias("t"), number("FNumber").alias("f"), iso.alias("iso"))
+    whole = let(read, lambda s: F.when((s["t"] != 0) & (s["f"] != 0) & (s["iso"] != 0), s))
+    return meta.withColumn("_s", whole).select("*", "_s.t", "_s.f", "_s.iso").drop("_s")
 
 
 def _entries(xmp: Column, prefix: str) -> Column:
