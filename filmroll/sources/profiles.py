@@ -35,8 +35,10 @@ def _three(name: str, keys: Column) -> Column:
 def parse_profiles(files: DataFrame) -> DataFrame:
     """(file, text) -> profile columns, with `problem` saying what is wrong with a damaged one. Every
     file gives a row."""
-    rows = files.select("file", "text", F.from_json("text", PROFILE).alias("_p"), F.json_object_keys("text").alias("_keys"))
-    invalid = F.try_parse_json("text").isNull()
+    # a bare NaN or Infinity is read as a number and refused as one; the structure checks know no such token
+    plain = F.regexp_replace("text", r"(?<=[\[,:\s])(-?Infinity|NaN)(?=\s*[,\]}])", "-1")
+    rows = files.select("file", plain.alias("_plain"), F.from_json("text", PROFILE).alias("_p"), F.json_object_keys(plain).alias("_keys"))
+    invalid = F.try_parse_json("_plain").isNull()
     problem = F.coalesce(
         F.when(invalid, "damaged profile: it isn't valid JSON"),
         F.when(F.col("_keys").isNull(), "damaged profile: it isn't a JSON object"),
