@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filmroll.catalog.pixel_queries import CURVE_SQL, TONE_SQL
+from filmroll.catalog.pixel_queries import CURVE_SQL, TONE_SQL, lookup_sql
 from filmroll.catalog.registry import query, rounded
 from filmroll.catalog.tables import META_SQL, PIXEL_SQL, curve, frame_meta, papers, pixels, positives, with_sql
 from filmroll.operators import auto, tone
@@ -217,25 +217,33 @@ def agg_gain_shift(spark, sf):
     return rounded(shifted.select(*FRAME, "wb_r", "wb_g", "wb_b", "s_r", "s_b"))
 
 
+WARM = "(SELECT roll_id, frame_id, y, x, CASE WHEN frame_id % 12 = 5 THEN r * 1.4e0 ELSE r END AS r, g, CASE WHEN frame_id % 12 = 5 THEN b / 1.3e0 ELSE b END AS b FROM pixels)"
+WARM_AUTO = AUTO.replace("FROM pixels WHERE", f"FROM {WARM} WHERE")
+
+
 def _differences(spark, sf):
-    estimates = _estimates(spark, sf)
+    """Some frames are lit differently from the rest."""
+    other = F.col("frame_id") % 12 == 5
+    rows = pixels(spark, sf).withColumns({
+        "r": F.when(other, F.col("r") * 1.4).otherwise(F.col("r")), "b": F.when(other, F.col("b") / 1.3).otherwise(F.col("b"))})
+    estimates = materialize(auto.auto_estimate(rows), "estimates")
     return materialize(auto.colour_difference(auto.roll_estimate(estimates), estimates), "differences")
 
 
 DIFF_OUT = f"round({CC_SQL}, 6) AS cc, {pack_sql('d_r', 'd_g', 'd_b')} AS pack, {word_sql('d_r', 'd_g', 'd_b')} AS word"
 
 
-@query("agg_colour_diff", AUTO + f"SELECT roll_id, frame_id, votes, round(d_r, 6) AS d_r, round(d_g, 6) AS d_g, round(d_b, 6) AS d_b, {DIFF_OUT} FROM devs")
+@query("agg_colour_diff", WARM_AUTO + f"SELECT roll_id, frame_id, votes, round(d_r, 6) AS d_r, round(d_g, 6) AS d_g, round(d_b, 6) AS d_b, {DIFF_OUT} FROM devs")
 def agg_colour_diff(spark, sf):
     return rounded(_differences(spark, sf))
 
 
-@query("agg_differing", AUTO + f"SELECT roll_id, frame_id, {DIFF_OUT} FROM devs WHERE votes >= 6 AND {CC_SQL} > 10")
+@query("agg_differing", WARM_AUTO + f"SELECT roll_id, frame_id, {DIFF_OUT} FROM devs WHERE votes >= 6 AND {CC_SQL} > 10")
 def agg_differing(spark, sf):
     return rounded(auto.differing_frames(_differences(spark, sf)).select(*FRAME, "cc", "pack", "word"))
 
 
-@query("top_differing", AUTO + f"""
+@query("top_differing", WARM_AUTO + f"""
 SELECT roll_id, frame_id, CAST(k AS INTEGER) AS place, round(cc, 6) AS cc FROM (
   SELECT *, row_number() OVER (PARTITION BY roll_id ORDER BY cc DESC, frame_id) AS k FROM (SELECT roll_id, frame_id, votes, round({CC_SQL}, 9) AS cc FROM devs)
   WHERE votes >= 6 AND cc > 10) WHERE k <= 4""")
@@ -275,7 +283,19 @@ def agg_wedge(spark, sf):
     return rounded(wedge_range(pixels(spark, sf), scan_match(meta, reference_scan(meta))))
 
 
-@query("plan_develop_rolls")
+DEVELOP_SQL = with_sql(PIXEL_SQL[:PIXEL_SQL.index(",\nbalanced AS")], META_SQL) + """, failed AS (SELECT roll_id, frame_id FROM scanned GROUP BY roll_id, frame_id HAVING avg(CASE WHEN isnan(r) THEN 1e0 ELSE 0e0 END) > 0.01),
+gained AS (SELECT p.roll_id, p.frame_id, y, x, r * gain AS r, g * gain AS g, b * gain AS b FROM pixels p JOIN gains k ON p.roll_id = k.roll_id AND p.frame_id = k.frame_id
+  ANTI JOIN failed f ON p.roll_id = f.roll_id AND p.frame_id = f.frame_id),
+""" + AUTO_SQL.replace("FROM pixels WHERE", "FROM gained WHERE x % 2 = 0 AND y % 2 = 0 AND").strip() + """,
+positives AS (
+  SELECT p.roll_id, frame_id, y, x, 1e0 / greatest(pow(greatest(r * wb_r, 1e-7), s_r), 1e-7) AS r, 1e0 / greatest(greatest(g, 1e-7), 1e-7) AS g, 1e0 / greatest(pow(greatest(b * wb_b, 1e-7), s_b), 1e-7) AS b
+  FROM gained p JOIN rolls c ON p.roll_id = c.roll_id),
+""" + CURVE_SQL.strip() + ",\n" + TONE_SQL.strip()
+
+
+@query("plan_develop_rolls", DEVELOP_SQL + "\nSELECT p.roll_id, p.frame_id, count(*) AS pixels, " + ", ".join(
+    "round(avg(" + lookup_sql(f"(log10(greatest({c}, 1e-7)) + exposure - 1.5e0) * grade + 1.5e0") + f"), 6) AS mean_{c}" for c in "rgb")
+    + " FROM positives p JOIN frame_tone t ON p.roll_id = t.roll_id AND p.frame_id = t.frame_id, curve GROUP BY p.roll_id, p.frame_id")
 def plan_develop_rolls(spark, sf):
     """A batch run: match exposures, estimate every roll, print every frame; mean print per frame."""
     from filmroll.catalog.tables import scanned

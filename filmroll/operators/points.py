@@ -270,19 +270,19 @@ def near_duplicates(dens: DataFrame) -> DataFrame:
     cell = {f"q_{c}": F.floor(F.col(c) / w).cast("bigint") for c, w in sizes.items()}
     rows = rows.withColumns(cell)
     keys = [*ROLL, *cell]
-    firsts = rows.groupBy(*keys).agg(F.min("i").alias("first"))
+    firsts = materialize(rows.groupBy(*keys).agg(F.min("i").alias("first")), "cells")
     shifts = F.array(*[F.struct(*[F.lit(s).alias(k) for s, k in zip(shift, cell)])
                        for shift in product((-1, 0, 1), repeat=3) if any(shift)])
     around = rows.withColumn("_shift", F.explode(shifts)).select(
         *ROLL, *[(F.col(k) + F.col(f"_shift.{k}")).alias(k) for k in cell],
         F.col("i").alias("j"), *[F.col(c).alias(f"j_{c}") for c in sizes])
-    early = around.join(firsts, keys).where(F.col("j") < F.col("first")).drop("first")
-    near = (rows.join(early, keys)
+    early = attach(around, firsts, keys, salt=["j"]).where(F.col("j") < F.col("first")).drop("first")
+    near = (attach(rows, early, keys, label="early", salt=["i"])
             .where((F.abs(F.col("d_g") - F.col("j_d_g")) < DUPLICATE_DENSITY)
                    & (F.abs(F.col("rg") - F.col("j_rg")) < DUPLICATE_COLOUR)
                    & (F.abs(F.col("bg") - F.col("j_bg")) < DUPLICATE_COLOUR))
             .groupBy(*ROLL, "i").agg(F.min("j").alias("neighbour")))
-    joined = rows.join(firsts, keys).join(near, [*ROLL, "i"], "left")
+    joined = attach(rows, firsts, keys, salt=["i"]).join(near, [*ROLL, "i"], "left")
     own = F.when(F.col("first") < F.col("i"), F.col("first"))
     return joined.select(*ROLL, "frame_id", "i", F.least(own, F.col("neighbour")).alias("duplicate_of"))
 

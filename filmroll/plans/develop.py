@@ -44,8 +44,8 @@ def print_summary(negatives: DataFrame, profile, curve: Curve) -> DataFrame:
 
 
 def roll_profiles(negatives: DataFrame, stride: int, gains: DataFrame | None = None) -> DataFrame:
-    """One automatic calibration per roll, from every stride-th row and column of its frames."""
-    sample = px.stride_sample(px.clean_nonfinite(negatives).drop("bad"), stride)
+    """One automatic calibration per roll, from every stride-th row and column of its usable frames."""
+    sample = px.stride_sample(usable_frames(negatives), stride)
     if gains is not None:
         sample = px.apply_gain(sample, gains)
     return auto.roll_estimate(auto.auto_estimate(materialize(sample, "sample")))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from filmroll.session import shared_path
@@ -81,38 +82,49 @@ ROLL_DONE = "run_id bigint, expected bigint, developed bigint, failed bigint, ou
 
 
 def _tally(wait_ms: int):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, counts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         expected, developed, failed, last = state.get if state.exists else (0, 0, 0, 0)
 
         def row(outcome: str) -> pd.DataFrame:
+            if state.exists:
+                state.remove()
             return pd.DataFrame([(key[0], expected, developed, failed, outcome)],
                                 columns=["run_id", "expected", "developed", "failed", "outcome"])
 
         if state.hasTimedOut:
-            state.remove()
             yield row("didn't finish")
             return
-        for chunk in frames:  # counts only: chunks may come in any order
-            ok = int((chunk["status"] == "ok").sum())
-            developed, failed = developed + ok, failed + len(chunk) - ok
+        for chunk in counts:  # sums and a maximum: chunks may come in any order
+            developed += int(chunk["developed"].sum())
+            failed += int(chunk["failed"].sum())
             expected = int(chunk["expected"].iloc[0])
             last = max(last, int(chunk["ts"].max().timestamp() * 1000))
         if developed + failed >= expected:
-            if state.exists:
-                state.remove()
             yield row("complete")
-            return
-        state.update((expected, developed, failed, last))
-        state.setTimeoutTimestamp(max(last + wait_ms, state.getCurrentWatermarkMs() + 1))
+        elif last + wait_ms <= state.getCurrentWatermarkMs():
+            yield row("didn't finish")
+        else:
+            state.update((expected, developed, failed, last))
+            state.setTimeoutTimestamp(last + wait_ms)
 
     return step
 
 
+def _combine(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for chunk in chunks:
+        ok = chunk["status"] == "ok"
+        counted = chunk.assign(developed=ok.astype("int64"), failed=(~ok).astype("int64"))
+        yield counted.groupby(["run_id", "expected"], as_index=False).agg(
+            ts=("ts", "max"), developed=("developed", "sum"), failed=("failed", "sum"))
+
+
 def roll_completion(done: DataFrame, wait_ms: int, delay: str) -> DataFrame:
     """(run_id, ts, status, expected) -> one line per run: when every expected frame has a result, or
-    when nothing came for `wait_ms` of event time. The state is four numbers per run."""
-    rows = done.select("run_id", "ts", "status", "expected").withWatermark("ts", delay)
-    return rows.groupBy("run_id").applyInPandasWithState(
+    when nothing came for `wait_ms` of event time. Results are counted before the shuffle by run, so even
+    a very busy run reaches its state, four numbers, as a few counts."""
+    counted = done.select("run_id", "ts", "status", "expected").mapInPandas(
+        _combine, "run_id bigint, expected bigint, ts timestamp, developed bigint, failed bigint")
+    return counted.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(
         _tally(wait_ms), ROLL_DONE, "expected bigint, developed bigint, failed bigint, last bigint", "append",
         GroupStateTimeout.EventTimeTimeout)
 
@@ -127,18 +139,26 @@ def run_once(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+BUCKETS = 64
+
+
 def refresh_touched(rows: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
     """Keep a table of results up to date with a stream of `rows`: every batch is stored, and the keys it
-    touched are computed again from all their rows. For statistics that don't merge, like medians.
-    A batch written again after a failure replaces itself. The table has one row set per key, the latest."""
+    touched are computed again from all their rows. For statistics that don't merge, like medians. Rows
+    are stored by a bucket of their key, so only the buckets a batch touched are read again, and a batch
+    written again after a failure replaces itself. The result has the latest row set of every key."""
     spark = rows.sparkSession
     seen, results = shared_path(spark, f"{label}-rows"), shared_path(spark, f"{label}-results")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
 
     def batch(new: DataFrame, batch_id: int) -> None:
-        new.write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
-        stored = spark.read.schema(rows.schema).parquet(seen).drop("batch")
-        touched = spark.read.schema(rows.schema).parquet(f"{seen}/batch={batch_id}").select(*keys).distinct()
-        compute(stored.join(touched, keys, "left_semi")).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
+        new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{seen}/batch={batch_id}")
+        stored = spark.read.schema(schema).parquet(seen).where(F.col("batch") <= batch_id)
+        touched = stored.where(F.col("batch") == batch_id).select("bucket", *keys).distinct()
+        buckets = [r[0] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        again = stored.where(F.col("bucket").isin(buckets)).join(touched, ["bucket", *keys], "left_semi")
+        compute(again.drop("batch", "bucket")).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
 
     query = (rows.writeStream.foreachBatch(batch).option("checkpointLocation", shared_path(spark, f"{label}-state"))
              .trigger(availableNow=True).start())

@@ -52,7 +52,7 @@ def rows_at(spark, rows):
 def test_completion_over_batches(spark, tmp_path):
     """State lives across batches: one run completes in the second, one goes quiet and times out."""
     batches = [rows_at(spark, [(1, 0, "ok", 3), (1, 1, "failed", 3), (2, 0, "ok", 5)]), rows_at(spark, [(1, 30, "ok", 3)]),
-               rows_at(spark, [(3, 600, "ok", 1)]), rows_at(spark, [(3, 1200, "ok", 1)])]
+               rows_at(spark, [(3, 50, "ok", 1)]), rows_at(spark, [(4, 600, "ok", 9)]), rows_at(spark, [(4, 1200, "ok", 9)])]
     stream = feed(spark, tmp_path, batches, "run_id bigint, s bigint, status string, expected bigint").withColumn("ts", F.timestamp_seconds("s"))
     got = {(r.run_id, r.outcome): (r.developed, r.failed) for r in st.run_once(st.roll_completion(stream, 3_600_000, "10 minutes"), "c").collect()}
     assert got[(1, "complete")] == (2, 1)
@@ -68,7 +68,7 @@ def test_late_repeats_and_windows(spark, tmp_path):
     stream = feed(spark, tmp_path, batches, schema).withColumn("ts", F.timestamp_seconds("s"))
     once = st.run_once(st.frames_once(stream, "1 hour"), "o").collect()
     assert sorted(r.idx for r in once) == [1, 2, 3, 4]
-    counts = {r.window_start.minute: (r.developed, r.failed) for r in st.run_once(st.run_counts(stream, "10 minutes", "1 hour"), "w").collect()}
+    counts = {r.window_start: (r.developed, r.failed) for r in st.run_once(st.run_counts(stream, "10 minutes", "1 hour"), "w").collect()}
     assert sum(d for d, _ in counts.values()) == 4 and sum(f for _, f in counts.values()) == 2
 
 
