@@ -43,11 +43,9 @@ def _column_bytes(field: T.StructField) -> Column:
     kind = field.dataType
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.length(c), F.lit(0)) + 16
-    if isinstance(kind, T.ArrayType):
-        leaves = len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1
-        return (F.coalesce(F.size(c), F.lit(0)) + 2) * (16 * leaves + 8)
-    if isinstance(kind, T.StructType):
-        return F.lit(16 * len(kind.fields) + 16)
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        # nested values by the length of their text, which grows with every element and string in them
+        return F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0)) * 3 + 16 * kind.simpleString().count(":") + 64
     return F.lit(16)
 
 

@@ -90,7 +90,7 @@ def brute(d):
     return cc, worst, rms
 
 
-@pytest.mark.parametrize("seed, count, noise", [(1, 3, 0.05), (2, 5, 0.08), (3, 12, 0.05), (4, 60, 0.04), (5, 250, 0.05), (6, 250, 0.01)])
+@pytest.mark.parametrize("seed, count, noise", [(1, 3, 0.05), (2, 5, 0.08), (3, 12, 0.05), (5, 250, 0.05)])
 def test_agreement_and_worst_equal_brute_force(spark, seed, count, noise, paths):
     rng = np.random.default_rng(seed)
     rgbs = [on_axis(d, (rng.normal(0, noise), 0, rng.normal(0, noise))) for d in rng.uniform(0.5, 2.0, count)]
