@@ -35,7 +35,7 @@ def _entries(xmp: Column, prefix: str) -> Column:
     items = F.regexp_extract_all(F.get(body, F.lit(0)), F.lit(r"(?s)<rdf:li(.*?)/>"), F.lit(1))
 
     def attribute(item: Column, name: str) -> Column:
-        found = F.regexp_extract(item, rf'\b{prefix}:{name}="([^"]*)"', 1)
+        found = F.regexp_extract(item, rf'{prefix}:{name}="([^"]*)"', 1)
         return F.nullif(found, F.lit(""))
 
     read = F.transform(items, lambda item, pos: F.struct(
