@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filmroll.llm import exact_dedup, mixing
+from filmroll.llm import bpe, exact_dedup, mixing, simhash
 from filmroll.llm.common import table
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op7_exact_dedup, op8_bpe, op9_mixing)}
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
