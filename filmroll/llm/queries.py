@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filmroll.llm import bpe, exact_dedup, mixing, simhash
+from filmroll.llm import bpe, exact_dedup, licenses, mixing, secrets, simhash
 from filmroll.llm.common import table
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -24,5 +32,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op7_exact_dedup, op8_bpe, op9_mixing)}
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_license_scan, op4_simhash_near_dedup, op6_secret_scan, op7_exact_dedup,
+                                  op8_bpe, op9_mixing)}
+ORACLES = {"op3_license_scan": licenses.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
