@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filmroll.llm import bpe, exact_dedup, licenses, mixing, secrets, simhash
+from filmroll.llm import bpe, exact_dedup, licenses, mixing, secrets, simhash, warc
 from filmroll.llm.common import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(warc.plan(table(spark, sf_dir, "pages")))
+    return warc.digests(warc.read(archives, payload=False))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op4_simhash_near_dedup, op6_secret_scan, op7_exact_dedup,
+QUERIES = {f.__name__: f for f in (op2_warc, op3_license_scan, op4_simhash_near_dedup, op6_secret_scan, op7_exact_dedup,
                                   op8_bpe, op9_mixing)}
-ORACLES = {"op3_license_scan": licenses.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op3_license_scan": licenses.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
