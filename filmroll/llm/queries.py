@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filmroll.llm import bpe, exact_dedup, licenses, mixing, secrets, simhash, warc
+from filmroll.llm import bpe, exact_dedup, licenses, mixing, secrets, simhash, toxicity, warc
 from filmroll.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(warc.plan(table(spark, sf_dir, "pages")))
     return warc.digests(warc.read(archives, payload=False))
@@ -37,6 +41,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_license_scan, op4_simhash_near_dedup, op6_secret_scan, op7_exact_dedup,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_license_scan, op4_simhash_near_dedup, op6_secret_scan, op7_exact_dedup,
                                   op8_bpe, op9_mixing)}
 ORACLES = {"op2_warc": warc.ORACLE, "op3_license_scan": licenses.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
