@@ -14,11 +14,10 @@ K_mm^(-1/2) maps the kernel with the landmarks into the machine's space.
 Machine. A linear machine with squared hinge loss is trained on labelled sentences: all of other documents, and of
 toxic ones those that stand out most, and all that the last round's machine finds toxic. Its decision on a sentence is a sum over
 words plus a constant, so every distinct word is judged once and kept. The highest decision of a
-document's sentences goes through a logistic curve fitted on the training documents.
+document's sentences, and the sum of those above zero, go through a logistic curve fitted on the training documents.
 
-Bound: training takes at most TRAIN_DOCS documents of each label, those with the smallest md5 of (seed, doc_id), and
-at most CANDIDATES and COMMON words reach the driver; words are counted in all labelled documents that may be
-learned from. Labels, lang, source and doc_id are no
+Bound: all of this learns from at most TRAIN_DOCS documents of each label, those with the smallest md5 of (seed,
+doc_id). Labels, lang, source and doc_id are no
 input of a score. Documents of labels whose crc32(doc_id) mod 4 is 2 are never learned from.
 
 Defined cases: a null or empty text has one empty sentence; a label that is null doesn't count, of several for one document the
@@ -30,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,22 +37,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filmroll.llm.common import stored, texts
+from filmroll.llm.common import texts
 
 HELD_OUT = 2
 DECAY = 0.8
 ORDER = 4
 LANDMARKS = 40
 BACKGROUND = 16
-#: Most words tied to toxic documents, and most other words, that reach the driver.
+#: Most words tied to toxic documents within which landmarks are sought.
 CANDIDATES = 1000
-COMMON = 20_000
-#: A landmark's words follow at least so many different words in toxic documents.
+#: A landmark's words follow at least so many different words in toxic documents, in all and for each of them.
 LEAST_SEEN = 4
+LEAST_SHARE = 0.02
 #: How much rarer, against its share in toxic documents, a landmark has to be in others.
 TIED = 8.0
 LONGEST = 12
-TRAIN_DOCS = 1000
+TRAIN_DOCS = 1500
 ROUNDS = 4
 RIDGE = 1e-5
 SEED = 11
@@ -177,7 +177,7 @@ class Judge:
 
     def __init__(self, names: list[str], weights: np.ndarray, constant: float):
         self.landmarks, self.weights, self.constant = Landmarks(names), weights, constant
-        self.kept: dict[bytes, complex] = {}
+        self.kept: dict[bytes, complex] = {b"": 0j}
         self.forms: dict[bytes, float] = {}
 
     def _learn(self, words: list[bytes]) -> None:
@@ -191,27 +191,25 @@ class Judge:
         for w, f in zip(words, forms):
             self.kept[w] = self.forms.get(f, 0.0) + (1j if w[-1:] in (b".", b"!", b"?") else 0)
 
-    def best(self, texts: list[bytes]) -> np.ndarray:
-        """The highest decision of each text's sentences."""
+    def evidence(self, texts: list[bytes]) -> np.ndarray:
+        """What the decisions on each text's sentences say of it."""
         if len(self.kept) > KEPT:
-            self.kept, self.forms = {}, {}
+            self.kept, self.forms = {b"": 0j}, {}
         words = [t.split() for t in texts]
         apart = [APART.findall(t) for t in texts]
         self._learn(list(set().union(*words, *apart).difference(self.kept)))
-        out = np.full(len(texts), self.constant)
+        out = np.zeros((len(texts), 3))
         for i, (ws, spaced) in enumerate(zip(words, apart)):
-            if not ws:
-                continue
-            v = np.fromiter(map(self.kept.__getitem__, ws), np.complex128, len(ws))
+            v = np.fromiter(map(self.kept.__getitem__, ws or [b""]), np.complex128)
             first = np.concatenate(([0], np.flatnonzero(v.imag[:-1]) + 1))
-            at = np.arange(len(ws)) - np.repeat(first, np.diff(np.concatenate((first, [len(ws)]))))
-            starts = np.flatnonzero(at % SENTENCE == 0)
-            top = np.add.reduceat(v.real, starts).max()
-            out[i] += max([top, *(self.kept[s].real for s in spaced)])
+            at = np.arange(len(v)) - np.repeat(first, np.diff(np.concatenate((first, [len(v)]))))
+            sums = np.add.reduceat(v.real, np.flatnonzero(at % SENTENCE == 0))
+            sums = np.concatenate((sums, [self.kept[s].real for s in spaced])) + self.constant
+            out[i] = _evidence(sums, np.zeros(1, np.int64))
         return out
 
 
-def choose(tied: list[tuple[str, int]], common: list[tuple[str, int]], most: int = LANDMARKS) -> list[str]:
+def choose(tied: list[tuple[str, int]], common: list[tuple[str, int]], least: float, most: int = LANDMARKS) -> list[str]:
     """Strings within `tied` words (word, times seen) that cover most of what isn't covered yet and few `common`."""
     within: dict[str, set[int]] = {}
     for i, (w, _) in enumerate(tied):
@@ -234,7 +232,7 @@ def choose(tied: list[tuple[str, int]], common: list[tuple[str, int]], most: int
         if now > loss:  # something chosen since covers part of it
             heapq.heappush(queue, (now, size, piece))
             continue
-        if -now < LEAST_SEEN:
+        if -now < least:
             break
         chosen.append(piece)
         left[list(within[piece])] = False
@@ -265,20 +263,25 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RI
     return theta
 
 
-def _curve(d: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve, with Platt's softened targets so that it stays finite."""
+def _evidence(sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each text's sentences (decisions, first sentence of each text): the highest, and all above zero together."""
+    return np.stack((np.maximum.reduceat(sums, starts).clip(-1, 2), np.log1p(np.add.reduceat(np.maximum(0, sums), starts)),
+                     np.ones(len(starts))), axis=1)
+
+
+def _curve(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The logistic curve over evidence, with Platt's softened targets so that it stays finite."""
     n1, n0 = toxic.sum(), (~toxic).sum()
     target = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack((d, np.ones(len(d))), axis=1)
-    beta = np.zeros(2)
+    beta = np.zeros(x.shape[1])
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
-        h = x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
+        h = x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-6 * np.eye(x.shape[1])
         move = np.linalg.solve(h, x.T @ (weight * (target - p)))
         beta = beta + np.clip(move, -1, 1)
         if np.abs(move).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return beta
 
 
 def _sentences(text: bytes) -> list[list[bytes]]:
@@ -291,31 +294,46 @@ def _sentences(text: bytes) -> list[list[bytes]]:
     return [*out, now] if now or not out else out
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
-    """`text`, `doc_id`, `toxic` (0/1) -> landmarks, weights, constant, slope, shift, share of toxic."""
-    rows = stored(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "labelled")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    constant = {"names": [], "weights": np.zeros(0), "constant": 0.0, "slope": 0.0, "shift": 0.0, "share": share}
-    if not sizes.get(1) or not sizes.get(0):
+def sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[tuple[bytes, bool]], float]:
+    """The training texts with their labels, and the share of toxic ones among all labels that may be learned from.
+    Ids are drawn from the labels alone; of several rows with one id the largest text counts."""
+    known = (labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+             .agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out(F.col("doc_id"))))
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    key = F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id")))
+    drawn = [known.where(F.col("toxic") == t).orderBy(key).limit(train_docs) for t in (1, 0)]
+    found = texts(docs).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    rows = sorted((r["doc_id"], r["text"].encode(), r["toxic"] == 1) for r in found.collect())
+    return [(text, toxic) for _, text, toxic in rows], sizes.get(1, 0) / max(1, sum(sizes.values()))
+
+
+def _seen(docs: list[tuple[bytes, bool]]) -> list[tuple[str, int, int]]:
+    """Of each word's letters, the different words they follow in toxic and in other documents."""
+    pairs: tuple[set, set] = (set(), set())
+    for text, toxic in docs:
+        words = ["".join(filter(str.isalpha, w)) for w in text.decode().lower().split()]
+        words = [w for w in words if w]
+        pairs[not toxic].update(zip(words, ["", *words]))
+    count = [Counter(w for w, _ in p if ORDER <= len(w) <= 2 * WINDOW) for p in pairs]
+    return [(w, count[0][w], count[1][w]) for w in {*count[0], *count[1]}]
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
+    """Landmarks, weights, constant, curve and share of toxic labels."""
+    docs, share = sample(docs, labels, train_docs)
+    toxic = np.array([t for _, t in docs], bool)
+    constant = {"names": [], "weights": np.zeros(0), "constant": 0.0, "curve": np.zeros(3), "share": share}
+    if toxic.all() or not toxic.any():
         return constant
-    plain = F.filter(F.transform(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: F.lower(F.regexp_replace(w, "[^\\p{L}]", ""))), lambda w: w != "")
-    pairs = rows.select("toxic", plain.alias("w")).select("toxic", F.explode(F.array_distinct(
-        F.zip_with("w", F.concat(F.array(F.lit("")), "w"), lambda w, before: F.struct(w.alias("w"), before.alias("before"))))).alias("p"))
-    seen = (pairs.where(F.length("p.w").between(ORDER, 2 * WINDOW)).select("toxic", "p.w", "p.before").distinct()
-            .groupBy("w").agg(F.sum("toxic").alias("in"), F.sum(1 - F.col("toxic")).alias("out")))
-    seen = stored(seen, "words")
-    ratio = TIED * sizes[1] / sizes[0]
-    tied = seen.where((F.col("in") >= LEAST_SEEN) & (F.col("in") > ratio * F.col("out"))).orderBy(F.desc("in"), "w").limit(CANDIDATES).collect()
-    common = seen.where("out > 0").orderBy(F.desc("out"), "w").limit(COMMON).collect()
-    names = choose([(r["w"], r["in"]) for r in tied], [(r["w"], r["out"]) for r in common])
+    seen, ratio = _seen(docs), TIED * toxic.sum() / (~toxic).sum()
+    tied = sorted(((w, a) for w, a, b in seen if a >= 2 and a > ratio * b), key=lambda x: (-x[1], x[0]))[:CANDIDATES]
+    common = sorted(((w, b) for w, _, b in seen if b), key=lambda x: (-x[1], x[0]))
+    names = choose(tied, common, least=max(LEAST_SEEN, LEAST_SHARE * toxic.sum()))
     if not names:
         return constant
     own = {*names}
-    names += [w for w in dict.fromkeys(r["w"][:LONGEST] for r in common) if w not in own][:BACKGROUND]
+    names += [w for w in dict.fromkeys(w[:LONGEST] for w, _ in common) if w not in own][:BACKGROUND]
 
-    key = F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id")))
-    docs = [(r["text"].encode(), t) for t in (1, 0) for r in rows.where(F.col("toxic") == t).orderBy(key, "text").limit(train_docs).collect()]
     z = Landmarks(names)
     across = np.stack([kernel(padded(z.codes), c) for c in z.codes], axis=1)
     gram = (across / np.outer(z.own, z.own)) ** 2  # of the scaled landmarks
@@ -339,7 +357,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
         for w in s:
             if w in of_word:
                 x[i] += of_word[w]
-    owner, toxic = np.array(owner), np.array([t == 1 for _, t in docs])
+    owner = np.array(owner)
     mapped, bad = x @ root, toxic[owner]
     decision = x[:, :len(own)].sum(axis=1)
     ends = np.concatenate((np.flatnonzero(np.diff(owner)), [len(owner) - 1]))
@@ -354,10 +372,9 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
         weight = np.where(bad[use], 0.5 / len(pick), 0.5 / max(1, (~bad).sum()))
         theta = _machine(mapped[use], y, weight)
         decision = mapped @ theta[:-1] + theta[-1]
-    top = np.maximum.reduceat(decision, starts)
     weight = np.where(toxic, share / toxic.sum(), (1 - share) / (~toxic).sum()) * len(toxic)
-    slope, shift = _curve(top, toxic, weight)
-    return {"names": names, "weights": root @ theta[:-1], "constant": float(theta[-1]), "slope": slope, "shift": shift, "share": share}
+    curve = _curve(_evidence(decision, starts), toxic, weight)
+    return {"names": names, "weights": root @ theta[:-1], "constant": float(theta[-1]), "curve": curve, "share": share}
 
 
 def _score(model: dict):
@@ -370,7 +387,7 @@ def _score(model: dict):
                 if judge is None:
                     found.append(np.full(len(texts), model["share"]))
                 else:
-                    d = model["slope"] * judge.best(texts) + model["shift"]
+                    d = judge.evidence(texts) @ model["curve"]
                     found.append(1 / (1 + np.exp(-np.clip(d, -40, 40))))
 
             for t in b.column("text"):
@@ -390,12 +407,5 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled texts that may be learned from: one row per document row with a label, never a held-out one."""
-    known = (labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
-             .agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out(F.col("doc_id"))))
-    return texts(docs).join(known, "doc_id")
-
-
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(learnable(docs, labels)))
+    return score(docs, fit(docs, labels))
