@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmroll.session import shared_path
+from filmroll.session import attach, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +24,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Stands for a null id in keys.
+NO_ID = -(2**63)
+
+
+def without(docs: DataFrame, dropped: DataFrame, text_hash: str = "text_hash") -> DataFrame:
+    """`docs`, all columns, without the rows whose id and text are those of `dropped` (doc_id, text_hash)."""
+    id_, hash_ = "__id__", "__hash__"
+    while {id_, hash_} & {*docs.columns}:
+        id_, hash_ = f"_{id_}", f"_{hash_}"
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), hash_: F.xxhash64(F.coalesce("text", F.lit("")))})
+    out = dropped.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(id_), F.col(text_hash).alias(hash_)).distinct()
+    return attach(keyed, out, [id_, hash_], "left_anti", label="dropped", salt=[id_]).drop(id_, hash_)

@@ -25,7 +25,7 @@ WHITE = "[\\x20\\x09-\\x0D]+"
 def digests(docs: DataFrame) -> DataFrame:
     """One thin row per document: id, code points, digest of the text without white space."""
     t = texts(docs)
-    return t.select("doc_id", F.length("text").alias("n"),
+    return t.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("text_hash"),
                     F.unhex(F.sha2(F.regexp_replace("text", WHITE, ""), 256)).alias("digest"))
 
 
@@ -42,7 +42,7 @@ def frequent_digests(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs`."""
+    """doc_id, keep_id, group_size, kept, text_sha256 and text_hash (of the text as it is) for every row of `docs`."""
     rows = stored(digests(docs), "digests")
     frequent = stored(frequent_digests(rows, support), "frequent")
     heavy = stored(_winner(rows.join(F.broadcast(frequent), "digest")).where("group_size > 1"), "heavy")
@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     ordinary = rest.join(_winner(rest), "digest")
     return copies.select(ordinary.columns).union(ordinary).select(
         "doc_id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "text_hash")
 
 
 ORACLE = """

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filmroll.llm.common import stored
+from filmroll.llm.common import NO_ID, stored
 from filmroll.session import attach
 
 DIGITS = 3
@@ -127,6 +127,20 @@ def mix(docs: DataFrame, fraction: float = FRACTION, weights: dict = WEIGHTS, se
     return drawn.where("copies > 0").select("doc_id", *TREE, "tokens", "copies")
 
 
+def draw(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs`, all columns, each as often as it is drawn. Keys that `mix` draws together stay together."""
+    names = {c: f"__{c}__" for c in ("id", "lang", "source", "copies")}
+    while {*names.values()} & {*docs.columns}:
+        names = {c: f"_{n}" for c, n in names.items()}
+    key = [names["id"], names["lang"], names["source"]]
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    keyed = docs.withColumns(dict(zip(key, (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), known("lang"), known("source")))))
+    drawn = (mix(docs, **how).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key[0]), F.col("lang").alias(key[1]),
+                                     F.col("source").alias(key[2]), F.col("copies").alias(names["copies"])).dropDuplicates(key))
+    found = attach(keyed, drawn, key, label="drawn").where(F.regexp_like(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]")))
+    return found.withColumn(names["copies"], F.explode(F.sequence(F.lit(1).cast("bigint"), names["copies"]))).select(*[f"`{c}`" for c in docs.columns])
+
+
 def _case(level: str) -> str:
     known = "".join(f" WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items())
     return f"CASE {level}{known} ELSE 1.0 END" if known else "1.0"

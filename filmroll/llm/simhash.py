@@ -67,12 +67,13 @@ def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint's 64 bits as a signed long."""
-    return texts(docs).mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    """doc_id, a hash of the text as it is, and the fingerprint's 64 bits as a signed long."""
+    rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -227,7 +228,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, run: int = RUN) -> Da
 
 
 def near_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links) for every row."""
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links) and text_hash for every row."""
     rows = stored(fingerprints(docs), "fingerprints")
     unknown = F.lit(2**63 - 1)
     own = stored(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", unknown)).alias("least")), "distinct")
@@ -235,4 +236,4 @@ def near_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     joined = own.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = joined.join(least, "root").select("fp", F.when(F.col("component_id") != unknown, F.col("component_id")).alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")

@@ -33,6 +33,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -377,6 +378,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
     return {"names": names, "weights": root @ theta[:-1], "constant": float(theta[-1]), "curve": curve, "share": share}
 
 
+def _probability(d: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(d, -40, 40)))
+
+
 def _score(model: dict):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model["names"], model["weights"], model["constant"]) if model["names"] else None
@@ -387,8 +392,7 @@ def _score(model: dict):
                 if judge is None:
                     found.append(np.full(len(texts), model["share"]))
                 else:
-                    d = judge.evidence(texts) @ model["curve"]
-                    found.append(1 / (1 + np.exp(-np.clip(d, -40, 40))))
+                    found.append(_probability(judge.evidence(texts) @ model["curve"]))
 
             for t in b.column("text"):
                 texts.append(t.as_py().encode())
@@ -409,3 +413,24 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
+
+
+def clean(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of `docs`, all columns, that are not predicted toxic."""
+    judge = None
+
+    def judged(column: pd.Series) -> pd.Series:
+        nonlocal judge
+        if not model["names"]:
+            return pd.Series(np.full(len(column), model["share"]))
+        judge = judge or Judge(model["names"], model["weights"], model["constant"])
+        raw, found, at = [t.encode() for t in column], [], 0
+        while at < len(raw):
+            stop, held = at, 0
+            while stop < len(raw) and held <= SLICE:
+                held, stop = held + len(raw[stop]), stop + 1
+            found.append(_probability(judge.evidence(raw[at:stop]) @ model["curve"]))
+            at = stop
+        return pd.Series(np.concatenate(found) if found else np.zeros(0))
+
+    return docs.where(F.pandas_udf(judged, "double")(F.coalesce("text", F.lit(""))) < THRESHOLD)
