@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filmroll.llm import bpe, exact_dedup, licenses, mixing, secrets, simhash, toxicity, warc
+from filmroll.llm import bpe, exact_dedup, licenses, mixing, repeats, secrets, simhash, toxicity, warc
 from filmroll.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_license_scan, op4_simhash_near_dedup, op6_secret_scan, op7_exact_dedup,
-                                  op8_bpe, op9_mixing)}
+                                  op8_bpe, op9_mixing, op10_suffix_dedup)}
 ORACLES = {"op2_warc": warc.ORACLE, "op3_license_scan": licenses.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
