@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filmroll.llm import bpe, exact_dedup, licenses, mixing, repeats, secrets, simhash, toxicity, warc
+from filmroll.llm import bpe, chroma, exact_dedup, licenses, mixing, repeats, secrets, simhash, toxicity, warc
 from filmroll.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.search(chroma.recordings(table(spark, sf_dir, "embeddings")))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_license_scan, op4_simhash_near_dedup, op6_secret_scan, op7_exact_dedup,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_license_scan, op4_simhash_near_dedup, op5_chroma_fingerprints, op6_secret_scan, op7_exact_dedup,
                                   op8_bpe, op9_mixing, op10_suffix_dedup)}
 ORACLES = {"op2_warc": warc.ORACLE, "op3_license_scan": licenses.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
