@@ -53,3 +53,31 @@ def test_nulls_short_repeats_and_empty_tables(spark):
 def test_recordings_of_odd_vectors(spark):
     df = spark.createDataFrame([(1, [0.1, float("nan"), None, 3e9]), (2, None), (3, [])], "vec_id long, embedding array<float>")
     assert [len(r.pcm) for r in chroma.recordings(df).orderBy("id").collect()] == [4 * 500 * 2, 0, 0]
+
+
+def test_recall_against_every_offset(spark):
+    """Of all recordings that align with a query within the error allowed, at least nine in ten are found."""
+    rng = np.random.default_rng(9)
+    tunes = [tune(rng, 40) for _ in range(8)]
+    rows = []
+    for i in range(160):
+        x = tunes[rng.integers(len(tunes))]
+        x = x[int(rng.integers(0, 16)) * chroma.HOP:]
+        rows.append((i, pcm(x + rng.normal(0, rng.choice([20, 200, 600, 1500]), len(x)))))
+    prints = {i: chroma.fingerprint(np.frombuffer(p, "<i2")) for i, p in rows}
+    got = {r["id"]: r["n_matches"] for r in search(spark, rows)}
+    want = found = 0
+    for q in range(0, 160, 10):
+        n = 0
+        for r in range(160):
+            if r != q and not np.array_equal(prints[q], prints[r]):
+                a, b = prints[r], prints[q]
+                errors = [1.0]
+                for offset in range(-len(b), len(a)):
+                    x, y = a[max(0, offset):], b[max(0, -offset):]
+                    m = min(len(x), len(y))
+                    if m >= chroma.LEAST_OVERLAP:
+                        errors.append(np.bitwise_count(x[:m] ^ y[:m]).sum() / (32 * m))
+                n += min(errors) <= chroma.MOST_ERROR
+        want, found = want + n, found + min(n, got[q])
+    assert want > 100 and found >= 0.9 * want, (found, want)
