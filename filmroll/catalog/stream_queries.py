@@ -75,10 +75,10 @@ def st_run_sessions(spark, sf):
     return sessions.select("run_id", _time("session_start"), _time("session_end"), "events", "ends")
 
 
-@query("st_frame_dedupe", EVENT_SQL + "SELECT DISTINCT run_id, CAST(idx AS BIGINT) AS idx, status FROM ev WHERE kind = 'done'")
+@query("st_frame_dedupe", EVENT_SQL + "SELECT DISTINCT run_id, CAST(idx AS BIGINT) AS idx FROM ev WHERE kind = 'done'")
 def st_frame_dedupe(spark, sf):
     """With a delay longer than the table: a frame counts once, whenever it is reported again."""
-    return st.run_once(st.frames_once(events(spark, sf), "400 days"), "once").select("run_id", "idx", "status")
+    return st.run_once(st.frames_once(events(spark, sf), "400 days"), "once").select("run_id", "idx")
 
 
 @query("st_start_done", EVENT_SQL + f""", p AS (SELECT s.run_id, s.idx, s.ts AS started, d.ts AS ended, d.status FROM (SELECT * FROM ev WHERE kind = 'start') s LEFT JOIN (SELECT * FROM ev WHERE kind = 'done') d

@@ -69,7 +69,7 @@ def agg_linear_scale(spark, sf):
 fit AS (SELECT a.*, coalesce(pg, sg, grade) AS g, hp, d_hi FROM asked a JOIN fit_grade f ON a.roll_id = f.roll_id AND a.frame_id = f.frame_id)
 SELECT f.roll_id, f.frame_id, mode, round(CASE WHEN mode = 'paper' THEN coalesce(pe, se, (hp - 1.5e0) / g + 1.5e0 - d_hi) END, 6) AS exposure,
   round(CASE WHEN mode = 'paper' THEN g END, 6) AS grade, round(CASE WHEN mode = 'linear' THEN 0.8e0 / highlight END, 6) AS linear_scale,
-  CASE WHEN mode = 'paper' THEN coalesce(pg, sg) IS NULL END AS grade_fitted
+  CASE WHEN mode = 'paper' THEN coalesce(pg, sg) IS NULL END AS grade_fitted, CAST(NULL AS VARCHAR) AS error
 FROM fit f JOIN flat l ON f.roll_id = l.roll_id AND f.frame_id = l.frame_id""")
 def agg_resolve_tone(spark, sf):
     ranges = materialize(tone.density_range(positives(spark, sf)), "ranges")
@@ -79,7 +79,7 @@ def agg_resolve_tone(spark, sf):
         F.when(frame % 4 == 1, 0.3).alias("pinned_exposure"), F.when(frame % 6 == 2, 0.9).alias("pinned_grade"),
         F.when(frame % 3 == 1, -0.2).alias("saved_exposure"), F.when(frame % 3 == 1, 0.8).alias("saved_grade"))
     fits = tone.fit_print(ranges.join(asked, FRAME), curve(), F.coalesce("pinned_grade", "saved_grade"))
-    return rounded(tone.resolve_tone(asked, fits, tone.linear_scale(positives(spark, sf))))
+    return rounded(tone.resolve_tone(asked, fits, tone.linear_scale(positives(spark, sf))))  # `error` is NULL here
 
 
 AUTO_SQL = """

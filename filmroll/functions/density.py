@@ -9,7 +9,8 @@ from filmroll.constants import AMBER_CC, LUMINANCE, MIN_TRANSMITTANCE, RED_CC
 
 
 def floored(value: Column) -> Column:
-    return F.greatest(value, F.lit(MIN_TRANSMITTANCE))
+    """A missing value stays missing."""
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(MIN_TRANSMITTANCE)))
 
 
 def density(value: Column) -> Column:

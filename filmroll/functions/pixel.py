@@ -55,8 +55,8 @@ class Curve:
 
     @staticmethod
     def from_table(table: DataFrame, low: float, high: float, limit: int = 65_536) -> "Curve":
-        """From rows `(i, v)`, divided by the largest value. A curve is one short vector; a table that
-        is not is refused."""
+        """From rows `(i, v)`, divided by the largest value. A curve becomes a literal of the plan, so a
+        table of more than `limit` rows is refused; raise it for a longer curve."""
         rows = table.select("i", "v").limit(limit + 1).collect()
         if not 2 <= len(rows) <= limit:
             raise ValueError(f"a curve has 2 to {limit} entries")
@@ -64,10 +64,10 @@ class Curve:
         return Curve(tuple(v / max(values) for v in values), low, high)
 
     def lookup(self, at: Column) -> Column:
-        """Linear interpolation, clamped at both ends. The table is one array literal in the plan."""
+        """Linear interpolation, clamped at both ends; NULL where `at` is. The table is one array literal in the plan."""
         last = len(self.values) - 1
         table = F.from_json(F.lit("[" + ",".join(repr(float(v)) for v in self.values) + "]"), "array<double>")
-        t = F.least(F.greatest((at - self.low) * (1.0 / (self.high - self.low)), F.lit(0.0)), F.lit(1.0)) * last
+        t = F.when(at.isNotNull(), F.least(F.greatest((at - self.low) * (1.0 / (self.high - self.low)), F.lit(0.0)), F.lit(1.0))) * last
         below = F.floor(t)
         lo = F.get(table, below.cast("int"))
         hi = F.get(table, F.least(below.cast("int") + 1, F.lit(last)))

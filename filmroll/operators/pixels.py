@@ -40,8 +40,8 @@ def to_working(df: DataFrame, matrix=None, matrices: DataFrame | None = None) ->
 
 
 def clean_nonfinite(df: DataFrame) -> DataFrame:
-    """NaN or infinite values become 0; `bad` marks the pixel once, however many channels it hit."""
-    fine = {c: is_finite(F.col(c)) for c in RGB}
+    """NaN, infinite or missing values become 0; `bad` marks the pixel once, however many channels it hit."""
+    fine = {c: F.coalesce(is_finite(F.col(c)), F.lit(False)) for c in RGB}
     return df.withColumns({"bad": ~(fine["r"] & fine["g"] & fine["b"]),
                            **{c: F.when(ok, F.col(c)).otherwise(F.lit(0.0)) for c, ok in fine.items()}})
 
@@ -68,10 +68,11 @@ def apply_gain(df: DataFrame, gains: DataFrame) -> DataFrame:
 
 
 def with_profile(df: DataFrame, profile: dict[str, float] | DataFrame, on: list[str] = FRAME) -> DataFrame:
-    """Put the six calibration columns next to each pixel."""
+    """Put the six calibration columns next to each pixel; NULL where there is no calibration, so that what is
+    computed from them is NULL too and no pixel comes out looking valid."""
     if isinstance(profile, dict):
         return df.withColumns({k: F.lit(float(v)) for k, v in profile.items()})
-    return attach(df, profile.select(*on, *PROFILE), on, "inner", "profiles", PLACE, known_bytes(profile))
+    return attach(df, profile.select(*on, *PROFILE), on, "left", "profiles", PLACE, known_bytes(profile))
 
 
 def _wb(c: str) -> Column:
@@ -109,7 +110,7 @@ def develop(df: DataFrame, stage: Stage, profile: dict[str, float] | DataFrame)
     return to_positive(calibrated)
 
 
-def with_tone(df: DataFrame, frame_tone: DataFrame, how: str = "inner") -> DataFrame:
+def with_tone(df: DataFrame, frame_tone: DataFrame, how: str = "left") -> DataFrame:
     return attach(df, frame_tone.select(*FRAME, "exposure", "grade", "linear_scale"), FRAME, how, "tone", PLACE,
                   known_bytes(frame_tone))
 

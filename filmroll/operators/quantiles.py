@@ -9,19 +9,21 @@ next pass looks only at rows inside those buckets:
 * later passes cut each still-wide bucket linearly between its own smallest and largest value;
 * once every wanted bucket is small, its distinct values are ranked by a window over that bucket.
 
-Buckets come from arithmetic that never decreases as the value grows, so ranks are exact. Values must
-be finite and not null.
+Buckets come from arithmetic that never decreases as the value grows, so ranks are exact. NULL values are left
+out; a NaN or an infinity has no rank, so a group that holds one has no quantiles, whatever its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from filmroll.session import attach, store
+from filmroll.functions.pixel import is_finite
+from filmroll.session import attach, materialize, store
 
 BUCKETS_PER_OCTAVE = 64
 SMALLEST_EXPONENT = 100
@@ -143,17 +145,30 @@ def is_small(df: DataFrame, rows: int) -> bool:
 
 def channel_quantiles(df: DataFrame, groups: list[str], columns: list[str], probs: dict[str, float],
                       at_most: int | None = None) -> DataFrame:
-    """Per group: `n` and, for every column and name in `probs`, `{column}_{name}`: linearly
-    interpolated between the two neighbouring order statistics.
-
-    `at_most` is a known bound on the rows of a group; without one it is counted. Groups within a small
-    measured bound use the built-in exact percentile, larger ones the counting passes above."""
-    if is_small(df, largest_group(df, groups) if at_most is None else at_most):
+    """Per group: `n` (values of the first column), `n_bad` (rows with a NaN or infinity) and, for every
+    column and name in `probs`, `{column}_{name}`: linearly interpolated between the two neighbouring order
+    statistics; NULL if `n_bad` isn't 0 or the column has no values. Every group gets a row.
+
+    `at_most` is a known bound on the rows of a group; without one it is counted, with `n` and `n_bad`, in one
+    pass. Groups within a small measured bound use the built-in exact percentile, larger ones the counting
+    passes above; both give the same rows."""
+    df = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns])
+    bad = F.count_if(reduce(Column.__or__, [~is_finite(F.col(c)) & F.col(c).isNotNull() for c in columns]))
+    counts = [F.count(columns[0]).alias("n"), bad.alias("n_bad")]
+    whole = {c: F.when(is_finite(F.col(c)), F.col(c)) for c in columns}
+    sound = F.col("n_bad") == 0
+    sizes = None
+    if at_most is None:
+        sizes, facts = store(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"), *counts), "sizes", largest=F.max("_rows"))
+        at_most = int(facts["largest"] or 0)
+    if is_small(df, at_most):
         ask = F.array(*[F.lit(p) for p in probs.values()])
-        found = df.groupBy(*groups).agg(
-            F.count(columns[0]).alias("n"), *[F.percentile(c, ask).alias(f"_{c}") for c in columns])
-        return found.select(*groups, "n", *[
-            F.get(f"_{c}", F.lit(i)).alias(f"{c}_{k}") for c in columns for i, k in enumerate(probs)])
+        found = df.groupBy(*groups).agg(*counts, *[F.percentile(whole[c], ask).alias(f"_{c}") for c in columns])
+        return found.select(*groups, "n", "n_bad", *[
+            F.when(sound, F.get(f"_{c}", F.lit(i))).alias(f"{c}_{k}") for c in columns for i, k in enumerate(probs)])
+    if sizes is None:
+        sizes = materialize(df.groupBy(*groups).agg(*counts), "sizes")
+    df = df.select(*groups, *[whole[c].alias(c) for c in columns])
 
     def ranks(n: Column) -> Column:
         at = [(n - 1) * F.lit(p) for p in probs.values()]
@@ -169,8 +184,9 @@ def channel_quantiles(df: DataFrame, groups: list[str], columns: list[str], prob
         share = F.max(F.when(F.col("_column") == c, h - F.floor(h)))
         return lo + (hi - lo) * share
 
-    return stats.groupBy(*groups).agg(
-        F.max("n").alias("n"), *[at(c, p).alias(f"{c}_{k}") for c in columns for k, p in probs.items()])
+    wide = stats.groupBy(*groups).agg(*[at(c, p).alias(f"{c}_{k}") for c in columns for k, p in probs.items()])
+    joined = attach(sizes, wide, groups, "left", label="quantiles", skewed=False)
+    return joined.select(*groups, "n", "n_bad", *[F.when(sound, F.col(f"{c}_{k}")).alias(f"{c}_{k}") for c in columns for k in probs])
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float],

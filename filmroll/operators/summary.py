@@ -49,12 +49,15 @@ def low_grades(results: DataFrame) -> DataFrame:
 
 
 def warning_groups(results: DataFrame) -> DataFrame:
-    """Warnings grouped by message with the frame's own name taken off, in order of first appearance
+    """Warnings grouped by message with the frame's own name or path taken off, in order of first appearance
     (`first_frame`, `first_part`), naming the first few frames."""
     parts = results.where(F.col("warning").isNotNull()).select(
         *ROLL, "frame_id", "name", F.posexplode(F.split("warning", "; ")).alias("part", "_text"))
-    own = F.concat(F.col("name"), F.lit(": "))
-    message = F.when(F.startswith("_text", own), F.expr("substring(_text, length(name) + 3)")).otherwise(F.col("_text"))
+    # a frame's warning may begin with its name or with its whole path
+    head = F.substring_index("_text", ": ", 1)
+    by_path = (head != F.col("_text")) & (F.substring_index(head, "/", -1) == F.col("name"))
+    message = (F.when(F.startswith("_text", F.concat(F.col("name"), F.lit(": "))), F.expr("substring(_text, length(name) + 3)"))
+               .when(by_path, F.expr("substring(_text, length(substring_index(_text, ': ', 1)) + 3)")).otherwise(F.col("_text")))
     rows = parts.withColumn("message", message).where(F.col("message") != "")
     named = listed_names(rows, [*ROLL, "message"], "name", ["frame_id", "part"], MAX_NAMES, " and %d more")
     first = rows.groupBy(*ROLL, "message").agg(F.min(F.struct("frame_id", "part")).alias("_f"))

@@ -84,24 +84,33 @@ def fit_print(ranges: DataFrame, curve: Curve, grade: Column | None = None) -> D
 
 
 def linear_scale(positive: DataFrame) -> DataFrame:
-    """Per frame: the flat scale that puts a robust highlight, over all channels pooled, at 0.8."""
+    """Per frame: the flat scale that puts a robust highlight, over all channels pooled, at 0.8. A highlight that
+    isn't a number gives an error instead of a scale."""
     pooled = positive.select(*FRAME, F.explode(F.array("r", "g", "b")).alias("_v"))
     q = exact_quantiles(pooled, FRAME, "_v", {"highlight": FLAT_PERCENTILE}, 3 * largest_group(positive, FRAME))
     h = F.col("highlight")
-    return q.select(*FRAME, h, F.when(h > 0, F.lit(FLAT_TARGET) / F.when(h > 0, h)).otherwise(F.lit(1.0)).alias("linear_scale"))
+    ok = F.coalesce(is_finite(h), F.lit(False))
+    return q.select(*FRAME, h, F.when(ok, F.when(h > 0, F.lit(FLAT_TARGET) / F.when(h > 0, h)).otherwise(F.lit(1.0))).alias("linear_scale"),
+                    F.when(~ok, "no flat scale: the brightest values aren't valid numbers").alias("error"))
 
 
 def resolve_tone(frames: DataFrame, fits: DataFrame, scales: DataFrame) -> DataFrame:
-    """What each frame is printed with. `frames` carries `mode` ("paper" / "linear") and optional
+    """What each frame is printed with, or why it can't be (`error`, where nothing pinned or saved helps). `frames` carries `mode` ("paper" / "linear") and optional
     `pinned_exposure`, `pinned_grade`, `saved_exposure`, `saved_grade`: a pin beats a saved value,
     which beats the fit. `fits` must have been made with the same grades pinned."""
-    joined = frames.join(fits.select(*FRAME, "exposure", "grade"), FRAME, "left").join(
-        scales.select(*FRAME, "linear_scale"), FRAME, "left")
+    def said(df: DataFrame, name: str) -> Column:
+        return (F.col("error") if "error" in df.columns else F.lit(None).cast("string")).alias(name)
+
+    joined = frames.join(fits.select(*FRAME, "exposure", "grade", said(fits, "_fit_error")), FRAME, "left").join(
+        scales.select(*FRAME, "linear_scale", said(scales, "_scale_error")), FRAME, "left")
     paper = F.col("mode") == "paper"
     chosen = F.coalesce("pinned_grade", "saved_grade")
-    return joined.select(
+    out = joined.select(
         *FRAME, "mode",
         F.when(paper, F.coalesce("pinned_exposure", "saved_exposure", "exposure")).alias("exposure"),
         F.when(paper, F.coalesce(chosen, F.col("grade"))).alias("grade"),
         F.when(~paper, F.col("linear_scale")).alias("linear_scale"),
-        F.when(paper, chosen.isNull()).alias("grade_fitted"))
+        F.when(paper, chosen.isNull()).alias("grade_fitted"), "_fit_error", "_scale_error")
+    unfit = F.when(paper, F.col("exposure").isNull() | F.col("grade").isNull()).otherwise(F.col("linear_scale").isNull())
+    reason = F.coalesce(F.when(paper, F.col("_fit_error")).otherwise(F.col("_scale_error")), F.lit("the frame has no fit"))
+    return out.withColumn("error", F.when(unfit, reason)).drop("_fit_error", "_scale_error")

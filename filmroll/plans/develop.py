@@ -13,11 +13,30 @@ FRAME = px.FRAME
 
 
 def frame_tones(positive: DataFrame, curve: Curve, grade: Column | None = None) -> DataFrame:
-    """Each frame's fitted exposure and grade."""
+    """Each frame's fitted exposure and grade, or the error that kept it from a fit."""
     fits = tone.fit_print(tone.density_range(positive), curve, grade)
     return fits.withColumn("linear_scale", F.lit(None).cast("double"))
 
 
+def printed(positive: DataFrame, curve: Curve) -> DataFrame:
+    """Frames that could be fitted, printed; `develop_errors` says which could not and why."""
+    tones = materialize(frame_tones(positive, curve).where("error IS NULL").select(*FRAME, "exposure", "grade", "linear_scale"), "tones")
+    return px.print_paper(px.with_tone(positive, tones, "inner"), curve)
+
+
+def develop_errors(negatives: DataFrame, profile: DataFrame, curve: Curve) -> DataFrame:
+    """One row per frame that can't be developed, with the first reason: too many pixels that aren't numbers, no
+    calibration, or a density range that can't be fitted."""
+    report = materialize(px.nonfinite_report(px.clean_nonfinite(negatives)), "report")
+    known = report.join(profile.select(*FRAME, F.lit(True).alias("_known"), *px.PROFILE), FRAME, "left")
+    whole = F.col("_known") & ~F.greatest(*[F.col(c).isNull().cast("int") for c in px.PROFILE]).cast("boolean")
+    early = known.select(*FRAME, F.when(F.col("failed"), F.col("message")).when(~F.coalesce(whole, F.lit(False)), "the frame has no calibration").alias("error"))
+    early = materialize(early.where("error IS NOT NULL"), "early")
+    rest = attach(px.clean_nonfinite(negatives).drop("bad"), early.select(*FRAME), FRAME, "left_anti", "early", px.PLACE)
+    late = frame_tones(px.develop(rest, px.Stage.FULL, profile), curve).where("error IS NOT NULL").select(*FRAME, "error")
+    return early.unionByName(late)
+
+
 def usable_frames(negatives: DataFrame) -> DataFrame:
     """Cleaned pixels without the frames too broken to develop; `nonfinite_report` says which and why."""
     cleaned = px.clean_nonfinite(negatives)
@@ -31,8 +50,7 @@ def print_frames(negatives: DataFrame, profile, curve: Curve, gains: DataFrame |
     if gains is not None:
         frames = px.apply_gain(frames, gains)
     positive = px.develop(frames, px.Stage.FULL, profile)
-    tones = materialize(frame_tones(positive, curve).select(*FRAME, "exposure", "grade", "linear_scale"), "tones")
-    return px.print_paper(px.with_tone(positive, tones), curve)
+    return printed(positive, curve)
 
 
 def print_summary(negatives: DataFrame, profile, curve: Curve) -> DataFrame:
@@ -58,5 +76,4 @@ def develop_rolls(negatives: DataFrame, curve: Curve, stride: int, gains: DataFr
     if gains is not None:
         frames = px.apply_gain(frames, gains)
     positive = px.to_positive(px.with_profile(frames, rolls, ["roll_id"]))
-    tones = materialize(frame_tones(positive, curve).select(*FRAME, "exposure", "grade", "linear_scale"), "tones")
-    return px.print_paper(px.with_tone(positive, tones), curve)
+    return printed(positive, curve)

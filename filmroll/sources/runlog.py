@@ -15,7 +15,7 @@ def human_time(seconds: Column) -> Column:
     s = F.greatest(seconds, F.lit(0.0))
     whole = F.rint(s).cast("bigint")
     minutes = F.floor(whole / 60)
-    return (F.when(F.round(s, 1) < 60, F.concat(F.format_string("%.1f", s), F.lit("s")))
+    return (F.when(seconds.isNull(), F.lit(None).cast("string")).when(F.round(s, 1) < 60, F.concat(F.format_string("%.1f", s), F.lit("s")))
             .when(minutes < 60, F.format_string("%dm%02ds", minutes, whole % 60))
             .otherwise(F.format_string("%dh%02dm", F.floor(minutes / 60), minutes % 60)))
 

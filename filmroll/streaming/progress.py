@@ -63,8 +63,8 @@ def run_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
 
 
 def frames_once(events: DataFrame, delay: str) -> DataFrame:
-    """A frame reported twice counts once."""
-    return events.where(F.col("kind") == "done").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "idx", "status"])
+    """A frame reported twice counts once, whatever it was reported as: the first report seen stands."""
+    return events.where(F.col("kind") == "done").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "idx"])
 
 
 def start_to_done(events: DataFrame, within: str, delay: str) -> DataFrame:

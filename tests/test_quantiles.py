@@ -53,3 +53,20 @@ def test_one_group_holds_most_rows(spark, paths):
     got = {r.g: r.mid for r in exact_quantiles(df, ["g"], "v", {"mid": 0.5}).collect()}
     want = {r.g: r.mid for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("mid")).collect()}
     assert got == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), -float("inf"), None])
+def test_both_paths_agree_on_bad_values(spark, bad):
+    rows = [("a", float(i), -float(i)) for i in range(100)] + [("a", bad, 1.0), ("b", 1.0, 2.0), ("b", 3.0, None), ("c", None, None), ("d", bad, bad)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    found = []
+    for small in ("0", "20000"):
+        spark.conf.set("spark.filmroll.quantile.smallGroupRows", small)
+        found.append(sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+                            for r in channel_quantiles(df, ["g"], ["v", "w"], {"q": 0.3, "r": 0.9}).collect()))
+    spark.conf.unset("spark.filmroll.quantile.smallGroupRows")
+    assert repr(found[0]) == repr(found[1])
+    got = {r[0]: r for r in found[0]}
+    assert set(got) == {"a", "b", "c", "d"}
+    assert (got["a"][2], got["a"][3] is None) == ((0, False) if bad is None else (1, True))
+    assert got["c"][1:3] == (0, 0) and got["c"][3] is None
