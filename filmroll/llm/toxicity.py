@@ -28,8 +28,8 @@ repeated rows each get a row; a null id is not held out; an empty table gives no
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -285,6 +285,17 @@ def _curve(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
+    """The model, trained in one task on its bounded sample."""
+    found, share = sample(docs, labels, train_docs)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((d, t.encode(), toxic == 1) for b in batches for d, t, toxic in zip(b["doc_id"], b["text"], b["toxic"]))
+        yield pd.DataFrame({"model": [pickle.dumps(train([(t, toxic) for _, t, toxic in rows], share))]})
+
+    return pickle.loads(found.repartition(1).mapInPandas(task, "model binary").first()["model"])
+
+
 def _sentences(text: bytes) -> list[list[bytes]]:
     out, now = [], []
     for w in text.split():
@@ -295,7 +306,7 @@ def _sentences(text: bytes) -> list[list[bytes]]:
     return [*out, now] if now or not out else out
 
 
-def sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[tuple[bytes, bool]], float]:
+def sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[DataFrame, float]:
     """The training texts with their labels, and the share of toxic ones among all labels that may be learned from.
     Ids are drawn from the labels alone; of several rows with one id the largest text counts."""
     known = (labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
@@ -304,27 +315,26 @@ def sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) ->
     key = F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id")))
     drawn = [known.where(F.col("toxic") == t).orderBy(key).limit(train_docs) for t in (1, 0)]
     found = texts(docs).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
-    rows = sorted((r["doc_id"], r["text"].encode(), r["toxic"] == 1) for r in found.collect())
-    return [(text, toxic) for _, text, toxic in rows], sizes.get(1, 0) / max(1, sum(sizes.values()))
+    return found, sizes.get(1, 0) / max(1, sum(sizes.values()))
 
 
 def _seen(docs: list[tuple[bytes, bool]]) -> list[tuple[str, int, int]]:
     """Of each word's letters, the different words they follow in toxic and in other documents."""
-    pairs: tuple[set, set] = (set(), set())
+    number: dict[str, int] = {}
+    pairs: tuple[list, list] = ([], [])
     for text, toxic in docs:
         words = ["".join(filter(str.isalpha, w)) for w in text.decode().lower().split()]
-        words = [w for w in words if w]
-        pairs[not toxic].update(zip(words, ["", *words]))
-    count = [Counter(w for w, _ in p if ORDER <= len(w) <= 2 * WINDOW) for p in pairs]
-    return [(w, count[0][w], count[1][w]) for w in {*count[0], *count[1]}]
+        ids = np.array([0] + [number.setdefault(w, len(number) + 1) for w in words if w], np.int64)
+        pairs[not toxic].append(np.unique(ids[1:] << 32 | ids[:-1]))
+    count = [np.bincount(np.unique(np.concatenate(p)) >> 32, minlength=len(number) + 1) for p in pairs]
+    return [(w, int(count[0][i]), int(count[1][i])) for w, i in number.items() if ORDER <= len(w) <= 2 * WINDOW]
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
+def train(docs: list[tuple[bytes, bool]], share: float) -> dict:
     """Landmarks, weights, constant, curve and share of toxic labels."""
-    docs, share = sample(docs, labels, train_docs)
     toxic = np.array([t for _, t in docs], bool)
     constant = {"names": [], "weights": np.zeros(0), "constant": 0.0, "curve": np.zeros(3), "share": share}
-    if toxic.all() or not toxic.any():
+    if not len(toxic) or toxic.all() or not toxic.any():
         return constant
     seen, ratio = _seen(docs), TIED * toxic.sum() / (~toxic).sum()
     tied = sorted(((w, a) for w, a, b in seen if a >= 2 and a > ratio * b), key=lambda x: (-x[1], x[0]))[:CANDIDATES]
@@ -341,24 +351,30 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
     values, vectors = np.linalg.eigh(gram)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
 
-    sentences, owner = [], []
+    number: dict[bytes, int] = {}
+    words, of, owner = [], [], []  # of each word its number and its sentence, of each sentence its document
     for i, (text, _) in enumerate(docs):
-        for s in _sentences(text) + [[m] for m in APART.findall(text)]:
-            sentences.append(s)
+        for sentence in _sentences(text) + [[m] for m in APART.findall(text)]:
+            words += [number.setdefault(w, len(number)) for w in sentence]
+            of += [len(owner)] * len(sentence)
             owner.append(i)
-    vocabulary = list({w for s in sentences for w in s})
-    forms = [z.alphabet(w.decode()) for w in vocabulary]
+    forms = [z.alphabet(w.decode()) for w in number]
     parts = [(i, p) for i, f in enumerate(forms) if len(f) - f.count(0) >= ORDER for p in z.windows(f)]
-    of_word: dict[bytes, np.ndarray] = {}
-    for (i, _), v in zip(parts, z([p for _, p in parts]) if parts else ()):
-        if v.sum() > np.sum(of_word.get(vocabulary[i], 0)):  # of a long word, the window that is most like a landmark
-            of_word[vocabulary[i]] = v
-    x = np.zeros((len(sentences), len(names)))
-    for i, s in enumerate(sentences):
-        for w in s:
-            if w in of_word:
-                x[i] += of_word[w]
-    owner = np.array(owner)
+    best: dict[int, np.ndarray] = {}
+    for at in range(0, len(parts), 50_000):
+        some = parts[at:at + 50_000]
+        vectors_ = z([p for _, p in some])
+        for j in np.flatnonzero(vectors_.any(axis=1)):
+            i = some[j][0]
+            if i not in best or vectors_[j].sum() > best[i].sum():  # of a long word, the window most like a landmark
+                best[i] = vectors_[j].copy()
+    row = np.full(len(number) + 1, -1, np.int64)
+    row[list(best)] = np.arange(len(best))
+    words, of, owner = np.array(words, np.int64), np.array(of, np.int64), np.array(owner, np.int64)
+    x = np.zeros((len(owner), len(names)))
+    if best:
+        some = np.flatnonzero(row[words] >= 0)
+        np.add.at(x, of[some], np.stack(list(best.values()))[row[words[some]]])
     mapped, bad = x @ root, toxic[owner]
     decision = x[:, :len(own)].sum(axis=1)
     ends = np.concatenate((np.flatnonzero(np.diff(owner)), [len(owner) - 1]))
