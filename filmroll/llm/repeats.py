@@ -37,7 +37,7 @@ from filmroll.session import attach
 
 LENGTH = 100
 KMER = 24
-SHARD = 16 << 20
+SHARD = 2 << 20
 #: Bytes of a document hashed at a time.
 PIECE = 1 << 20
 #: Rows among which a task looks for equal segments.

@@ -3,7 +3,7 @@
 A suffix smaller than its successor is of type S, any other of type L; an S after an L is an LMS suffix. Sorted LMS
 suffixes induce all others: whatever is sorted is scanned in order, and each suffix's predecessor joins the queue of
 its first byte. The keys of this priority queue, (first byte, turn), only grow, so it is one first-in first-out
-list per byte, whose rows move to disk when they outgrow `memory`. A row is a suffix's position and its common prefix with the row before it: one more
+list per byte, whose rows move to disk when all lists together outgrow `memory`. A row is a suffix's position and its common prefix with the row before it: one more
 than the least common prefix scanned since that row joined. L suffixes are induced going up, S suffixes going down.
 
 The LMS suffixes get their order from the same induction: fed with LMS positions in any order it sorts their substrings
@@ -30,11 +30,18 @@ BLOCK = 1 << 19
 ROW = 16
 
 
+class Pool:
+    """What the queues of a pass hold in memory together."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held = limit, 0
+
+
 class Queue:
-    """Rows (position, common prefix) in the order they joined; the older ones on disk beyond `limit` bytes."""
+    """Rows (position, common prefix) in the order they joined; the older ones on disk once the pool is full."""
 
-    def __init__(self, path: Path, limit: int):
-        self.path, self.limit, self.spilt, self.size = path, limit, 0, 0
+    def __init__(self, path: Path, pool: Pool):
+        self.path, self.pool, self.spilt, self.size = path, pool, 0, 0
         self.blocks: list[np.ndarray] = []
         self.starts: list[int] = []
 
@@ -42,12 +49,18 @@ class Queue:
         self.blocks.append(rows)
         self.starts.append(self.size)
         self.size += len(rows)
-        if (self.size - self.spilt) * ROW > self.limit:
+        self.pool.held += len(rows) * ROW
+        if self.pool.held > self.pool.limit and (self.size - self.spilt) * ROW > self.pool.limit // 256:
             with self.path.open("ab") as f:
                 for b in self.blocks:
                     f.write(np.ascontiguousarray(b).tobytes())
+            self.pool.held -= (self.size - self.spilt) * ROW
             self.blocks, self.starts, self.spilt = [], [], self.size
 
+    def drop(self) -> None:
+        self.blocks, self.starts = [], []
+        self.path.unlink(missing_ok=True)
+
     def _read(self, start: int, stop: int) -> np.ndarray:
         with self.path.open("rb") as f:
             f.seek(start * ROW)
@@ -95,7 +108,8 @@ class Sorter:
         return self.folder / f"{self.made}"
 
     def _queues(self) -> list[Queue]:
-        return [Queue(self._path(), self.memory // 256) for _ in range(256)]
+        pool = Pool(self.memory)
+        return [Queue(self._path(), pool) for _ in range(256)]
 
     def _array(self, n: int) -> np.ndarray:
         if n * 8 <= self.memory or not n:
@@ -271,7 +285,10 @@ class Sorter:
         if m == 1:
             yield from self.in_order(*self.induce(self._seeds(lms, np.arange(1), False)))
             return
-        _, small = self.induce(self._seeds(lms, np.arange(m), False))
+        seeds = self._seeds(lms, np.arange(m), False)
+        large, small = self.induce(seeds)
+        for q in seeds + large:
+            q.drop()
         ranks, shared, seen, rank, last = self._array(m), np.zeros(m, bool), 1, 0, None
         ends = lambda i: np.asarray(lms[np.minimum(i + 1, m - 1)]) - lms[i] + 1
         for c in range(256):
@@ -290,6 +307,8 @@ class Sorter:
                 ranks[i] = found
                 shared[i[same]] = shared[before[same]] = True
                 seen, rank, last = seen + len(i), int(found[-1]), int(i[-1])
+        for q in small:
+            q.drop()
         ranks[m - 1], step = 0, 1
         open_ = np.flatnonzero(shared)
         while len(open_) and 2 * step < self.depth:
