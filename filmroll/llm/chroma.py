@@ -39,9 +39,9 @@ FILTERS = 16
 WIDEST = 16
 LEVELS = (-0.12, 0.0, 0.12)
 EVERY = 100
-LEAST_VOTES = 4
+LEAST_VOTES = 2
 LEAST_OVERLAP = 20
-MOST_ERROR = 0.2
+MOST_ERROR = 0.12
 LAST = 2**63 - 1
 
 
