@@ -98,6 +98,8 @@ WORDS = "licen[cs]|copyright|warrant|permi|redistribut"
 STARTS = ("Licensed under|Released under|This work is|This program is|Permission is|Permission to|Redistribution|Neither the|"
           "THE SOFTWARE IS|The software is|The above copyright|You may|Unless required|You should have|See the|SPDX-")
 LINE_START = f"[\\x0A\\x0D]+[\\x20\\x09/*#;%-]*({STARTS})"
+#: An identifier ends with its line.
+IDENTIFIER = "(SPDX-License-Identifier:[^\\x0A\\x0D]*)"
 SENTENCE_END = "[.!?]+[\\x20\\x09-\\x0D]+|[.!?]+$|;[\\x20\\x09-\\x0D]+|:[\\x20\\x09]*[\\x0A\\x0D]+|[\\x0A\\x0D][\\x20\\x09]*[\\x0A\\x0D]+"
 NOISE = "[^a-z0-9+.:-]+"
 EDGES = "^[ .:+-]+|[ .:+-]+$"
@@ -111,7 +113,7 @@ def scan(docs: DataFrame) -> DataFrame:
         plain = F.regexp_replace(F.regexp_replace(F.lower(sentence), NOISE, " "), EDGES, "")
         return F.coalesce(F.try_element_at(known, plain), F.when(plain.rlike(WORDS), F.lit("UNKNOWN")))
 
-    begun = F.regexp_replace("text", LINE_START, ".\n$1")
+    begun = F.regexp_replace(F.regexp_replace("text", IDENTIFIER, "$1.\n"), LINE_START, ".\n$1")
     found = F.filter(F.transform(F.split(begun, SENTENCE_END), identify), lambda s: s.isNotNull())
     sequence = F.when(F.col("text").rlike(f"(?i){WORDS}"), F.array_join(F.transform(found, lambda s: F.concat(F.lit("<"), s, F.lit(">"))), ""))
     t = texts(docs).select("doc_id", F.coalesce(sequence, F.lit("")).alias("sequence"))
@@ -128,7 +130,7 @@ def _oracle() -> str:
     taken = reduce(lambda c, rule: f"replace({c}, '{''.join(f'<{s}>' for s in rule[0])}', '{{{rule[1]}}}')", RULES, "sequence")
     return f"""
 WITH cut AS (SELECT doc_id, unnest(list_zip(parts, range(len(parts)))) AS part FROM (
-    SELECT doc_id, regexp_split_to_array(regexp_replace(text, '{LINE_START}', E'.\\n\\\\1', 'g'), '{SENTENCE_END}') AS parts FROM documents)),
+    SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '{IDENTIFIER}', E'\\\\1.\\n', 'g'), '{LINE_START}', E'.\\n\\\\1', 'g'), '{SENTENCE_END}') AS parts FROM documents)),
 plain AS (SELECT doc_id, part[2] AS pos, regexp_replace(regexp_replace(lower(part[1]), '{NOISE}', ' ', 'g'), '{EDGES}', '', 'g') AS s FROM cut),
 named AS (SELECT doc_id, pos, coalesce({known}[s], CASE WHEN regexp_matches(s, '{WORDS}') THEN 'UNKNOWN' END) AS id FROM plain),
 seq AS (SELECT d.doc_id, coalesce(any_value(n.sequence), '') AS sequence FROM documents d LEFT JOIN (
