@@ -285,6 +285,19 @@ def join_frame_params(spark, sf):
     return rounded(px.to_positive(px.with_profile(matched, _frame_profiles(spark, sf))).select(*AT, *RGB), 4)
 
 
+@query("plan_develop_errors", P + """, bad AS (SELECT roll_id, frame_id, avg(CASE WHEN isnan(r) THEN 1e0 ELSE 0e0 END) AS share FROM scanned GROUP BY roll_id, frame_id),
+said AS (SELECT roll_id, frame_id, CASE WHEN share > 0.01 THEN printf('%.1f', share * 100) || '% of its pixels aren''t valid numbers'
+  WHEN frame_id % 7 IN (3, 5) THEN 'the frame has no calibration' END AS error FROM bad)
+SELECT * FROM said WHERE error IS NOT NULL""")
+def plan_develop_errors(spark, sf):
+    """Frames that can't be developed and why: some have no calibration, some a part of one."""
+    from filmroll.plans.develop import develop_errors
+
+    frames = scanned(spark, sf).select("roll_id", "frame_id").distinct().where("frame_id % 7 <> 3")
+    profile = frames.withColumns({k: F.when((F.col("frame_id") % 7 != 5) | (F.lit(k) != "s_b"), F.lit(float(v))) for k, v in PROFILE.items()})
+    return develop_errors(scanned(spark, sf), materialize(profile, "profile"), curve())
+
+
 @query("plan_print_frames", PRINT_SQL + """, failed AS (SELECT roll_id, frame_id FROM scanned GROUP BY roll_id, frame_id HAVING avg(CASE WHEN isnan(r) THEN 1e0 ELSE 0e0 END) > 0.01)
 SELECT p.roll_id, p.frame_id, count(*) AS pixels, round(any_value(exposure), 6) AS exposure, round(any_value(grade), 6) AS grade,
   round(avg(r), 6) AS mean_r, round(avg(g), 6) AS mean_g, round(avg(b), 6) AS mean_b

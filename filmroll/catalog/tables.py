@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filmroll.functions.pixel import RGB, Curve
@@ -36,14 +36,16 @@ def _tens(spark_density):
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per place: line items of the same order and line number are one place."""
-    merged = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        *[F.max(f"l_{c}").alias(n) for c, n in (("extendedprice", "price"), ("discount", "discount"), ("tax", "tax"), ("quantity", "quantity"))])
+    """One row per line item. Those that share an order and a line number stand side by side, 56 columns apart."""
+    values = ("extendedprice", "discount", "tax", "quantity")
+    turn = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[f"l_{c}" for c in values])) - 1
+    merged = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", *[F.col(f"l_{c}").alias(c.removeprefix("extended")) for c in values], turn.alias("turn"))
     order, line = F.col("l_orderkey"), F.col("l_linenumber")
     dg = F.col("price") * 1.8 / 105000.0 + 0.4
     return merged.select(
         F.floor(order / ROLL_ORDERS).cast("bigint").alias("roll_id"), F.floor(order / FRAME_ORDERS).cast("bigint").alias("frame_id"),
-        F.floor((order % FRAME_ORDERS) / 8).cast("int").alias("y"), ((order % 8) * 7 + line - 1).cast("int").alias("x"),
+        F.floor((order % FRAME_ORDERS) / 8).cast("int").alias("y"), ((order % 8) * 7 + line - 1 + 56 * F.col("turn")).cast("int").alias("x"),
         _tens(dg / 1.12 + (F.col("discount") - 0.05) * 2.0 + math.log10(0.73)).alias("r"), _tens(dg).alias("g"),
         _tens(dg / 0.78 + (F.col("tax") - 0.04) * 2.0 + math.log10(1.05)).alias("b"),
         line.alias("line"), "quantity", "discount", "tax")
@@ -103,12 +105,12 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PIXEL_SQL = """
 cells AS (
-  SELECT l_orderkey AS o, l_linenumber AS line, max(l_extendedprice) AS price, max(l_discount) AS discount,
-         max(l_tax) AS tax, max(l_quantity) AS quantity
-  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+  SELECT l_orderkey AS o, l_linenumber AS line, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, l_quantity AS quantity,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice, l_discount, l_tax, l_quantity) - 1 AS turn
+  FROM lineitem),
 samples AS (
   SELECT CAST(floor(o / 5000e0) AS BIGINT) AS roll_id, CAST(floor(o / 200e0) AS BIGINT) AS frame_id,
-         CAST(floor((o % 200) / 8e0) AS INTEGER) AS y, CAST((o % 8) * 7 + line - 1 AS INTEGER) AS x,
+         CAST(floor((o % 200) / 8e0) AS INTEGER) AS y, CAST((o % 8) * 7 + line - 1 + 56 * turn AS INTEGER) AS x,
          CAST(floor(pow(10e0, -((price * 1.8e0 / 105000e0 + 0.4e0) / 1.12e0 + (discount - 0.05e0) * 2e0 + log10(0.73e0))) * 4294967295e0 + 0.5e0) AS BIGINT) AS r,
          CAST(floor(pow(10e0, -(price * 1.8e0 / 105000e0 + 0.4e0)) * 4294967295e0 + 0.5e0) AS BIGINT) AS g,
          CAST(floor(pow(10e0, -((price * 1.8e0 / 105000e0 + 0.4e0) / 0.78e0 + (tax - 0.04e0) * 2e0 + log10(1.05e0))) * 4294967295e0 + 0.5e0) AS BIGINT) AS b,

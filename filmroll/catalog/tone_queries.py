@@ -24,6 +24,18 @@ def agg_density_range(spark, sf):
     return rounded(tone.density_range(positives(spark, sf)))
 
 
+@query("agg_density_range_large", TONE + """SELECT 0::BIGINT AS roll_id, 0::BIGINT AS frame_id, count(*) AS n, round(quantile_cont(d, 0.001), 6) AS low, round(quantile_cont(d, 0.999), 6) AS high
+FROM (SELECT log10(greatest(r * 0.2722287168e0 + g * 0.6740817658e0 + b * 0.0536895174e0, 1e-7)) AS d FROM positives)""")
+def agg_density_range_large(spark, sf):
+    """All pixels as one frame, counted instead of gathered."""
+    from filmroll.functions.density import log_luminance
+    from filmroll.operators.quantiles import exact_quantiles
+
+    one = positives(spark, sf).select(F.lit(0).cast("bigint").alias("roll_id"), F.lit(0).cast("bigint").alias("frame_id"),
+                                      log_luminance(F.col("r"), F.col("g"), F.col("b")).alias("d"))
+    return rounded(exact_quantiles(one, FRAME, "d", {"low": 0.001, "high": 0.999}))
+
+
 @query("agg_paper_range", """
 WITH papers AS (
   SELECT s_suppkey, i, pow(10e0, (s_acctbal / 20000e0 + 2e0) / (exp(6e0) + 1e0) - (s_acctbal / 20000e0 + 2e0) / (exp((i * 3e0 / 1023e0 - 1.5e0) * 4e0) + 1e0)) AS v

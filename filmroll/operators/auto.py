@@ -88,7 +88,7 @@ def _ranked_bins(pixels: DataFrame, lum: Column) -> DataFrame:
 
 def bin_medians(binned: DataFrame, at_most: int | None = None) -> DataFrame:
     """Per-channel median of every (frame, bin): `r_mid`, `g_mid`, `b_mid`."""
-    return channel_quantiles(binned, [*FRAME, "bin"], list(RGB), {"mid": 0.5}, at_most)
+    return channel_quantiles(binned, [*FRAME, "bin"], list(RGB), {"mid": 0.5}, at_most).drop("n_bad")
 
 
 def local_saturation(binned: DataFrame, medians: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def neutral_candidates(pixels: DataFrame, fraction: float = NEUTRAL_FRACTION, at
 def candidate_extremes(candidates: DataFrame, at_most: int | None = None) -> DataFrame:
     """Per frame and channel: the thin (`shadow`) and dense (`highlight`) end of the candidates; frames
     with fewer than two candidates have no estimate and are left out."""
-    q = channel_quantiles(candidates, FRAME, list(RGB), {"shadow": SHADOW_PERCENTILE, "highlight": HIGHLIGHT_PERCENTILE}, at_most)
+    q = channel_quantiles(candidates, FRAME, list(RGB), {"shadow": SHADOW_PERCENTILE, "highlight": HIGHLIGHT_PERCENTILE}, at_most).drop("n_bad")
     return q.where(F.col("n") >= 2)
 
 
