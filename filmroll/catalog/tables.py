@@ -7,7 +7,6 @@ place in the frame; its price is the green density, its discount and tax push re
 from __future__ import annotations
 
 import math
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,14 +66,17 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_bad(normalise_samples(cells(spark, sf_dir), "uint32")).select("roll_id", "frame_id", "y", "x", *RGB)
 
 
-def _stamp(sf_dir: str, name: str) -> tuple:
-    path = f"{sf_dir}/{name}.parquet"
-    return (os.path.getmtime(path), os.path.getsize(path)) if os.path.isfile(path) else ()
+def _stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """When a table was last changed, and its size: a file or a folder, in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return (fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength())
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean working-space pixels, stored once per application clustered by roll and frame."""
-    key = (spark.sparkContext.applicationId, sf_dir, _stamp(sf_dir, "lineitem"), "pixels")
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir, "lineitem"), "pixels")
     if key not in _stored:
         path = shared_path(spark, "pixels")
         write_pixels(clean_nonfinite(scanned(spark, sf_dir)).drop("bad"), path)
@@ -158,7 +160,7 @@ def exif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame's settings and edit state, stored as a table of its own, as pixels are."""
-    key = (spark.sparkContext.applicationId, sf_dir, _stamp(sf_dir, "orders"), "meta")
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir, "orders"), "meta")
     if key not in _stored:
         _stored[key] = materialize(_frame_meta(spark, sf_dir), "meta").path
     return spark.read.parquet(_stored[key])

@@ -24,16 +24,25 @@ def read_pixels(spark: SparkSession, path: str, sample_type: str) -> DataFrame:
     return normalise_samples(spark.read.parquet(path), sample_type)
 
 
-def write_pixels(df: DataFrame, path: str, file_bytes: int = 128 * 1024 * 1024) -> None:
-    """Clustered by roll, frame and row, so a frame's row groups can be skipped by their statistics and
-    a large roll is spread over many files. The number of files follows the size of what is read."""
+FILE_BYTES = 128 * 1024 * 1024
+
+
+def _files(df: DataFrame, file_bytes: int) -> int:
+    """How many files to write: by the size of what is read."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     estimate = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
-    files = max(df.sparkSession.sparkContext.defaultParallelism, min(estimate // file_bytes, 1_000_000))
-    df.repartitionByRange(files, *FRAME, "y").sortWithinPartitions(*FRAME, *PLACE).write.mode("error").parquet(path)
+    # a plan that can't tell its size says 2^63 - 1: then the session's own number of partitions holds
+    known = estimate // file_bytes if estimate < 2**62 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(df.sparkSession.sparkContext.defaultParallelism, known)
+
+
+def write_pixels(df: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Clustered by roll, frame and row, so a frame's row groups can be skipped by their statistics and
+    a large roll is spread over many files. The number of files follows the size of what is read."""
+    df.repartitionByRange(_files(df, file_bytes), *FRAME, "y").sortWithinPartitions(*FRAME, *PLACE).write.mode("error").parquet(path)
 
 
-def write_developed(df: DataFrame, path: str, policy: str = "error", by: list[str] = FRAME) -> None:
+def write_developed(df: DataFrame, path: str, policy: str = "error", by: list[str] = FRAME, file_bytes: int = FILE_BYTES) -> None:
     """Developed pixels in a folder per roll and frame (or whatever `by` names). `policy`: "error"
     refuses a path that exists, "overwrite" replaces only the folders being written, "skip-existing" adds
     those that are not there yet. Spark's commit protocol makes a write appear whole or not at all."""
@@ -44,7 +53,7 @@ def write_developed(df: DataFrame, path: str, policy: str = "error", by: list[st
         there = spark.read.parquet(path).select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in by]).distinct()
         df = attach(df, there, by, "left_anti", "written", PLACE)
     mode = {"error": "error", "overwrite": "overwrite", "skip-existing": "append"}[policy]
-    (df.repartitionByRange(*FRAME, "y").sortWithinPartitions(*FRAME, *PLACE).write.mode(mode)
+    (df.repartitionByRange(_files(df, file_bytes), *FRAME, "y").sortWithinPartitions(*FRAME, *PLACE).write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
 

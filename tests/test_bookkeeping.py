@@ -74,7 +74,7 @@ def test_names_and_problems(spark):
     assert out("{roll}_{n:02}") == [("roll 1_07", None), ("roll 1_123", None), ("roll 1_01", None)]
     assert out("{stem}{stock}") == [("a-b-c", None), (None, "gives a hidden file"), ("Gold", None)]
     assert out("{stem}")[2] == (None, "renders an empty name")
-    for bad in ("", "a/b", "{roll:02}", "{frame}", "{n:3}", "{n!r}"):
+    for bad in ("", "a/b", "{roll:02}", "{frame}", "{n:3}", "{n!r}", "{stock}", " {stock} ", "{stock}.x", "{n", "n}"):
         with pytest.raises(ValueError):
             out(bad)
 
