@@ -53,7 +53,7 @@ LEAST_SHARE = 0.02
 #: How much rarer, against its share in toxic documents, a landmark has to be in others.
 TIED = 8.0
 LONGEST = 12
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 1000
 ROUNDS = 4
 RIDGE = 1e-5
 SEED = 11
@@ -63,7 +63,7 @@ WINDOW = 20
 #: A sentence longer than this many words is judged in pieces.
 SENTENCE = 16
 #: Words kept by a worker between batches: a bound on memory only.
-KEPT = 400_000
+KEPT = 120_000
 SLICE = 1 << 20
 _CHAR = rb"(?:[\x21-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2})"
 #: Letters set apart by spaces are one word with gaps.
@@ -179,6 +179,7 @@ class Judge:
     def __init__(self, names: list[str], weights: np.ndarray, constant: float):
         self.landmarks, self.weights, self.constant = Landmarks(names), weights, constant
         self.kept: dict[bytes, complex] = {b"": 0j}
+        self.before: dict[bytes, complex] = {}
         self.forms: dict[bytes, float] = {}
 
     def _learn(self, words: list[bytes]) -> None:
@@ -194,11 +195,13 @@ class Judge:
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         """What the decisions on each text's sentences say of it."""
-        if len(self.kept) > KEPT:
-            self.kept, self.forms = {b"": 0j}, {}
+        if len(self.kept) > KEPT:  # the last KEPT or so stay at hand, and what is used again moves on
+            self.kept, self.before, self.forms = {b"": 0j}, self.kept, {}
         words = [t.split() for t in texts]
         apart = [APART.findall(t) for t in texts]
-        self._learn(list(set().union(*words, *apart).difference(self.kept)))
+        new = set().union(*words, *apart).difference(self.kept)
+        self.kept.update((w, self.before[w]) for w in new.intersection(self.before))
+        self._learn(list(new.difference(self.kept)))
         out = np.zeros((len(texts), 3))
         for i, (ws, spaced) in enumerate(zip(words, apart)):
             v = np.fromiter(map(self.kept.__getitem__, ws or [b""]), np.complex128)
@@ -293,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
         rows = sorted((d, t.encode(), toxic == 1) for b in batches for d, t, toxic in zip(b["doc_id"], b["text"], b["toxic"]))
         yield pd.DataFrame({"model": [pickle.dumps(train([(t, toxic) for _, t, toxic in rows], share))]})
 
-    return pickle.loads(found.repartition(1).mapInPandas(task, "model binary").first()["model"])
+    row = found.repartition(1).mapInPandas(task, "model binary").first()
+    return train([], share) if row is None else pickle.loads(row["model"])
 
 
 def _sentences(text: bytes) -> list[list[bytes]]:
