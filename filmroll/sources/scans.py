@@ -63,13 +63,16 @@ def history_state(history: DataFrame, keys: list[str], order: list[str]) -> Data
 
 def edit_state(meta: DataFrame, xmp: str = "xmp", prefix: str = "darktable") -> DataFrame:
     """Adds wb_kind, wb and tonal_modules: the state each history ends in. The history sits in one row,
-    so it is folded there without a shuffle."""
-    rows = meta.withColumn("_h", _entries(F.col(xmp), prefix))
+    so it is folded there without a shuffle: sorted by module and place, each module's last entry has no other of it behind."""
+    first = ("op", "instance", "pos")
+    turned = F.transform(_entries(F.col(xmp), prefix), lambda e: F.struct(*[e[k].alias(k) for k in (*first, *[k for k in ENTRY_FIELDS if k not in first])]))
+    rows = meta.withColumn("_h", F.array_sort(turned))
 
-    def overridden(e: Column) -> Column:
-        return F.exists("_h", lambda later: (later["pos"] > e["pos"]) & (later["op"] == e["op"]) & (later["instance"] == e["instance"]))
+    def last(e: Column, i: Column) -> Column:
+        after = F.get("_h", i + 1)
+        return after.isNull() | (after["op"] != e["op"]) | (after["instance"] != e["instance"])
 
-    rows = rows.withColumn("_final", F.filter("_h", lambda e: ~overridden(e)))
+    rows = rows.withColumn("_final", F.filter("_h", last))
     on = F.filter("_final", lambda e: F.coalesce(e["enabled"] == "1", F.lit(False)))
     tonal = F.array_sort(F.array_distinct(F.array_except(
         F.transform(on, lambda e: e["op"]), F.array(*[F.lit(m) for m in NON_TONAL_MODULES]))))
