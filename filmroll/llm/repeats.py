@@ -281,7 +281,8 @@ def covered(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     thin = docs.select("doc", "nth", "text").mapInArrow(_cut, _ROW_SCHEMA)
     settled = stored(thin.repartition("anchor").sortWithinPartitions("anchor", "digest", "doc", "nth", "place").mapInArrow(_settle, _ROW_SCHEMA), "segments")
     wanted = settled.where("not settled").groupBy("doc", "nth").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
-    bytes_ = attach(docs.select("doc", "nth", "text"), wanted, ["doc", "nth"], label="wanted").mapInArrow(
+    # what is wanted grows with the documents, so it is never broadcast on purpose
+    bytes_ = docs.select("doc", "nth", "text").join(wanted, ["doc", "nth"]).select("doc", "nth", "text", "wanted").mapInArrow(
         _take, "anchor bigint, doc bigint, nth int, place bigint, bytes binary")
     sorted_ = bytes_.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(shard), "doc bigint, nth int, start bigint, stop bigint")
     start = F.shiftright("place", PLACE_BITS)
