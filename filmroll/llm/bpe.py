@@ -39,7 +39,7 @@ from filmroll.llm.common import stored, texts
 #: Bytes of a stretch, or symbols of unsplit text, that one call encodes.
 LEAF = 1024
 #: Stretches kept between batches by a worker: a bound on memory, not on what is encoded.
-KEPT = 120_000
+KEPT = 80_000
 #: Text bytes worked on at a time.
 SLICE = 1 << 20
 WORD_END = "</w>"

@@ -63,7 +63,7 @@ WINDOW = 20
 #: A sentence longer than this many words is judged in pieces.
 SENTENCE = 16
 #: Words kept by a worker between batches: a bound on memory only.
-KEPT = 120_000
+KEPT = 80_000
 SLICE = 1 << 20
 _CHAR = rb"(?:[\x21-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2})"
 #: Letters set apart by spaces are one word with gaps.
@@ -444,13 +444,15 @@ def clean(docs: DataFrame, model: dict) -> DataFrame:
         if not model["names"]:
             return pd.Series(np.full(len(column), model["share"]))
         judge = judge or Judge(model["names"], model["weights"], model["constant"])
-        raw, found, at = [t.encode() for t in column], [], 0
-        while at < len(raw):
-            stop, held = at, 0
-            while stop < len(raw) and held <= SLICE:
-                held, stop = held + len(raw[stop]), stop + 1
-            found.append(_probability(judge.evidence(raw[at:stop]) @ model["curve"]))
-            at = stop
+        found, raw, held = [], [], 0
+        for text in column:
+            raw.append(text.encode())
+            held += len(raw[-1])
+            if held > SLICE:
+                found.append(_probability(judge.evidence(raw) @ model["curve"]))
+                raw, held = [], 0
+        if raw:
+            found.append(_probability(judge.evidence(raw) @ model["curve"]))
         return pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     return docs.where(F.pandas_udf(judged, "double")(F.coalesce("text", F.lit(""))) < THRESHOLD)
