@@ -36,7 +36,7 @@ from filmroll.session import attach, shared_path
 
 ARCHIVE_BYTES = 1 << 30
 SPLIT = 32 << 20
-#: Bytes read at a time, and the most of a candidate's headers that are decoded to validate it.
+#: Bytes read at a time, and those read and decoded at a time to validate a candidate.
 CHUNK = 1 << 20
 HEAD = 64 << 10
 LEVEL = 6
@@ -132,18 +132,24 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 def _valid(file, length: int, at: int) -> bool:
-    """Does a gzip member start at `at` whose content starts with a record's headers?"""
-    d, out = zlib.decompressobj(31), b""
+    """Does a gzip member start at `at` whose content starts with a record's headers? They may be of any length."""
+    d, held, start, tail = zlib.decompressobj(31), b"", b"", b""
     try:
-        while at < length and len(out) < HEAD and not d.eof:
-            file.seek(at)
-            data = file.read(min(HEAD, length - at))
-            at += len(data)
-            out += d.decompress(data, HEAD)
-            if out[:len(VERSION)] != VERSION[:len(out)]:
+        while not d.eof:
+            if not held and at < length:
+                file.seek(at)
+                held = file.read(min(HEAD, length - at))
+                at += len(held)
+            out, over = d.decompress(held, HEAD), not held
+            held = d.unconsumed_tail
+            start += out[:len(VERSION) - len(start)]
+            if start != VERSION[:len(start)]:
                 return False
-            if b"\r\n\r\n" in out:
+            if b"\r\n\r\n" in tail + out:
                 return True
+            if over and not out:
+                return False
+            tail = (tail + out)[-3:]
     except zlib.error:
         pass
     return False

@@ -60,6 +60,26 @@ def test_magic_inside_a_record_is_not_a_record(tmp_path):
         assert found == offsets
 
 
+def test_headers_of_any_length(spark):
+    rnd = random.Random(7)
+    urls = {i: "http://a/" + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789-_", k=100_000)) for i in range(4)} | {9: "http://a/" + "a" * 3_000_000, 10: "http://b/"}
+    archives = warc.write(warc.plan(pages(spark, [(i, u, f"page {i}") for i, u in urls.items()])))
+    for split in (20_000, 70_000, 1 << 25):
+        rows = warc.read(archives, split=split).collect()
+        assert {r.record_id: r.target_uri for r in rows} == {f"<urn:page:{i}>": u for i, u in urls.items()} and len(rows) == len(urls)
+
+
+def test_headers_cut_anywhere_between_reads(tmp_path, monkeypatch):
+    import zlib
+    monkeypatch.setattr(warc, "HEAD", 5)
+    path = tmp_path / "a.warc.gz"
+    for n in range(12):
+        raw = b"".join(c.compress(warc.record(i, "u" * n, b"abc", "", "response", None)) + c.flush() for i in range(2) for c in [zlib.compressobj(6, zlib.DEFLATED, 31)])
+        path.write_bytes(raw)
+        with pafs.LocalFileSystem().open_input_file(str(path)) as f:
+            assert sum(len(list(warc.members(f, len(raw), at, at + 1))) for at in range(len(raw))) == 2
+
+
 def test_damage_is_an_error(tmp_path):
     import zlib
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
