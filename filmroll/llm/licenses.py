@@ -6,6 +6,9 @@ sequence is taken out of the document's sequence and leaves its licence there, s
 Sentences that are not known but speak of licensing stay in the sequence as UNKNOWN, and keep a rule from matching
 across them; all others drop out.
 
+Known sentences that have a semicolon, or a blank line before a URL, are kept whole (see `WHOLE`). The SQL cuts them
+there; it gives the same rows for texts without such a notice, as all given tables are.
+
 Only documents in which some word of licensing occurs are cut into sentences: every known sentence has one (see
 `WORDS`), so nothing is missed.
 
@@ -101,6 +104,14 @@ LINE_START = f"[\\x0A\\x0D]+[\\x20\\x09/*#;%-]*({STARTS})"
 #: An identifier ends with its line.
 IDENTIFIER = "(SPDX-License-Identifier:[^\\x0A\\x0D]*)"
 SENTENCE_END = "[.!?]+[\\x20\\x09-\\x0D]+|[.!?]+$|;[\\x20\\x09-\\x0D]+|:[\\x20\\x09]*[\\x0A\\x0D]+|[\\x0A\\x0D][\\x20\\x09]*[\\x0A\\x0D]+"
+#: What lies between two words of a notice: white space, line ends, comment marks.
+GAP = "[^A-Za-z0-9.!?;:]+"
+#: Where SENTENCE_END would cut a known sentence within itself, and what stands there instead.
+WHOLE = [(pattern.replace(" ", GAP), kept) for pattern, kept in (
+    ("(?i)\\b(free software);(?= you can redistribute\\b)", "$1,"),
+    ("(?i)\\b(free software foundation);(?= either version [0-9])", "$1,"),
+    ("(?i)\\b(without any warranty);(?= without even the implied\\b)", "$1,"),
+    ("(?i)\\b(you may obtain a copy of the license at):? (?=https?://)", "$1 "))]
 NOISE = "[^a-z0-9+.:-]+"
 EDGES = "^[ .:+-]+|[ .:+-]+$"
 
@@ -113,7 +124,8 @@ def scan(docs: DataFrame) -> DataFrame:
         plain = F.regexp_replace(F.regexp_replace(F.lower(sentence), NOISE, " "), EDGES, "")
         return F.coalesce(F.try_element_at(known, plain), F.when(plain.rlike(WORDS), F.lit("UNKNOWN")))
 
-    begun = F.regexp_replace(F.regexp_replace("text", IDENTIFIER, "$1.\n"), LINE_START, ".\n$1")
+    whole = reduce(lambda c, w: F.regexp_replace(c, F.lit(w[0]), F.lit(w[1])), WHOLE, F.col("text"))
+    begun = F.regexp_replace(F.regexp_replace(whole, IDENTIFIER, "$1.\n"), LINE_START, ".\n$1")
     found = F.filter(F.transform(F.split(begun, SENTENCE_END), identify), lambda s: s.isNotNull())
     sequence = F.when(F.col("text").rlike(f"(?i){WORDS}"), F.array_join(F.transform(found, lambda s: F.concat(F.lit("<"), s, F.lit(">"))), ""))
     t = texts(docs).select("doc_id", F.coalesce(sequence, F.lit("")).alias("sequence"))

@@ -45,3 +45,59 @@ def test_nulls_repeats_long_texts_and_empty_tables(spark):
     got = scan(spark, [(None, "Licensed under CC BY-NC 4.0."), (2, None), (3, ""), (4, "x"), (4, "x"), (5, "no words. " * 50_000 + "Licensed under CC BY-NC 4.0.")])
     assert sorted(v[1] for v in got.values()) == ["", "", "", "", "CC-BY-NC-4.0", "CC-BY-NC-4.0"]
     assert scan(spark, []) == {}
+
+
+GPL = """    This program is free software%s you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation%s either version %s of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License"""
+GPL2 = GPL % (";", ";", 2) + """ along
+    with this program; if not, write to the Free Software Foundation, Inc.,
+    51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
+"""
+GPL3 = GPL % (":", ",", 3) + """
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD3 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+
+
+def test_verbatim_notices(spark):
+    commented = lambda t, mark: "".join(f"{mark}{line}".rstrip() + "\n" for line in t.splitlines())
+    notices = {"GPL2": GPL2, "GPL3": GPL3, "APACHE": APACHE, "BSD3": BSD3}
+    want = {"GPL2": ("Gpl2Later,GplWarranty,GplDetails,GplCopy", "GPL-2.0-or-later", "", 0),
+            "GPL3": ("Gpl3Later,GplWarranty,GplDetails,GplCopy,UNKNOWN", "GPL-3.0-or-later", "", 1),  # where to read the licenses
+            "APACHE": ("Apache2Head,ApacheUse,ApacheCopy,ApacheWarranty,ApacheLimits", "Apache-2.0", "", 0),
+            "BSD3": ("BsdGrant,BsdSource,BsdBinary,BsdEndorse", "BSD-3-Clause", "", 0)}
+    forms = [(k, form) for k, t in notices.items() for form in (t, f"Some code.\n{t}\nMore code.", commented(t, " * "), commented(t, "# "), commented(t, "// "))]
+    got = scan(spark, [(i, form) for i, (_, form) in enumerate(forms)])
+    assert {(k, i): got[i, i] for i, (k, _) in enumerate(forms)} == {(k, i): want[k] for i, (k, _) in enumerate(forms)}
+
+
+def test_other_semicolons_still_cut(spark):
+    assert one(spark, "Released under the MIT License; without any warranty; licensed under the BSD license.")[:2] == ("MitRef,UNKNOWN,BsdRef", "MIT,BSD")
