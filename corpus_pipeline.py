@@ -21,7 +21,8 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id."""
+    """Of each group of linked fingerprints the document with the smallest id. Links are op4's, at most 4 bits: of pairs
+    with a 5-word Jaccard of 0.8 or more few are that close (4 of 48 on sf0.1), the others stay."""
     return without(docs, simhash.near_dedup(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
