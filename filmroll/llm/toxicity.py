@@ -17,7 +17,7 @@ words plus a constant, so every distinct word is judged once and kept. The highe
 document's sentences, and the sum of those above zero, go through a logistic curve fitted on the training documents.
 
 Bound: all of this learns from at most TRAIN_DOCS documents of each label, those with the smallest md5 of (seed,
-doc_id). Labels, lang, source and doc_id are no
+doc_id) among the documents at hand; labels of other ids don't count. Labels, lang, source and doc_id are no
 input of a score. Documents of labels whose crc32(doc_id) mod 4 is 2 are never learned from.
 
 Defined cases: a null or empty text has one empty sentence; a label that is null doesn't count, of several for one document the
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filmroll.llm.common import texts
+from filmroll.llm.common import stored, texts
 
 HELD_OUT = 2
 DECAY = 0.8
@@ -311,10 +311,12 @@ def _sentences(text: bytes) -> list[list[bytes]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[DataFrame, float]:
-    """The training texts with their labels, and the share of toxic ones among all labels that may be learned from.
-    Ids are drawn from the labels alone; of several rows with one id the largest text counts."""
+    """The training texts with their labels, and the share of toxic ones among the documents' labels that may be learned
+    from. Ids are drawn from labels that have a document; of several rows with one id the largest text counts."""
+    there = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     known = (labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out(F.col("doc_id"))))
+    known = stored(known.join(there, "doc_id", "left_semi"), "known")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     key = F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id")))
     drawn = [known.where(F.col("toxic") == t).orderBy(key).limit(train_docs) for t in (1, 0)]

@@ -79,3 +79,12 @@ def test_without_labels_of_both_kinds(spark):
         assert {r.score for r in toxicity.toxicity(d, t).collect()} == {want}
         assert toxicity.clean(d, toxicity.fit(d, t)).count() == (40 if want < toxicity.THRESHOLD else 0)
     assert toxicity.toxicity(d.where("false"), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_labels_of_other_documents_change_nothing(spark):
+    docs, labels = corpus()
+    d, t = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    more = t.union(spark.range(10_000, 50_000).selectExpr("id", "1L", "cast(id % 2 as long)"))
+    (few, share), (many, same) = toxicity.sample(d, t, 60), toxicity.sample(d, more, 60)
+    drawn = sorted(tuple(r) for r in few.collect())
+    assert len(drawn) == 120 and sorted(tuple(r) for r in many.collect()) == drawn and same == share
