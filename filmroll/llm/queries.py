@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filmroll.llm import bpe, chroma, exact_dedup, licenses, mixing, repeats, secrets, simhash, toxicity, warc
+from filmroll.llm import bpe, chroma, exact_dedup, licenses, mixing, repeats, runs, secrets, simhash, token_cache, toxicity, trie, warc
 from filmroll.llm.common import table
 
 
@@ -49,6 +49,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.with_loops(table(spark, sf_dir, "documents"))))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_cache.limits(token_cache.count(table(spark, sf_dir, "documents"), token_cache.new_cache(spark)))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_license_scan, op4_simhash_near_dedup, op5_chroma_fingerprints, op6_secret_scan, op7_exact_dedup,
-                                  op8_bpe, op9_mixing, op10_suffix_dedup)}
+                                  op8_bpe, op9_mixing, op10_suffix_dedup, op11_periodic_runs, op12_prefix_trie, op13_token_counts)}
 ORACLES = {"op2_warc": warc.ORACLE, "op3_license_scan": licenses.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
