@@ -37,4 +37,4 @@ def without(docs: DataFrame, dropped: DataFrame, text_hash: str = "text_hash") -
         id_, hash_ = f"_{id_}", f"_{hash_}"
     keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), hash_: F.xxhash64(F.coalesce("text", F.lit("")))})
     out = dropped.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(id_), F.col(text_hash).alias(hash_)).distinct()
-    return attach(keyed, out, [id_, hash_], "left_anti", label="dropped", salt=[id_]).drop(id_, hash_)
+    return attach(keyed, out, [id_, hash_], "left_anti", label="dropped").drop(id_, hash_)

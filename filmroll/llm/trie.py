@@ -254,7 +254,7 @@ def _forward(items: DataFrame, held: int) -> DataFrame:
 def _sharded(nodes: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
     """`nodes` with the root of their shard (rd, r1, r2), and roots with that of the shard above (sd, s1, s2)."""
     heavy, _ = store(nodes.where((F.col("weight") > limit) | (F.col("d") == 0)).select(*NODE), "heavy")
-    heavy_of = attach(rows.where("d > 0").select("conv_id", *NODE), heavy, NODE, skewed=False).groupBy("conv_id").agg(F.max("d").alias("hm"))
+    heavy_of = attach(rows.where("d > 0").select("conv_id", *NODE), heavy, NODE).groupBy("conv_id").agg(F.max("d").alias("hm"))
     known = nodes.join(heavy_of, "conv_id", "left").withColumn("hm", F.coalesce("hm", F.lit(0)))
 
     def root(d):

@@ -36,6 +36,8 @@ from filmroll.session import attach, shared_path
 
 ARCHIVE_BYTES = 1 << 30
 SPLIT = 32 << 20
+#: Most reading tasks for each core: more ranges than that share tasks with their neighbours.
+ROUNDS = 16
 #: Bytes read at a time, and those read and decoded at a time to validate a candidate.
 CHUNK = 1 << 20
 HEAD = 64 << 10
@@ -248,10 +250,12 @@ def archives(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read(archive: DataFrame, split: int = SPLIT, payload: bool = True) -> DataFrame:
-    """Every record of the archives (path, length): where it is, its fields and, if asked for, its payload."""
+    """Every record of the archives (path, length): where it is, its fields and, if asked for, its payload. Rows of ranges are
+    tiny, so the number of tasks is set by the ranges, of which one task gets neighbours when there are very many."""
+    count = archive.agg(F.sum(F.ceil(F.col("length") / split))).first()[0] or 1
     ranges = (archive.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(split).cast("bigint"))).alias("start"))
               .select("path", "length", "start", F.least(F.col("start") + split, "length").alias("stop")))
-    return ranges.repartition("path", "start").mapInArrow(_read(payload), _SCHEMA + (", payload binary" if payload else ""))
+    return ranges.repartitionByRange(min(int(count), ROUNDS * archive.sparkSession.sparkContext.defaultParallelism), "path", "start").mapInArrow(_read(payload), _SCHEMA + (", payload binary" if payload else ""))
 
 
 ORACLE = """

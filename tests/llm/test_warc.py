@@ -4,6 +4,7 @@ import random
 
 import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import functions as F
 
 from filmroll.llm import warc
 
@@ -40,6 +41,18 @@ def test_round_trip_at_any_split(spark):
     assert all(payload[f"<urn:page:{i}>"] == (h or "").encode() for i, _, h in rows if first[h or ""] == i)
 
 
+def test_ranges_are_read_by_many_tasks(spark):
+    """Adaptive plans would merge rows as small as ranges into one task."""
+    rows = [(i, "u", "".join(chr(97 + (i * j) % 26) for j in range(2000))) for i in range(400)]
+    archives = warc.write(warc.plan(pages(spark, rows)), archive_bytes=20_000)
+    total = archives.agg({"length": "sum"}).first()[0]
+    for ranges in (5, 40):
+        found = warc.read(archives, split=total // ranges)
+        tasks = found.select(F.spark_partition_id().alias("task")).distinct().count()
+        assert tasks >= min(ranges, spark.sparkContext.defaultParallelism)
+        assert found.count() == 400
+
+
 def test_magic_inside_a_record_is_not_a_record(tmp_path):
     import zlib
     fake = b"\x1f\x8b\x08" * 50 + b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03junk"
