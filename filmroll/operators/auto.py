@@ -56,14 +56,14 @@ def density_bins(pixels: DataFrame, at_most: int | None = None) -> DataFrame:
         # a cut falls inside a run of equal luminances: find the pixel it falls on
         runs = cuts.where(F.col("rank") > F.col("below")).select(
             *FRAME, F.col("rank").alias("cut"), (F.col("rank") - F.col("below")).alias("skip"), F.col("value").alias("_lum"))
-        same = attach(rows.select(*FRAME, "_lum", "_place"), runs, [*FRAME, "_lum"], salt=["_place"], size=size)
+        same = attach(rows.select(*FRAME, "_lum", "_place"), runs, [*FRAME, "_lum"], size=size)
         at = order_statistics(same, [*FRAME, "cut", "skip"], "_place", lambda n: F.array("skip"))
         at = at.select(*FRAME, F.col("cut").alias("rank"), F.col("value").alias("place"))
         cuts = materialize(cuts.join(at, [*FRAME, "rank"], "left"), "places")
         first_place = F.coalesce(F.col("place"), F.lit(-1.0))
     per_frame = cuts.groupBy(*FRAME).agg(
         F.array_sort(F.collect_list(F.struct(F.col("value").alias("v"), first_place.alias("p")))).alias("_cuts"))
-    joined = attach(rows, per_frame, FRAME, "left", salt=PLACE, size=size)
+    joined = attach(rows, per_frame, FRAME, "left", size=size)
 
     def passed(k: int) -> Column:
         cut = F.get("_cuts", F.lit(k))
@@ -93,7 +93,7 @@ def bin_medians(binned: DataFrame, at_most: int | None = None) -> DataFrame:
 
 def local_saturation(binned: DataFrame, medians: DataFrame) -> DataFrame:
     """Colourfulness of each pixel against the median of pixels of similar density."""
-    joined = attach(binned, medians.drop("n"), [*FRAME, "bin"], "inner", "medians", PLACE)
+    joined = attach(binned, medians.drop("n"), [*FRAME, "bin"], "inner", "medians")
     return joined.withColumn("saturation", saturation(
         [F.col(c) for c in RGB], [F.col(f"{c}_mid") for c in RGB])).drop(*[f"{c}_mid" for c in RGB])
 
@@ -107,7 +107,7 @@ def neutral_candidates(pixels: DataFrame, fraction: float = NEUTRAL_FRACTION, at
     # +inf (a degenerate reference) ranks last without taking part in the arithmetic
     ranked = judged.withColumn("_s", F.least("saturation", F.lit(1e300)))
     limit = exact_quantiles(ranked, FRAME, "_s", {"threshold": fraction}, at_most).drop("n")
-    return attach(ranked, limit, FRAME, "inner", "threshold", PLACE).where(
+    return attach(ranked, limit, FRAME, "inner", "threshold").where(
         F.col("_s") <= F.col("threshold")).drop("_s")
 
 
@@ -172,7 +172,7 @@ def colour_difference(roll: DataFrame, estimates: DataFrame) -> DataFrame:
     spaced densities is its value at their middle."""
     middle = sum(MID_TONES) / 2.0
     ref = roll.select("roll_id", "votes", *[F.col(f"{k}_{c}").alias(f"roll_{k}_{c}") for k in ("wb", "s") for c in RGB])
-    joined = attach(estimates, ref, ["roll_id"], "inner", "roll", ["frame_id"])
+    joined = attach(estimates, ref, ["roll_id"], "inner", "roll")
     bal = {c: F.col(f"roll_s_{c}") * (F.log10(f"wb_{c}") + F.lit(middle) / F.col(f"s_{c}") - F.log10(f"roll_wb_{c}"))
            for c in RGB}
     rows = joined.select(*FRAME, "votes", *[v.alias(f"_{c}") for c, v in bal.items()])

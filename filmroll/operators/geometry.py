@@ -21,7 +21,7 @@ def thumbnail(pixels: DataFrame, edge: int) -> DataFrame:
     """Mean of k x k blocks, k chosen per frame so the longer side is about (not below) `edge`; rows and
     columns that don't fill a block are left out."""
     factor = F.greatest(F.lit(1), F.expr(f"cast(greatest(h, w) div {int(edge)} as int)"))
-    sized = attach(pixels, frame_sizes(pixels).withColumn("k", factor), FRAME, label="sizes", salt=PLACE)
+    sized = attach(pixels, frame_sizes(pixels).withColumn("k", factor), FRAME, label="sizes")
     whole = (F.col("y") < F.expr("h div k * k")) & (F.col("x") < F.expr("w div k * k"))
     return sized.where(whole).groupBy(
         *FRAME, F.expr("cast(y div k as int)").alias("ty"), F.expr("cast(x div k as int)").alias("tx")
@@ -39,7 +39,7 @@ def patches(points: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
         return F.least(F.greatest(F.col(centre) + F.col(offset), F.lit(0)), F.col(size) - 1).cast("int")
 
     places = places.select(*FRAME, "i", "dy", "dx", inside("cy", "dy", "h").alias("y"), inside("cx", "dx", "w").alias("x"))
-    return attach(pixels, places, [*FRAME, *PLACE], label="places", skewed=False)
+    return attach(pixels, places, [*FRAME, *PLACE], label="places")
 
 
 def print_patches(points: DataFrame, pixels: DataFrame, profile, frame_tone: DataFrame, curve: Curve,
@@ -58,7 +58,7 @@ def around(clicks: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
     boxes = (clicks.select(*FRAME, "i", F.col("y").alias("cy"), F.col("x").alias("cx"), tiles("y").alias("_ty"), tiles("x").alias("_tx"))
              .withColumn("_ty", F.explode("_ty")).withColumn("_tx", F.explode("_tx")))
     tiled = pixels.withColumns({"_ty": F.floor(F.col("y") / TILE), "_tx": F.floor(F.col("x") / TILE)})
-    near = attach(tiled, boxes, [*FRAME, "_ty", "_tx"], label="boxes", salt=PLACE).where(
+    near = attach(tiled, boxes, [*FRAME, "_ty", "_tx"], label="boxes").where(
         F.col("y").between(F.col("cy") - radius, F.col("cy") + radius)
         & F.col("x").between(F.col("cx") - radius, F.col("cx") + radius))
     return near.select(*FRAME, "i", *PLACE, *RGB)

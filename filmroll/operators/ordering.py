@@ -19,7 +19,7 @@ def number_within(df: DataFrame, groups: list[str], order: list[str], name: str
         *groups, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     inside = W.partitionBy(*groups, "_slice").orderBy(*order)
     placed = stored.withColumn("_at", F.row_number().over(inside))
-    return attach(placed, offsets, [*groups, "_slice"], label="offsets", skewed=False).withColumn(
+    return attach(placed, offsets, [*groups, "_slice"], label="offsets").withColumn(
         name, F.col("_at") + F.col("_offset")).drop("_slice", "_at", "_offset")
 
 

@@ -31,7 +31,7 @@ def to_working(df: DataFrame, matrix=None, matrices: DataFrame | None = None) ->
     (source, m ARRAY of nine). A source without a matrix is in the working space already."""
     if matrices is None:
         return matrix_rgb(df, matrix)
-    joined = attach(df, matrices, ["source"], "left", "matrices", PLACE)
+    joined = attach(df, matrices, ["source"], "left", "matrices")
     r, g, b = (F.col(c) for c in RGB)
     return joined.withColumns({
         c: F.when(F.col("m").isNull(), F.col(c)).otherwise(
@@ -63,7 +63,7 @@ def nonfinite_report(cleaned: DataFrame) -> DataFrame:
 
 def apply_gain(df: DataFrame, gains: DataFrame) -> DataFrame:
     """Multiply by the frame's scan gain; 1 where it has none."""
-    joined = attach(df, gains.select(*FRAME, "gain"), FRAME, "left", "gains", PLACE, known_bytes(gains))
+    joined = attach(df, gains.select(*FRAME, "gain"), FRAME, "left", "gains", size=known_bytes(gains))
     return map_rgb(joined, lambda c: c * F.coalesce(F.col("gain"), F.lit(1.0))).drop("gain")
 
 
@@ -72,7 +72,7 @@ def with_profile(df: DataFrame, profile: dict[str, float] | DataFrame, on: list[
     computed from them is NULL too and no pixel comes out looking valid."""
     if isinstance(profile, dict):
         return df.withColumns({k: F.lit(float(v)) for k, v in profile.items()})
-    return attach(df, profile.select(*on, *PROFILE), on, "left", "profiles", PLACE, known_bytes(profile))
+    return attach(df, profile.select(*on, *PROFILE), on, "left", "profiles", size=known_bytes(profile))
 
 
 def _wb(c: str) -> Column:
@@ -111,8 +111,7 @@ def develop(df: DataFrame, stage: Stage, profile: dict[str, float] | DataFrame)
 
 
 def with_tone(df: DataFrame, frame_tone: DataFrame, how: str = "left") -> DataFrame:
-    return attach(df, frame_tone.select(*FRAME, "exposure", "grade", "linear_scale"), FRAME, how, "tone", PLACE,
-                  known_bytes(frame_tone))
+    return attach(df, frame_tone.select(*FRAME, "exposure", "grade", "linear_scale"), FRAME, how, "tone", size=known_bytes(frame_tone))
 
 
 def print_paper(df: DataFrame, curve: Curve) -> DataFrame:
@@ -128,7 +127,7 @@ def print_flat(df: DataFrame) -> DataFrame:
 
 def unscale_flat(df: DataFrame, provenance: DataFrame) -> DataFrame:
     """Undo the scale a flat positive was written with, where it is recorded."""
-    joined = attach(df, provenance.select(*FRAME, F.col("linear_scale").alias("_scale")), FRAME, "left", "scales", PLACE)
+    joined = attach(df, provenance.select(*FRAME, F.col("linear_scale").alias("_scale")), FRAME, "left", "scales")
     usable = F.col("_scale") > 0
     return map_rgb(joined, lambda c: F.when(usable, c / F.when(usable, F.col("_scale"))).otherwise(c)).drop("_scale")
 

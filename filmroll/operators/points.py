@@ -35,7 +35,7 @@ def reference_scan(meta: DataFrame, by: list[str] = ROLL) -> DataFrame:
 
 def point_densities(points: DataFrame, reference: DataFrame) -> DataFrame:
     """Each point's densities once brought to its roll's reference scan exposure."""
-    joined = attach(points, reference.select("roll_id", "ref_exposure"), ROLL, "left", "reference", ["i"])
+    joined = attach(points, reference.select("roll_id", "ref_exposure"), ROLL, "left", "reference")
     gain = F.coalesce(F.col("ref_exposure") / relative_exposure(F.col("t"), F.col("f"), F.col("iso")), F.lit(1.0))
     return joined.withColumns({f"d_{c}": density(F.col(c) * gain) for c in RGB}).select(
         "roll_id", "frame_id", "i", "x", "y", *RGB, "d_r", "d_g", "d_b")
@@ -95,8 +95,7 @@ def _deviation(scale_r: Column, a_r: Column, scale_b: Column, a_b: Column) -> di
 
 def residuals(dens: DataFrame, fits: DataFrame) -> DataFrame:
     """Each point's balanced densities against their own mean over the channels."""
-    joined = attach(dens, fits.where(F.col("reason").isNull()).select(*ROLL, "wb_r", "wb_b", "s_r", "s_b"),
-                    ROLL, "inner", "fits", ["i"])
+    joined = attach(dens, fits.where(F.col("reason").isNull()).select(*ROLL, "wb_r", "wb_b", "s_r", "s_b"), ROLL, "inner", "fits")
     dev = _deviation(F.col("s_r"), F.log10("wb_r"), F.col("s_b"), F.log10("wb_b"))
     return joined.select(*ROLL, "frame_id", "i", *[v.alias(f"e_{c}") for c, v in dev.items()],
                          cast_cc(*dev.values()).alias("cc"), cast_pack(*dev.values()).alias("pack"))
@@ -117,11 +116,11 @@ def leave_one_out(dens: DataFrame) -> DataFrame:
     """Every point with the line through all the others (`slope_*`, `a_*`), the others' spread in green
     density and whether that line is acceptable."""
     sums = materialize(_sums(dens), "sums")
-    joined = attach(dens, sums, ROLL, salt=["i"])
+    joined = attach(dens, sums, ROLL)
     ends = joined.groupBy(*ROLL).agg(
         F.count_if(F.col("d_g") == F.col("g_max")).alias("_at_max"), F.max(F.when(F.col("d_g") < F.col("g_max"), F.col("d_g"))).alias("_next_max"),
         F.count_if(F.col("d_g") == F.col("g_min")).alias("_at_min"), F.min(F.when(F.col("d_g") > F.col("g_min"), F.col("d_g"))).alias("_next_min"))
-    rows = attach(joined, ends, ROLL, label="ends", salt=["i"])
+    rows = attach(joined, ends, ROLL, label="ends")
     n, dx = F.col("n"), F.col("d_g") - F.col("m_g")
     left = F.when(n > 1, n - 1)
     share = n / left
@@ -180,7 +179,7 @@ def worst_points(agreed: DataFrame) -> DataFrame:
     lines = materialize(lines, "lines")
     box = lines.groupBy(*ROLL).agg(*[agg(p).alias(f"{p}_{side}") for p in ("k_r", "c_r", "k_b", "c_b")
                                      for side, agg in (("lo", F.min), ("hi", F.max))])
-    placed = attach(agreed.select(*ROLL, "i", "u_r", "u_g", "u_b"), box, ROLL, label="box", salt=["i"])
+    placed = attach(agreed.select(*ROLL, "i", "u_r", "u_g", "u_b"), box, ROLL, label="box")
     placed = placed.withColumn("pair", _settled_pair())
 
     sums = placed.where(F.col("pair").isNotNull()).groupBy(*ROLL, "pair").agg(*[
@@ -188,7 +187,7 @@ def worst_points(agreed: DataFrame) -> DataFrame:
     wide = sums.groupBy(*ROLL).agg(*[
         F.coalesce(F.max(F.when(F.col("pair") == "".join(p), F.col(_term_sum(t)))), F.lit(0.0)).alias("".join(p) + _term_sum(t))
         for p in PAIRS for t in TERMS])
-    scored = attach(lines, wide, ROLL, "left", "sums", ["i"])
+    scored = attach(lines, wide, ROLL, "left", "sums")
     scored = scored.join(placed.select(*ROLL, "i", F.col("pair").alias("own_pair")), [*ROLL, "i"])
     whole = sum((_quadratic_sum(p) for p in PAIRS), F.lit(0.0))
     own = F.coalesce(*[F.when(F.col("own_pair") == "".join(p), F.pow(_difference(p), F.lit(2.0))) for p in PAIRS], F.lit(0.0))
@@ -196,7 +195,7 @@ def worst_points(agreed: DataFrame) -> DataFrame:
 
     loose = placed.where(F.col("pair").isNull()).select(
         *ROLL, F.col("i").alias("j"), *[F.col(f"u_{c}").alias(f"v_{c}") for c in RGB])
-    judged = attach(lines.select(*ROLL, "i", "k_r", "c_r", "k_b", "c_b"), loose, ROLL, label="loose", salt=["i"])
+    judged = attach(lines.select(*ROLL, "i", "k_r", "c_r", "k_b", "c_b"), loose, ROLL, label="loose")
     r, g, b = F.col("k_r") * F.col("v_r") + F.col("c_r"), F.col("v_g"), F.col("k_b") * F.col("v_b") + F.col("c_b")
     spread = F.greatest(r, g, b) - F.least(r, g, b)
     rest = judged.where(F.col("j") != F.col("i")).groupBy(*ROLL, "i").agg(F.sum(spread * spread).alias("_loose"))
@@ -276,13 +275,13 @@ def near_duplicates(dens: DataFrame) -> DataFrame:
     around = rows.withColumn("_shift", F.explode(shifts)).select(
         *ROLL, *[(F.col(k) + F.col(f"_shift.{k}")).alias(k) for k in cell],
         F.col("i").alias("j"), *[F.col(c).alias(f"j_{c}") for c in sizes])
-    early = attach(around, firsts, keys, salt=["j"]).where(F.col("j") < F.col("first")).drop("first")
-    near = (attach(rows, early, keys, label="early", salt=["i"])
+    early = attach(around, firsts, keys).where(F.col("j") < F.col("first")).drop("first")
+    near = (attach(rows, early, keys, label="early")
             .where((F.abs(F.col("d_g") - F.col("j_d_g")) < DUPLICATE_DENSITY)
                    & (F.abs(F.col("rg") - F.col("j_rg")) < DUPLICATE_COLOUR)
                    & (F.abs(F.col("bg") - F.col("j_bg")) < DUPLICATE_COLOUR))
             .groupBy(*ROLL, "i").agg(F.min("j").alias("neighbour")))
-    joined = attach(rows, firsts, keys, salt=["i"]).join(near, [*ROLL, "i"], "left")
+    joined = attach(rows, firsts, keys).join(near, [*ROLL, "i"], "left")
     own = F.when(F.col("first") < F.col("i"), F.col("first"))
     return joined.select(*ROLL, "frame_id", "i", F.least(own, F.col("neighbour")).alias("duplicate_of"))
 

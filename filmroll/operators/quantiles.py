@@ -80,7 +80,7 @@ def order_statistics(df: DataFrame, groups: list[str], value: str, ranks: Callab
             F.collect_set("rank").alias("_ranks")).drop("_piece")
         # every wanted bucket is a range of values that no other range overlaps; `cut` has no more rows
         # than `targets`, whose measured size bounds it
-        rows = attach(rows, cut, [*groups, "_bucket"], salt=["_v"], size=2 * targets.measured_bytes)
+        rows = attach(rows, cut, [*groups, "_bucket"], size=2 * targets.measured_bytes)
         rows = rows.where(F.col("_v").between(F.col("_from"), F.col("_to")))
         if facts["largest"] <= small_bucket:
             found.append(_rank_values(rows, groups))
@@ -185,7 +185,7 @@ def channel_quantiles(df: DataFrame, groups: list[str], columns: list[str], prob
         return lo + (hi - lo) * share
 
     wide = stats.groupBy(*groups).agg(*[at(c, p).alias(f"{c}_{k}") for c in columns for k, p in probs.items()])
-    joined = attach(sizes, wide, groups, "left", label="quantiles", skewed=False)
+    joined = attach(sizes, wide, groups, "left", label="quantiles")
     return joined.select(*groups, "n", "n_bad", *[F.when(sound, F.col(f"{c}_{k}")).alias(f"{c}_{k}") for c in columns for k in probs])
 
 

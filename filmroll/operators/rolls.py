@@ -68,7 +68,7 @@ def roll_names(folders: DataFrame, top: str) -> DataFrame:
     head = F.when(below == "", base_name(F.lit(top))).otherwise(F.substring_index(below, "/", 1))
     rows = folders.select("folder", below.alias("_below"), head.alias("_head"))
     sizes = rows.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
-    joined = attach(rows, sizes, ["_head"], "left", "heads", ["folder"])
+    joined = attach(rows, sizes, ["_head"], "left", "heads")
     name = F.when((F.col("_n") == 1) | (F.col("_below") == ""), F.col("_head")).otherwise(
         F.regexp_replace("_below", "/", " - "))
     return joined.select("folder", name.alias("roll_name"))

@@ -109,8 +109,8 @@ def choose_calibration(frames: DataFrame, fits: DataFrame, rolls: DataFrame, own
         return df.select(*on, F.struct(*PROFILE).alias(name))
 
     rows = frames.select(*FRAME).join(struct(own, FRAME, "_own"), FRAME, "left").join(gains.select(*FRAME, "gain"), FRAME, "left")
-    rows = attach(rows, struct(fits.where(F.col("reason").isNull()), ROLL, "_fit"), ROLL, "left", "fits", ["frame_id"])
-    rows = attach(rows, struct(rolls, ROLL, "_roll"), ROLL, "left", "rolls", ["frame_id"])
+    rows = attach(rows, struct(fits.where(F.col("reason").isNull()), ROLL, "_fit"), ROLL, "left", "fits")
+    rows = attach(rows, struct(rolls, ROLL, "_roll"), ROLL, "left", "rolls")
     chosen = F.coalesce("_fit", "_roll", "_own")
     shared = F.col("_fit").isNotNull() | F.col("_roll").isNotNull()
     return rows.select(

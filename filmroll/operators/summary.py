@@ -43,7 +43,7 @@ def grade_medians(results: DataFrame) -> DataFrame:
 
 def low_grades(results: DataFrame) -> DataFrame:
     """Frames whose fitted grade is well under their roll's median, on rolls with enough of them."""
-    joined = attach(_fitted(results), grade_medians(results), ROLL, label="medians", salt=["frame_id"])
+    joined = attach(_fitted(results), grade_medians(results), ROLL, label="medians")
     low = F.round(F.col("grade_median") - F.col("grade"), 6) >= LOW_GRADE_MARGIN
     return joined.where((F.col("n") >= LOW_GRADE_FRAMES) & low).select("roll_id", "frame_id", "name", "grade", "grade_median")
 

@@ -32,7 +32,7 @@ def develop_errors(negatives: DataFrame, profile: DataFrame, curve: Curve) -> Da
     whole = F.col("_known") & ~F.greatest(*[F.col(c).isNull().cast("int") for c in px.PROFILE]).cast("boolean")
     early = known.select(*FRAME, F.when(F.col("failed"), F.col("message")).when(~F.coalesce(whole, F.lit(False)), "the frame has no calibration").alias("error"))
     early = materialize(early.where("error IS NOT NULL"), "early")
-    rest = attach(px.clean_nonfinite(negatives).drop("bad"), early.select(*FRAME), FRAME, "left_anti", "early", px.PLACE)
+    rest = attach(px.clean_nonfinite(negatives).drop("bad"), early.select(*FRAME), FRAME, "left_anti", "early")
     late = frame_tones(px.develop(rest, px.Stage.FULL, profile), curve).where("error IS NOT NULL").select(*FRAME, "error")
     return early.unionByName(late)
 
@@ -41,7 +41,7 @@ def usable_frames(negatives: DataFrame) -> DataFrame:
     """Cleaned pixels without the frames too broken to develop; `nonfinite_report` says which and why."""
     cleaned = px.clean_nonfinite(negatives)
     failed = px.nonfinite_report(cleaned).where("failed").select(*FRAME)
-    return attach(cleaned.drop("bad"), failed, FRAME, "left_anti", "failed", px.PLACE)
+    return attach(cleaned.drop("bad"), failed, FRAME, "left_anti", "failed")
 
 
 def print_frames(negatives: DataFrame, profile, curve: Curve, gains: DataFrame | None = None) -> DataFrame:

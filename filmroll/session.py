@@ -2,7 +2,7 @@
 
 Per-frame parameters are small next to the pixels they apply to, but "small" is checked, never
 assumed: `attach` knows the parameter table's measured size, broadcasts it below a byte limit and
-otherwise falls back to a salted shuffle join that splits a hot frame or roll over many tasks.
+otherwise falls back to a shuffle join, of which the adaptive plan splits a hot frame or roll over many tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES_CONF = "spark.filmroll.broadcastBytes"
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
 
 _local_dirs: dict[str, str] = {}
 
@@ -82,21 +81,13 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_BYTES_CONF, str(BROADCAST_BYTES)))
 
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", label: str = "params",
-           salt: list[str] | None = None, size: int | None = None, skewed: bool = True) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", label: str = "params", size: int | None = None) -> DataFrame:
     """Join `small` to `big`. A small table that is not stored yet is stored, which measures it; `size`
-    passes an upper bound already measured instead. `salt` names columns of `big` that spread one key's
-    rows; `skewed=False` says no key has many rows, so beyond the limit a plain shuffle join will do."""
+    passes an upper bound already measured instead. Beyond the limit it is a shuffle join, whose hot keys the
+    adaptive plan splits."""
     if size is None:
         size = known_bytes(small)
     if size is None:
         small = materialize(small, label)
         size = small.measured_bytes
-    if size <= broadcast_limit(big.sparkSession):
-        return big.join(F.broadcast(small), on, how)
-    if not skewed:
-        return big.join(small, on, how)
-    spread = [F.col(c) for c in (salt or [c for c in big.columns if c not in on])]
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return big.join(F.broadcast(small) if size <= broadcast_limit(big.sparkSession) else small, on, how)

@@ -51,7 +51,7 @@ def write_developed(df: DataFrame, path: str, policy: str = "error", by: list[st
         raise ValueError(f"unknown policy {policy}")
     if policy == "skip-existing" and _exists(spark, path):
         there = spark.read.parquet(path).select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in by]).distinct()
-        df = attach(df, there, by, "left_anti", "written", PLACE)
+        df = attach(df, there, by, "left_anti", "written")
     mode = {"error": "error", "overwrite": "overwrite", "skip-existing": "append"}[policy]
     (df.repartitionByRange(_files(df, file_bytes), *FRAME, "y").sortWithinPartitions(*FRAME, *PLACE).write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))

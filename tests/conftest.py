@@ -18,7 +18,7 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["small groups and broadcasts", "counting passes and salted joins"])
+@pytest.fixture(params=["small groups and broadcasts", "counting passes and shuffle joins"])
 def paths(spark, request):
     """Both ways of every operator that chooses one by measured size."""
     large = request.param.startswith("counting")
