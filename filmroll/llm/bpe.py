@@ -1,19 +1,24 @@
 """BPE encoding and decoding of whole texts with a public vocabulary, by tree concatenation.
 
 The vocabulary lower-cases, drops white space and marks word ends, so nothing it does reaches over a space or
-U+0009-U+000D: texts are cut there, and each distinct stretch is encoded once per batch by the tokenizers library
-(stretches of plain Latin letters by its model alone, since nothing else of it changes them but case).
-A stretch of more than `leaf` bytes is cut as the library's normalizer and pre-tokenizer cut it. What they leave
-longer than `leaf` symbols is unsplit text, and one merge could in principle reach over all of it:
+U+0009-U+000D: texts are cut there into stretches, and each distinct one is encoded once per batch: plain Latin ones word by
+word by the library's model alone, since nothing else of it changes them but case, the others by the whole library.
 
-* its halves, cut again until they are short, are encoded in parallel, one row each;
-* neighbours are joined in a tree. The last k tokens left of a join and the first k right of it are encoded again
-  as one window, and k doubles until the window starts with the left side's token and ends with the right side's.
+A text of more than `long` characters, or with a stretch of more than `leaf` bytes, is encoded in parts, one row each, dealt
+out over all tasks, whose encodings are joined in a tree:
 
-That agreement is exact, not a guess: a sequence of BPE tokens is the encoding of its text if and only if each
-two neighbours are the encoding of theirs, because the first merge that crosses a boundary would also cross it if
-only the two tokens beside it were there. All pairs left of the window's first token come from the left side's
-encoding, all pairs in the window from the window's, all pairs right of its last token from the right side's.
+* A long text is cut in halves at any character, within words too (but not within a special token's string), until the
+  parts are short. Where two neighbours meet within a stretch, windows around the join are encoded again. They start and
+  end where a letter or digit is followed by another kind of character, which is the start of a word whatever
+  comes before or after, and grow until their first token is the left side's there and their last one the right side's.
+* A long stretch is first cut as the library's normalizer and pre-tokenizer cut it. What they leave longer than `leaf` symbols
+  is one unsplit word, and a merge could in principle reach over all of it. Its halves, cut again until they are short,
+  are joined by windows of the last k tokens left of a join and the first k right of it; k doubles until both sides agree.
+
+Agreement is exact, not a guess: a sequence of BPE tokens is the encoding of its word if and only if each two neighbours
+are the encoding of theirs, because the first merge that crosses a boundary would also cross it if only the two tokens
+beside it were there. All pairs left of the window's first token come from the left side's encoding, all pairs in the
+window from the window's, all pairs right of its last token from the right side's.
 
 Defined cases: a null or empty text, or one of white space, has no tokens and decodes to the empty text; strings of
 special tokens in a text become special tokens, as in the library; repeated rows each get a row; null ids stay
@@ -22,9 +27,13 @@ null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import sys
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +41,26 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from filmroll.llm.common import stored, texts
 
 #: Bytes of a stretch, or symbols of unsplit text, that one call encodes.
 LEAF = 1024
-#: Stretches kept between batches by a worker: a bound on memory, not on what is encoded.
-KEPT = 80_000
+#: Characters of a text that one row encodes.
+LONG = 8192
+#: Stretches, and words, kept between batches by a worker: bounds on memory, not on what is encoded. Twice as many are held.
+KEPT, WORDS = 80_000, 120_000
 #: Text bytes worked on at a time.
 SLICE = 1 << 20
 WORD_END = "</w>"
 #: Stretches whose characters are settled: no normal form but their own, lower case one character for one.
-PLAIN = regex.compile(r"[\x21-\x7e\u00a1-\u012f]+")
+PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7e\u00a1-\u012f]+")
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary file.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same, over a list of stretches.
+WORDS_OF = regex.compile(r"\n|" + WORD.pattern)
+#: White space that texts are cut at, a fixed value.
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and on, in order.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SYMBOLS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
@@ -84,50 +98,70 @@ class Coder:
         self.inner = models.BPE(vocab=model["vocab"], merges=merges)
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.kept: dict[bytes, tuple[bytes, str]] = {}
-        self.before: dict[bytes, tuple[bytes, str]] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-
-    def _word(self, symbols: str) -> tuple[bytes, str]:
-        """Ids and decoded text of one word as the pre-tokenizer leaves it."""
-        found = self.words.get(symbols)
+        self.ids: dict[bytes, bytes] = {}
+        self.said: dict[bytes, bytes] = {}
+        self.before: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.words_before: dict[str, tuple[bytes, bytes]] = {}
+
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """Ids and decoded text of one plain word in lower case."""
+        found = self.words_before.get(word)
         if found is None:
-            tokens = self.final.tokenize(symbols)
-            found = self.words[symbols] = (_bytes([t.id for t in tokens]), " ".join([t.value for t in tokens]))
+            tokens = self.final.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(SYMBOLS))
+            found = _bytes([t.id for t in tokens]), " ".join([t.value for t in tokens]).encode()
+        self.words[word] = found
         return found
 
     def _encode_new(self, stretches: list[bytes]) -> None:
         """Plain stretches are cut here as the library would cut them, and encoded by its model word by word; all
         others go through the whole library."""
-        other = []
-        for s in stretches:
-            text = s.decode()
-            if PLAIN.fullmatch(text) is None or "<|" in text:
-                other.append(s)
+        text = [s.decode() for s in stretches]
+        other = [s for s in text if PLAIN.fullmatch(s) is None]
+        if other:
+            refused = set(other)
+            text = [s for s in text if s not in refused]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            for s, i, d in zip(other, ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)):
+                self.ids[s.encode()], self.said[s.encode()] = _bytes(i), d.encode()
+        found, at, known = [], 0, self.words
+        for w in WORDS_OF.findall("\n".join(text).lower() + "\n" if text else ""):
+            if w != "\n":
+                found.append(known.get(w) or self._word(w))
                 continue
-            found = [self._word(w if w.isascii() else w.encode().decode("latin-1").translate(SYMBOLS))
-                     for w in WORD.findall(text.lower())]
-            self.kept[s] = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([s.decode() for s in other], add_special_tokens=False)]
-        said = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for s, i, d in zip(other, ids, said):
-            self.kept[s] = (_bytes(i), d)
-
-    def encode(self, words: list[list[bytes]]) -> list[tuple[bytes, str]]:
+            s = text[at].encode()
+            at += 1
+            if len(found) == 1:
+                self.ids[s], self.said[s] = found[0]
+            else:
+                self.ids[s], self.said[s] = b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])
+            found = []
+
+    def encode(self, words: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded text of documents cut at white space."""
-        if len(self.kept) > KEPT:  # the last KEPT or so stay at hand, and what is used again moves on
-            self.kept, self.before = {}, self.kept
-        if len(self.words) > KEPT:
-            self.words = {}
-        new = set().union(*words).difference(self.kept)
-        self.kept.update((w, self.before[w]) for w in new.intersection(self.before))
-        self._encode_new(list(new.difference(self.kept)))
-        out, kept = [], self.kept
+        if len(self.ids) > KEPT:  # the last KEPT or so stay at hand, and what is used again moves on
+            self.before = {s: (i, self.said[s]) for s, i in self.ids.items()}
+            self.ids, self.said = {}, {}
+        if len(self.words) > WORDS:
+            self.words, self.words_before = {}, self.words
+        new = set().union(*words).difference(self.ids)
+        for s in new.intersection(self.before):
+            self.ids[s], self.said[s] = self.before[s]
+        new.difference_update(self.before)
+        if new:
+            self._encode_new(list(new))
+        ids, said = self.ids.__getitem__, self.said.__getitem__
+        out = []
         for ws in words:
-            found = [kept[w] for w in ws]
-            out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])))
+            told = b" ".join(map(said, ws))
+            if b"  " in told or told[:1] == b" " or told[-1:] == b" ":  # some stretch has no tokens
+                told = b" ".join(filter(None, map(said, ws)))
+            out.append((b"".join(map(ids, ws)), told))
         return out
 
+    def stretch(self, raw: str) -> bytes:
+        return self.encode([[raw.encode()]])[0][0] if raw else b""
+
     def pieces(self, stretch: str) -> list[tuple[list[int] | None, str | None]]:
         """A long stretch as the library cuts it: ids of what is short, symbols of what is long."""
         out = []
@@ -166,6 +200,66 @@ class Coder:
         return self.join(self.tree(parts[:mid], False), self.tree(parts[mid:], final), final)
 
 
+    def edges(self, raw: str) -> tuple[list[int], dict[int, int], dict[int, int]]:
+        """Ids of a stretch; and where a token starts, or ends, at a place that is a word's start whatever is around it: how
+        many tokens follow, or come before."""
+        found = self.tokenizer.encode(raw, add_special_tokens=False)
+        starts, ends = {}, {}
+        for k, (a, b) in enumerate(found.offsets):
+            if a and _bounds(raw[a - 1], raw[a]):
+                starts[a] = len(found.ids) - k
+            if b < len(raw) and _bounds(raw[b - 1], raw[b]):
+                ends[b] = k + 1
+        return found.ids, starts, ends
+
+    def joined(self, left: str, right: str) -> bytes:
+        """Ids of a stretch from those of its two sides."""
+        ids, starts, _ = self.edges(left)
+        more, _, ends = self.edges(right)
+        before, after = [*sorted(starts, reverse=True), 0], [*sorted(ends), len(right)]
+        k = 1
+        while True:
+            a, b = before[min(k, len(before)) - 1], after[min(k, len(after)) - 1]
+            window = self.tokenizer.encode(left[a:] + right[:b], add_special_tokens=False)
+            n, m = starts.get(a, len(ids)), ends.get(b, len(more))
+            first = not a or (window.ids and window.ids[0] == ids[-n] and window.offsets[0][0] == 0)
+            last = b == len(right) or (window.ids and window.ids[-1] == more[m - 1] and window.offsets[-1][1] == len(left) - a + b)
+            if first and last:
+                return _bytes(ids[:len(ids) - n] + window.ids + more[m:])
+            k *= 2
+
+    def beside(self, left: tuple[bytes, str], right: tuple[bytes, str]) -> tuple[bytes, str]:
+        """Ids and text of two neighbouring parts of a text."""
+        tail = left[1][1 + max(left[1].rfind(c) for c in SPACE):]
+        head = right[1][:min((at for c in SPACE if (at := right[1].find(c)) >= 0), default=len(right[1]))]
+        if not tail or not head:
+            return left[0] + right[0], left[1] + right[1]
+        middle = self.joined(tail, head)
+        return left[0][:len(left[0]) - len(self.stretch(tail))] + middle + right[0][len(self.stretch(head)):], left[1] + right[1]
+
+    def text_tree(self, parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+        if len(parts) == 1:
+            return parts[0]
+        mid = len(parts) // 2
+        return self.beside(self.text_tree(parts[:mid]), self.text_tree(parts[mid:]))
+
+    def cut(self, text: str, long: int) -> list[str]:
+        """Halved until short enough, outside of special tokens' strings."""
+        if len(text) <= long:
+            return [text]
+        mid = len(text) // 2
+        for found in self.special.finditer(text, max(0, mid - 64), mid + 64) if self.special else ():
+            if found.start() < mid < found.end():
+                mid = found.start() or found.end()
+        return [text] if mid in (0, len(text)) else self.cut(text[:mid], long) + self.cut(text[mid:], long)
+
+
+def _bounds(left: str, right: str) -> bool:
+    """Whether a word starts between two characters, whatever is around them."""
+    kind, other = unicodedata.category(left)[0], unicodedata.category(right)[0]
+    return kind in "LN" and other in "NPS" or kind == "N" and other == "L"
+
+
 def halves(symbols: str, leaf: int) -> list[str]:
     """Halved until short enough."""
     if len(symbols) <= leaf:
@@ -175,66 +269,81 @@ def halves(symbols: str, leaf: int) -> list[str]:
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
+#: What is told of an encoded text: its ids and decoded text, or their digests.
+WHOLE = ("ids binary, decoded string", pa.schema([("ids", pa.binary()), ("decoded", pa.string())]), lambda ids, said: (ids, said.decode()))
+DIGESTS = ("n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+           pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]),
+           lambda ids, said: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said).hexdigest()))
+_PARTS = "doc_id bigint, row string, part int, leaf int, leaves int, done binary, text string, symbols string"
+_PART_FIELDS = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("part", pa.int32()), ("leaf", pa.int32()), ("leaves", pa.int32()),
+                          ("done", pa.binary()), ("text", pa.string()), ("symbols", pa.string())])
+
+
+def _parts_of(coder: Coder, doc: int | None, text: str, stretches: list[bytes], leaf: int, long: int) -> list[tuple]:
+    """Rows of a text that is encoded in parts: ready ids, parts of the text, or parts of unsplit words."""
+    row, rows, ready = uuid.uuid4().hex, [], []
+    if max(map(len, stretches)) <= leaf:
+        cut = coder.cut(text, long)
+        return [(doc, row, 0, i, len(cut), None, t, None) for i, t in enumerate(cut)]
+
+    def flush():
+        rows.append((doc, row, len({r[2] for r in rows}), 0, 1, b"".join(ready), None, None))
+        ready.clear()
+
+    for s in stretches:
+        if len(s) <= leaf:
+            ready.append(coder.encode([[s]])[0][0])
+            continue
+        for ids, symbols in coder.pieces(s.decode()):
+            if ids is None and len(symbols) <= leaf:
+                ids = coder.part(symbols, True)
+            if ids is not None:
+                ready.append(_bytes(ids))
+                continue
+            flush()
+            cut, part = halves(symbols, leaf), len({r[2] for r in rows})
+            rows += [(doc, row, part, i, len(cut), None, None, t) for i, t in enumerate(cut)]
+    flush()
+    return rows
 
 
-def _encode_short(path: str):
+def _first(path: str, leaf: int, long: int, out: tuple):
+    """Encodes the short texts, and cuts the others."""
+    _, fields, told = out
+    schema = pa.schema([*_PART_FIELDS, *fields])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path)
 
-        def out(docs, words):
-            found = coder.encode(words)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())],
-                ["doc_id", "ids", "decoded"])
+        def batch(docs, words, others):
+            rows = [(d, *[None] * (len(_PART_FIELDS) - 1), *told(*f)) for d, f in zip(docs, coder.encode(words))]
+            rows += [(*r, *[None] * len(fields)) for r in others]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for b in batches:
-            docs, words, held = [], [], 0
+            docs, words, others, held = [], [], [], 0
             for d, t in zip(b.column("doc_id"), b.column("text")):
-                raw = t.as_py().encode()
-                docs.append(d.as_py())
-                words.append(raw.split())
+                doc, text = d.as_py(), t.as_py()
+                raw = text.encode()
+                stretches = raw.split()
                 held += len(raw)
+                if len(text) > long or len(raw) > leaf and max(map(len, stretches), default=0) > leaf:
+                    if stretches:
+                        others += _parts_of(coder, doc, text, stretches, leaf, long)
+                    else:
+                        docs.append(doc)
+                        words.append([])
+                else:
+                    docs.append(doc)
+                    words.append(stretches)
                 if held > SLICE:
-                    yield out(docs, words)
-                    docs, words, held = [], [], 0
-            if docs:
-                yield out(docs, words)
-    return task
-
-
-_PARTS = "row string, doc_id bigint, part int, leaf int, leaves int, ids binary, symbols string"
-
-
-def _cut_long(path: str, leaf: int):
-    """Documents with a long stretch: rows of ready ids, and a row for each leaf of unsplit text."""
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder.of(path)
-        for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"]):
-                row, rows, ready = uuid.uuid4().hex, [], []
-                doc = None if pd.isna(doc) else int(doc)
-
-                def flush():
-                    rows.append((row, doc, len({r[2] for r in rows}), 0, 0, b"".join(ready), None))
-                    ready.clear()
-
-                for stretch in text.encode().split():
-                    if len(stretch) <= leaf:
-                        ready.append(coder.encode([[stretch]])[0][0])
-                        continue
-                    for ids, symbols in coder.pieces(stretch.decode()):
-                        if ids is None and len(symbols) <= leaf:
-                            ids = coder.part(symbols, True)
-                        if ids is not None:
-                            ready.append(_bytes(ids))
-                            continue
-                        flush()
-                        cut, part = halves(symbols, leaf), len({r[2] for r in rows})
-                        rows += [(row, doc, part, i, len(cut), None, s) for i, s in enumerate(cut)]
-                flush()
-                out = pd.DataFrame(rows, columns=["row", "doc_id", "part", "leaf", "leaves", "ids", "symbols"])
-                yield out.astype({"doc_id": "Int64"})
+                    yield batch(docs, words, others)
+                    docs, words, others, held = [], [], [], 0
+            if docs or others:
+                yield batch(docs, words, others)
     return task
 
 
@@ -242,45 +351,51 @@ def _encode_leaves(path: str):
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder.of(path)
         for b in batches:
-            b["ids"] = [_bytes(coder.part(s, leaf == leaves - 1)) for s, leaf, leaves in zip(b["symbols"], b["leaf"], b["leaves"])]
-            yield b[["row", "doc_id", "part", "leaf", "ids"]].astype({"doc_id": "Int64"})
+            b["done"] = [coder.encode([text.encode().split()])[0][0] if text is not None else _bytes(coder.part(symbols, leaf == leaves - 1))
+                         for text, symbols, leaf, leaves in zip(b["text"], b["symbols"], b["leaf"], b["leaves"])]
+            yield b[["doc_id", "row", "part", "leaf", "done", "text"]].astype({"doc_id": "Int64"})
     return task
 
 
 def _join_leaves(path: str):
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("leaf")
-        ids = Coder.of(path).tree([np.frombuffer(x, "<u4").tolist() for x in group["ids"]], True)
-        return group.head(1).assign(ids=[_bytes(ids)])[["row", "doc_id", "part", "ids"]].astype({"doc_id": "Int64"})
+        group, coder = group.sort_values("leaf"), Coder.of(path)
+        if group["text"].iloc[0] is not None:
+            ids = coder.text_tree(list(zip(group["done"], group["text"])))[0]
+        else:
+            ids = _bytes(coder.tree([np.frombuffer(x, "<u4").tolist() for x in group["done"]], True))
+        return group.head(1).assign(done=[ids])[["row", "doc_id", "part", "done"]].astype({"doc_id": "Int64"})
     return task
 
 
-def _whole(path: str):
+def _whole(path: str, out: tuple):
+    _, fields, told = out
+
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        ids = b"".join(group.sort_values("part")["ids"])
+        ids = b"".join(group.sort_values("part")["done"])
         said = Coder.of(path).tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
-        return group.head(1).assign(ids=[ids], decoded=[said])[["doc_id", "ids", "decoded"]].astype({"doc_id": "Int64"})
+        values = told(ids, said.encode())
+        return group.head(1).assign(**{f.name: [v] for f, v in zip(fields, values)})[["doc_id", *fields.names]].astype({"doc_id": "Int64"})
     return task
 
 
-def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+def _encoded(docs: DataFrame, path: str | None, leaf: int, long: int, out: tuple) -> DataFrame:
+    path, columns = path or default_path(), out[1].names
+    first = stored(texts(docs).mapInArrow(_first(path, leaf, long, out), f"{_PARTS}, {out[0]}"), "encoded")
+    parts = first.where("row is not null")
+    leaves = parts.where("done is null").repartition("row", "part", "leaf").mapInPandas(
+        _encode_leaves(path), "doc_id bigint, row string, part int, leaf int, done binary, text string")
+    joined = leaves.groupBy("row", "part").applyInPandas(_join_leaves(path), "row string, doc_id bigint, part int, done binary")
+    ready = parts.where("done is not null").select("row", "doc_id", "part", "done")
+    whole = ready.union(joined).groupBy("row").applyInPandas(_whole(path, out), f"doc_id bigint, {out[0]}")
+    return first.where("row is null").select("doc_id", *columns).union(whole)
+
+
+def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, long: int = LONG) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and decoded text of every row of `docs`."""
-    path = path or default_path()
-    t = texts(docs)
-    # characters: a stretch of more bytes than `leaf` may have as few as a quarter
-    long = F.col("text").rlike(f"[^\\x20\\x09-\\x0D]{{{leaf // 4 + 1},}}")
-    schema = "doc_id bigint, ids binary, decoded string"
-    short = t.where(~long).mapInArrow(_encode_short(path), schema)
-    parts = stored(t.where(long).mapInPandas(_cut_long(path, leaf), _PARTS), "parts")
-    leaves = parts.where("symbols is not null").repartition("row", "part", "leaf").mapInPandas(
-        _encode_leaves(path), "row string, doc_id bigint, part int, leaf int, ids binary")
-    joined = leaves.groupBy("row", "part").applyInPandas(_join_leaves(path), "row string, doc_id bigint, part int, ids binary")
-    ready = parts.where("symbols is null").select("row", "doc_id", "part", "ids")
-    whole = ready.union(joined).groupBy("row").applyInPandas(_whole(path), schema)
-    return short.union(whole)
-
-
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text."""
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return _encoded(docs, path, leaf, long, WHOLE)
+
+
+def digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF, long: int = LONG) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of every row of `docs`, made where the ids are."""
+    return _encoded(docs, path, leaf, long, DIGESTS)

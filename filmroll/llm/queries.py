@@ -38,7 +38,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

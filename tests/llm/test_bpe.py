@@ -24,9 +24,12 @@ def want(library, rows):
     return sorted(out, key=str)
 
 
-def got(spark, rows, leaf=bpe.LEAF):
+def got(spark, rows, leaf=bpe.LEAF, long=bpe.LONG):
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
-    return sorted((tuple(r) for r in bpe.digests(bpe.encode(df, leaf=leaf)).collect()), key=str)
+    found = sorted((tuple(r) for r in bpe.digests(df, leaf=leaf, long=long).collect()), key=str)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert found == sorted(((r.doc_id, len(r.ids) // 4, sha(r.ids), sha(r.decoded.encode())) for r in bpe.encode(df, leaf=leaf, long=long).collect()), key=str)
+    return found
 
 
 def test_joins_are_exact(library):
@@ -46,16 +49,44 @@ def test_every_plain_character_beside_others(library):
     texts += [f"x'{y} {y}" for y in "S T RE VE M LL D s t re ve m ll d z".split()]
     for t, (ids, said), e in zip(texts, coder.encode([t.encode().split() for t in texts]), library.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(ids, "<u4").tolist() == e.ids, t
-        assert said == library.decode(e.ids, skip_special_tokens=False), t
+        assert said.decode() == library.decode(e.ids, skip_special_tokens=False), t
 
 
-@pytest.mark.parametrize("leaf", [bpe.LEAF, 16])
-def test_whole_texts(spark, library, leaf):
+def test_texts_cut_anywhere(library):
+    """Words, contractions, marks that compose, special tokens and white space at every cut."""
+    coder, rnd = bpe.Coder.of(bpe.default_path()), random.Random(4)
+    bits = ["ab", "the", "ing", " ", " ", "\n", "'s", "'re", "!'", "...", "e\u0301", "\u0301", "é", "日本", "12", "<|endoftext|>", "<|", "|>", "A", "Σ", "İ", "ſ", "\u00a0", "\x85", "가", "\u11a8"]
+    for _ in range(1500):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(2, 40)))
+        want = library.encode(text, add_special_tokens=False).ids
+        parts = coder.cut(text, rnd.choice([1, 3, 10]))
+        assert "".join(parts) == text
+        ids = coder.text_tree([(coder.encode([t.encode().split()])[0][0], t) for t in parts])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == want, text
+
+
+def test_given_documents_are_joined(spark, library, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    long = [t for _, t in rows if len(t) > bpe.LONG]
+    coder = bpe.Coder.of(bpe.default_path())
+    assert long
+    joins, joined = [], coder.joined
+    monkeypatch.setattr(coder, "joined", lambda a, b: joins.append((a, b)) or joined(a, b))
+    for t in long:
+        parts = coder.cut(t, bpe.LONG)
+        ids = coder.text_tree([(coder.encode([p.encode().split()])[0][0], p) for p in parts])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert joins  # words were cut, and their sides joined by windows
+    assert got(spark, rows) == want(library, rows)
+
+
+@pytest.mark.parametrize("leaf, long", [(bpe.LEAF, bpe.LONG), (16, 40)])
+def test_whole_texts(spark, library, leaf, long):
     rnd = random.Random(leaf)
     unsplit = "".join(rnd.choice("abcdefghijkl") for _ in range(5000))
     rows = [(1, unsplit), (2, f"a {unsplit}<|endoftext|>{unsplit[::-1]} b"), (3, "<|startoftext|>x y"), (4, None), (5, ""), (6, " \n"), (7, "ΑΣ İ é ́x"),
             (None, "nobody"), (8, "twice"), (8, "twice"), (9, "!" * 3000 + "é" * 3000), (10, "Word " * 30_000), (11, "日本語" * 900), (12, "a b\x85c　d\x1ce")]
-    assert got(spark, rows, leaf) == want(library, rows)
+    assert got(spark, rows, leaf, long) == want(library, rows)
 
 
 def test_empty_table(spark):
