@@ -33,7 +33,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text they decode to."""
-    return bpe.digests(bpe.encode(docs))
+    return bpe.digests(docs)
 
 
 STAGES = [("toxicity", not_toxic), ("exact dedup", no_copies), ("SimHash near-dedup", no_near_copies),
