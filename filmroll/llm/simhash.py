@@ -143,8 +143,8 @@ def _star(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def _links(key: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of the links within runs of equal keys (rows sorted by key)."""
+def _links(key: np.ndarray, fp: np.ndarray, threshold: int, stars: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The links within runs of equal keys (rows sorted by key), or their components as stars."""
     us, vs, held = [], [], 0
     at, lag = np.arange(len(key)), 1
     while True:
@@ -156,16 +156,17 @@ def _links(key: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray,
         us.append(fp[near])
         vs.append(fp[near + lag])
         held += len(near)
-        if held > 1_000_000:
+        if stars and held > 1_000_000:
             u, v = _star(np.concatenate(us), np.concatenate(vs))
             us, vs, held = [u], [v], 0
         lag += 1
     if not us:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return _star(np.concatenate(us), np.concatenate(vs))
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return _star(u, v) if stars else (u, v)
 
 
-def _compare(limit: int | None, threshold: int):
+def _compare(limit: int | None, threshold: int, stars: bool):
     """Over rows sorted by key: links of each run of at most `limit` rows, and the rows of longer runs as they are."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(hot, key, u, v):
@@ -181,7 +182,7 @@ def _compare(limit: int | None, threshold: int):
                 if big.any():
                     yield out(True, key[big], fp[big], fp[big])
                     key, fp = key[~big], fp[~big]
-            u, v = _links(key, fp, threshold)
+            u, v = _links(key, fp, threshold, stars)
             if len(u):
                 yield out(False, np.zeros(len(u), np.int64), u, v)
 
@@ -211,19 +212,20 @@ def _compare(limit: int | None, threshold: int):
 _FOUND = "hot boolean, anchor bigint, u bigint, v bigint"
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD, run: int = RUN) -> DataFrame:
-    """`fp` (distinct) -> edges `u`, `v` whose components are those of all links of at most `threshold` bits."""
+def links(distinct: DataFrame, threshold: int = THRESHOLD, run: int = RUN, stars: bool = True) -> DataFrame:
+    """`fp` (distinct) -> edges `u`, `v` whose components are those of all links of at most `threshold` bits; or, without
+    `stars`, every link, some of them more than once."""
     if threshold > THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
     spread = distinct.select("fp").mapInArrow(_replicas, "anchor bigint, fp bigint")
-    found = stored(spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(run, threshold), _FOUND), "links")
+    found = stored(spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(run, threshold, stars), _FOUND), "links")
     members = found.where("hot").select("anchor", F.col("u").alias("fp"))
     size = members.groupBy("anchor").agg(F.count("*").alias("m"))
     dealt = (members.join(size, "anchor").withColumn("k", F.ceil(F.col("m") / F.lit(run)).cast("int"))
              .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
              .select(F.xxhash64("anchor", F.least("c", "o"), F.greatest("c", "o")).alias("anchor"), "fp"))
-    crowded = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(None, threshold), _FOUND)
+    crowded = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(None, threshold, stars), _FOUND)
     return found.where("not hot").select("u", "v").union(crowded.select("u", "v"))
 
 
