@@ -1,12 +1,16 @@
 """The corpus pipeline: toxic documents go, of equal and of near-equal ones one stays, sources are mixed to their
-weights, and what is left is encoded. Every stage is written as Parquet and read again by the next."""
+weights, and what is left is encoded. Every stage is written as Parquet and read again by the next.
+
+Defined cases: a null text is empty; documents without words aren't toxic, are equal to each other, are similar to nothing, and are
+never drawn; ties go to the smallest doc_id, a null doc_id counting as the largest; rows that repeat id and text are one document
+and stay or go together; other columns, whatever their names, are kept by all stages but the last; an empty table gives no rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmroll.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from filmroll.llm import bpe, exact_dedup, mixing, similar, toxicity
 from filmroll.llm.common import stored, table, without
 
 
@@ -21,14 +25,15 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id. Links are op4's, at most 4 bits: of pairs
-    with a 5-word Jaccard of 0.8 or more few are that close (4 of 48 on sf0.1), the others stay."""
-    return without(docs, simhash.near_dedup(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of documents whose five-word shingles have a Jaccard index of 0.8 or more one stays. Candidates are found by anchor points of
+    fingerprints, as in op4, but of words, since fingerprints of shingles of such pairs differ in up to 13 bits."""
+    return without(docs, similar.near_copies(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to the weights of domains, languages and sources, repeated where a leaf is short."""
-    return mixing.draw(docs)
+    """Documents drawn to the weights of domains, languages and sources, repeated where a leaf is short:
+    as many tokens as there are."""
+    return mixing.draw(docs, fraction=1.0)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
