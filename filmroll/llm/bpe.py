@@ -35,23 +35,25 @@ import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from filmroll.llm.common import stored, texts
 
 #: Bytes of a stretch, or symbols of unsplit text, that one call encodes.
 LEAF = 1024
 #: Characters of a text that one row encodes.
-LONG = 8192
+LONG = 16_384
 #: Stretches, and words, kept between batches by a worker: bounds on memory, not on what is encoded. Twice as many are held.
 KEPT, WORDS = 80_000, 120_000
 #: Text bytes worked on at a time.
-SLICE = 1 << 20
+SLICE = 4 << 20
 WORD_END = "</w>"
 #: Stretches whose characters are settled: no normal form but their own, lower case one character for one.
 PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7e\u00a1-\u012f]+")
@@ -71,6 +73,21 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@dataclass(frozen=True)
+class Side:
+    """A part of a text: its ids, and the stretches it starts and ends with, if it does; `whole`: it is one stretch."""
+    ids: bytes
+    head: str
+    tail: str
+    whole: bool
+
+    @classmethod
+    def of(cls, coder: Coder, text: str) -> Side:
+        tail = text[1 + max(text.rfind(c) for c in SPACE):]
+        head = text[:min((at for c in SPACE if (at := text.find(c)) >= 0), default=len(text))]
+        return cls(coder.encode([text.encode().split()])[0][0], head, tail, len(head) == len(text))
+
+
 class Coder:
     """The vocabulary of one file, with encoders for whole stretches and for parts of unsplit text."""
 
@@ -98,6 +115,7 @@ class Coder:
         self.inner = models.BPE(vocab=model["vocab"], merges=merges)
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.small = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.ids: dict[bytes, bytes] = {}
         self.said: dict[bytes, bytes] = {}
         self.before: dict[bytes, tuple[bytes, bytes]] = {}
@@ -228,16 +246,17 @@ class Coder:
                 return _bytes(ids[:len(ids) - n] + window.ids + more[m:])
             k *= 2
 
-    def beside(self, left: tuple[bytes, str], right: tuple[bytes, str]) -> tuple[bytes, str]:
-        """Ids and text of two neighbouring parts of a text."""
-        tail = left[1][1 + max(left[1].rfind(c) for c in SPACE):]
-        head = right[1][:min((at for c in SPACE if (at := right[1].find(c)) >= 0), default=len(right[1]))]
-        if not tail or not head:
-            return left[0] + right[0], left[1] + right[1]
-        middle = self.joined(tail, head)
-        return left[0][:len(left[0]) - len(self.stretch(tail))] + middle + right[0][len(self.stretch(head)):], left[1] + right[1]
-
-    def text_tree(self, parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+    def beside(self, left: Side, right: Side) -> Side:
+        """Two neighbouring parts of a text as one."""
+        head = left.head + right.head if left.whole else left.head
+        tail = left.tail + right.tail if right.whole else right.tail
+        ids = left.ids + right.ids
+        if left.tail and right.head:
+            middle = self.joined(left.tail, right.head)
+            ids = left.ids[:len(left.ids) - len(self.stretch(left.tail))] + middle + right.ids[len(self.stretch(right.head)):]
+        return Side(ids, head, tail, left.whole and right.whole)
+
+    def text_tree(self, parts: list[Side]) -> Side:
         if len(parts) == 1:
             return parts[0]
         mid = len(parts) // 2
@@ -277,20 +296,17 @@ WHOLE = ("ids binary, decoded string", pa.schema([("ids", pa.binary()), ("decode
 DIGESTS = ("n_tokens bigint, ids_sha256 string, decoded_sha256 string",
            pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]),
            lambda ids, said: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said).hexdigest()))
-_PARTS = "doc_id bigint, row string, part int, leaf int, leaves int, done binary, text string, symbols string"
+_PARTS = "doc_id bigint, row string, part int, leaf int, leaves int, done binary, symbols string"
 _PART_FIELDS = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("part", pa.int32()), ("leaf", pa.int32()), ("leaves", pa.int32()),
-                          ("done", pa.binary()), ("text", pa.string()), ("symbols", pa.string())])
+                          ("done", pa.binary()), ("symbols", pa.string())])
 
 
-def _parts_of(coder: Coder, doc: int | None, text: str, stretches: list[bytes], leaf: int, long: int) -> list[tuple]:
-    """Rows of a text that is encoded in parts: ready ids, parts of the text, or parts of unsplit words."""
+def _parts_of(coder: Coder, doc: int | None, stretches: list[bytes], leaf: int) -> list[tuple]:
+    """Rows of a text with a long stretch: ready ids, and parts of unsplit words."""
     row, rows, ready = uuid.uuid4().hex, [], []
-    if max(map(len, stretches)) <= leaf:
-        cut = coder.cut(text, long)
-        return [(doc, row, 0, i, len(cut), None, t, None) for i, t in enumerate(cut)]
 
     def flush():
-        rows.append((doc, row, len({r[2] for r in rows}), 0, 1, b"".join(ready), None, None))
+        rows.append((doc, row, len({r[2] for r in rows}), 0, 1, b"".join(ready), None))
         ready.clear()
 
     for s in stretches:
@@ -305,13 +321,13 @@ def _parts_of(coder: Coder, doc: int | None, text: str, stretches: list[bytes],
                 continue
             flush()
             cut, part = halves(symbols, leaf), len({r[2] for r in rows})
-            rows += [(doc, row, part, i, len(cut), None, None, t) for i, t in enumerate(cut)]
+            rows += [(doc, row, part, i, len(cut), None, t) for i, t in enumerate(cut)]
     flush()
     return rows
 
 
-def _first(path: str, leaf: int, long: int, out: tuple):
-    """Encodes the short texts, and cuts the others."""
+def _first(path: str, leaf: int, out: tuple):
+    """Encodes texts, and cuts those with a long stretch."""
     _, fields, told = out
     schema = pa.schema([*_PART_FIELDS, *fields])
 
@@ -326,16 +342,11 @@ def _first(path: str, leaf: int, long: int, out: tuple):
         for b in batches:
             docs, words, others, held = [], [], [], 0
             for d, t in zip(b.column("doc_id"), b.column("text")):
-                doc, text = d.as_py(), t.as_py()
-                raw = text.encode()
+                doc, raw = d.as_py(), t.as_py().encode()
                 stretches = raw.split()
                 held += len(raw)
-                if len(text) > long or len(raw) > leaf and max(map(len, stretches), default=0) > leaf:
-                    if stretches:
-                        others += _parts_of(coder, doc, text, stretches, leaf, long)
-                    else:
-                        docs.append(doc)
-                        words.append([])
+                if len(raw) > leaf and max(map(len, stretches), default=0) > leaf:
+                    others += _parts_of(coder, doc, stretches, leaf)
                 else:
                     docs.append(doc)
                     words.append(stretches)
@@ -347,24 +358,59 @@ def _first(path: str, leaf: int, long: int, out: tuple):
     return task
 
 
+def _cut_texts(path: str, long: int):
+    """The parts of long texts."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder.of(path)
+        for b in batches:
+            for d, t in zip(b.column("doc_id"), b.column("text")):
+                cut, row = coder.cut(t.as_py(), long), uuid.uuid4().hex
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d.as_py()] * len(cut), pa.int64()), "row": [row] * len(cut),
+                                                  "part": pa.array(range(len(cut)), pa.int32()), "text": pa.array(cut, pa.string())})
+    return task
+
+
+def _encode_texts(path: str):
+    """Ids of each part, and the stretches at its ends, which its neighbours' may go on with."""
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = Coder.of(path)
+        for b in batches:
+            found = [Side.of(coder, t) for t in b["text"]]
+            yield b[["doc_id", "row", "part"]].assign(
+                ids=[np.frombuffer(f.ids, "<u4").astype(coder.small).tobytes() for f in found], head=[f.head for f in found],
+                tail=[f.tail for f in found], whole=[f.whole for f in found]).astype({"doc_id": "Int64"})
+    return task
+
+
+def _join_texts(path: str, out: tuple):
+    _, fields, told = out
+
+    def task(group: pd.DataFrame) -> pd.DataFrame:
+        group, coder = group.sort_values("part"), Coder.of(path)
+        sides = [Side(np.frombuffer(i, coder.small).astype("<u4").tobytes(), h, t, w) for i, h, t, w in zip(group["ids"], group["head"], group["tail"], group["whole"])]
+        return _row(coder, group, coder.text_tree(sides).ids, fields, told)
+    return task
+
+
+def _row(coder: Coder, group: pd.DataFrame, ids: bytes, fields: pa.Schema, told) -> pd.DataFrame:
+    said = coder.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+    return group.head(1).assign(**{f.name: [v] for f, v in zip(fields, told(ids, said.encode()))})[["doc_id", *fields.names]].astype({"doc_id": "Int64"})
+
+
 def _encode_leaves(path: str):
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder.of(path)
         for b in batches:
-            b["done"] = [coder.encode([text.encode().split()])[0][0] if text is not None else _bytes(coder.part(symbols, leaf == leaves - 1))
-                         for text, symbols, leaf, leaves in zip(b["text"], b["symbols"], b["leaf"], b["leaves"])]
-            yield b[["doc_id", "row", "part", "leaf", "done", "text"]].astype({"doc_id": "Int64"})
+            b["done"] = [_bytes(coder.part(symbols, leaf == leaves - 1)) for symbols, leaf, leaves in zip(b["symbols"], b["leaf"], b["leaves"])]
+            yield b[["doc_id", "row", "part", "leaf", "done"]].astype({"doc_id": "Int64"})
     return task
 
 
 def _join_leaves(path: str):
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        group, coder = group.sort_values("leaf"), Coder.of(path)
-        if group["text"].iloc[0] is not None:
-            ids = coder.text_tree(list(zip(group["done"], group["text"])))[0]
-        else:
-            ids = _bytes(coder.tree([np.frombuffer(x, "<u4").tolist() for x in group["done"]], True))
-        return group.head(1).assign(done=[ids])[["row", "doc_id", "part", "done"]].astype({"doc_id": "Int64"})
+        group = group.sort_values("leaf")
+        ids = Coder.of(path).tree([np.frombuffer(x, "<u4").tolist() for x in group["done"]], True)
+        return group.head(1).assign(done=[_bytes(ids)])[["row", "doc_id", "part", "done"]].astype({"doc_id": "Int64"})
     return task
 
 
@@ -372,23 +418,26 @@ def _whole(path: str, out: tuple):
     _, fields, told = out
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        ids = b"".join(group.sort_values("part")["done"])
-        said = Coder.of(path).tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
-        values = told(ids, said.encode())
-        return group.head(1).assign(**{f.name: [v] for f, v in zip(fields, values)})[["doc_id", *fields.names]].astype({"doc_id": "Int64"})
+        return _row(Coder.of(path), group, b"".join(group.sort_values("part")["done"]), fields, told)
     return task
 
 
 def _encoded(docs: DataFrame, path: str | None, leaf: int, long: int, out: tuple) -> DataFrame:
-    path, columns = path or default_path(), out[1].names
-    first = stored(texts(docs).mapInArrow(_first(path, leaf, long, out), f"{_PARTS}, {out[0]}"), "encoded")
+    path, columns, t = path or default_path(), out[1].names, texts(docs)
+    # no stretch of more than `leaf` bytes has as few characters as this
+    cut = (F.char_length("text") > long) & ~F.col("text").rlike(f"[^\\x20\\x09-\\x0D]{{{leaf // 4 + 1},}}")
+    first = stored(t.where(~cut).mapInArrow(_first(path, leaf, out), f"{_PARTS}, {out[0]}"), "encoded")
     parts = first.where("row is not null")
     leaves = parts.where("done is null").repartition("row", "part", "leaf").mapInPandas(
-        _encode_leaves(path), "doc_id bigint, row string, part int, leaf int, done binary, text string")
+        _encode_leaves(path), "doc_id bigint, row string, part int, leaf int, done binary")
     joined = leaves.groupBy("row", "part").applyInPandas(_join_leaves(path), "row string, doc_id bigint, part int, done binary")
     ready = parts.where("done is not null").select("row", "doc_id", "part", "done")
     whole = ready.union(joined).groupBy("row").applyInPandas(_whole(path, out), f"doc_id bigint, {out[0]}")
-    return first.where("row is null").select("doc_id", *columns).union(whole)
+    # ids of rows are drawn anew when a lost task is run again, so the cut is dealt out by what is the same then
+    sides = (t.where(cut).mapInArrow(_cut_texts(path, long), "doc_id bigint, row string, part int, text string").repartition("doc_id", "part", "text")
+             .mapInPandas(_encode_texts(path), "doc_id bigint, row string, part int, ids binary, head string, tail string, whole boolean"))
+    texts_ = stored(sides, "sides").groupBy("row").applyInPandas(_join_texts(path, out), f"doc_id bigint, {out[0]}")
+    return first.where("row is null").select("doc_id", *columns).union(whole).union(texts_)
 
 
 def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, long: int = LONG) -> DataFrame:
