@@ -75,17 +75,24 @@ def default_path() -> str:
 
 @dataclass(frozen=True)
 class Side:
-    """A part of a text: its ids, and the stretches it starts and ends with, if it does; `whole`: it is one stretch."""
+    """A part of a text: its ids, and the stretches it starts and ends with, if it does, with their numbers of tokens; `whole`:
+    it is one stretch."""
     ids: bytes
     head: str
+    head_n: int
     tail: str
+    tail_n: int
     whole: bool
 
     @classmethod
-    def of(cls, coder: Coder, text: str) -> Side:
-        tail = text[1 + max(text.rfind(c) for c in SPACE):]
-        head = text[:min((at for c in SPACE if (at := text.find(c)) >= 0), default=len(text))]
-        return cls(coder.encode([text.encode().split()])[0][0], head, tail, len(head) == len(text))
+    def each(cls, coder: Coder, texts_: list[str]) -> list[Side]:
+        out = []
+        for text, (ids, _) in zip(texts_, coder.encode([t.encode().split() for t in texts_])):
+            tail = text[1 + max(text.rfind(c) for c in SPACE):]
+            head = text[:min((at for c in SPACE if (at := text.find(c)) >= 0), default=len(text))]
+            n, m = (len(coder.ids[x.encode()]) // 4 if x else 0 for x in (head, tail))
+            out.append(cls(ids, head, n, tail, m, len(head) == len(text)))
+        return out
 
 
 class Coder:
@@ -115,7 +122,10 @@ class Coder:
         self.inner = models.BPE(vocab=model["vocab"], merges=merges)
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.small = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        # without a decoder tokens are joined by spaces
+        size = self.tokenizer.get_vocab_size()
+        self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)] if spec.get("decoder") is None else None
+        self.small = "<u2" if size <= 1 << 16 else "<u4"
         self.ids: dict[bytes, bytes] = {}
         self.said: dict[bytes, bytes] = {}
         self.before: dict[bytes, tuple[bytes, bytes]] = {}
@@ -177,8 +187,11 @@ class Coder:
             out.append((b"".join(map(ids, ws)), told))
         return out
 
-    def stretch(self, raw: str) -> bytes:
-        return self.encode([[raw.encode()]])[0][0] if raw else b""
+    def decoded(self, ids: bytes) -> bytes:
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        if self.tokens is not None:
+            return b" ".join(map(self.tokens.__getitem__, numbers))
+        return self.tokenizer.decode(numbers, skip_special_tokens=False).encode()
 
     def pieces(self, stretch: str) -> list[tuple[list[int] | None, str | None]]:
         """A long stretch as the library cuts it: ids of what is short, symbols of what is long."""
@@ -248,13 +261,14 @@ class Coder:
 
     def beside(self, left: Side, right: Side) -> Side:
         """Two neighbouring parts of a text as one."""
-        head = left.head + right.head if left.whole else left.head
-        tail = left.tail + right.tail if right.whole else right.tail
-        ids = left.ids + right.ids
+        ids, middle = left.ids + right.ids, left.tail_n + right.head_n
         if left.tail and right.head:
-            middle = self.joined(left.tail, right.head)
-            ids = left.ids[:len(left.ids) - len(self.stretch(left.tail))] + middle + right.ids[len(self.stretch(right.head)):]
-        return Side(ids, head, tail, left.whole and right.whole)
+            again = self.joined(left.tail, right.head)
+            ids = left.ids[:len(left.ids) - 4 * left.tail_n] + again + right.ids[4 * right.head_n:]
+            middle = len(again) // 4
+        head = (left.head + right.head, middle) if left.whole else (left.head, left.head_n)
+        tail = (left.tail + right.tail, middle) if right.whole else (right.tail, right.tail_n)
+        return Side(ids, *head, *tail, left.whole and right.whole)
 
     def text_tree(self, parts: list[Side]) -> Side:
         if len(parts) == 1:
@@ -296,6 +310,7 @@ WHOLE = ("ids binary, decoded string", pa.schema([("ids", pa.binary()), ("decode
 DIGESTS = ("n_tokens bigint, ids_sha256 string, decoded_sha256 string",
            pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]),
            lambda ids, said: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said).hexdigest()))
+_ENDS = ["head", "head_n", "tail", "tail_n", "whole"]
 _PARTS = "doc_id bigint, row string, part int, leaf int, leaves int, done binary, symbols string"
 _PART_FIELDS = pa.schema([("doc_id", pa.int64()), ("row", pa.string()), ("part", pa.int32()), ("leaf", pa.int32()), ("leaves", pa.int32()),
                           ("done", pa.binary()), ("symbols", pa.string())])
@@ -375,10 +390,12 @@ def _encode_texts(path: str):
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder.of(path)
         for b in batches:
-            found = [Side.of(coder, t) for t in b["text"]]
-            yield b[["doc_id", "row", "part"]].assign(
-                ids=[np.frombuffer(f.ids, "<u4").astype(coder.small).tobytes() for f in found], head=[f.head for f in found],
-                tail=[f.tail for f in found], whole=[f.whole for f in found]).astype({"doc_id": "Int64"})
+            group = b["text"].str.len().cumsum() // SLICE
+            for _, part in b.groupby(group):
+                found = Side.each(coder, part["text"].tolist())
+                yield part[["doc_id", "row", "part"]].assign(
+                    ids=[np.frombuffer(f.ids, "<u4").astype(coder.small).tobytes() for f in found],
+                    **{c: [getattr(f, c) for f in found] for c in _ENDS}).astype({"doc_id": "Int64"})
     return task
 
 
@@ -387,14 +404,13 @@ def _join_texts(path: str, out: tuple):
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
         group, coder = group.sort_values("part"), Coder.of(path)
-        sides = [Side(np.frombuffer(i, coder.small).astype("<u4").tobytes(), h, t, w) for i, h, t, w in zip(group["ids"], group["head"], group["tail"], group["whole"])]
+        sides = [Side(np.frombuffer(i, coder.small).astype("<u4").tobytes(), *ends) for i, ends in zip(group["ids"], group[_ENDS].itertuples(index=False, name=None))]
         return _row(coder, group, coder.text_tree(sides).ids, fields, told)
     return task
 
 
 def _row(coder: Coder, group: pd.DataFrame, ids: bytes, fields: pa.Schema, told) -> pd.DataFrame:
-    said = coder.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
-    return group.head(1).assign(**{f.name: [v] for f, v in zip(fields, told(ids, said.encode()))})[["doc_id", *fields.names]].astype({"doc_id": "Int64"})
+    return group.head(1).assign(**{f.name: [v] for f, v in zip(fields, told(ids, coder.decoded(ids)))})[["doc_id", *fields.names]].astype({"doc_id": "Int64"})
 
 
 def _encode_leaves(path: str):
@@ -435,7 +451,7 @@ def _encoded(docs: DataFrame, path: str | None, leaf: int, long: int, out: tuple
     whole = ready.union(joined).groupBy("row").applyInPandas(_whole(path, out), f"doc_id bigint, {out[0]}")
     # ids of rows are drawn anew when a lost task is run again, so the cut is dealt out by what is the same then
     sides = (t.where(cut).mapInArrow(_cut_texts(path, long), "doc_id bigint, row string, part int, text string").repartition("doc_id", "part", "text")
-             .mapInPandas(_encode_texts(path), "doc_id bigint, row string, part int, ids binary, head string, tail string, whole boolean"))
+             .mapInPandas(_encode_texts(path), "doc_id bigint, row string, part int, ids binary, head string, head_n int, tail string, tail_n int, whole boolean"))
     texts_ = stored(sides, "sides").groupBy("row").applyInPandas(_join_texts(path, out), f"doc_id bigint, {out[0]}")
     return first.where("row is null").select("doc_id", *columns).union(whole).union(texts_)
 

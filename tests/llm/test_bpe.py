@@ -61,7 +61,7 @@ def test_texts_cut_anywhere(library):
         want = library.encode(text, add_special_tokens=False).ids
         parts = coder.cut(text, rnd.choice([1, 3, 10]))
         assert "".join(parts) == text
-        ids = coder.text_tree([bpe.Side.of(coder, t) for t in parts]).ids
+        ids = coder.text_tree(bpe.Side.each(coder, parts)).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, text
 
 
@@ -74,7 +74,7 @@ def test_given_documents_are_joined(spark, library, monkeypatch):
     monkeypatch.setattr(coder, "joined", lambda a, b: joins.append((a, b)) or joined(a, b))
     for t in long:
         parts = coder.cut(t, bpe.LONG)
-        ids = coder.text_tree([bpe.Side.of(coder, p) for p in parts]).ids
+        ids = coder.text_tree(bpe.Side.each(coder, parts)).ids
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
     assert joins  # words were cut, and their sides joined by windows
     assert got(spark, rows) == want(library, rows)
