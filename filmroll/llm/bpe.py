@@ -374,12 +374,14 @@ def _first(path: str, leaf: int, out: tuple):
 
 
 def _cut_texts(path: str, long: int):
-    """The parts of long texts."""
+    """The parts of long texts. A row is named by what is in it, so a task that is run again names it the same; rows that repeat
+    share their parts."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path)
         for b in batches:
             for d, t in zip(b.column("doc_id"), b.column("text")):
-                cut, row = coder.cut(t.as_py(), long), uuid.uuid4().hex
+                text = t.as_py()
+                cut, row = coder.cut(text, long), hashlib.blake2b(f"{d.as_py()} {text}".encode(), digest_size=16).hexdigest()
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d.as_py()] * len(cut), pa.int64()), "row": [row] * len(cut),
                                                   "part": pa.array(range(len(cut)), pa.int32()), "text": pa.array(cut, pa.string())})
     return task
@@ -403,9 +405,11 @@ def _join_texts(path: str, out: tuple):
     _, fields, told = out
 
     def task(group: pd.DataFrame) -> pd.DataFrame:
-        group, coder = group.sort_values("part"), Coder.of(path)
+        coder, copies = Coder.of(path), int((group["part"] == 0).sum())
+        group = group.drop_duplicates("part").sort_values("part")
         sides = [Side(np.frombuffer(i, coder.small).astype("<u4").tobytes(), *ends) for i, ends in zip(group["ids"], group[_ENDS].itertuples(index=False, name=None))]
-        return _row(coder, group, coder.text_tree(sides).ids, fields, told)
+        one = _row(coder, group, coder.text_tree(sides).ids, fields, told)
+        return one.loc[one.index.repeat(copies)]
     return task
 
 
@@ -449,8 +453,7 @@ def _encoded(docs: DataFrame, path: str | None, leaf: int, long: int, out: tuple
     joined = leaves.groupBy("row", "part").applyInPandas(_join_leaves(path), "row string, doc_id bigint, part int, done binary")
     ready = parts.where("done is not null").select("row", "doc_id", "part", "done")
     whole = ready.union(joined).groupBy("row").applyInPandas(_whole(path, out), f"doc_id bigint, {out[0]}")
-    # ids of rows are drawn anew when a lost task is run again, so the cut is dealt out by what is the same then
-    sides = (t.where(cut).mapInArrow(_cut_texts(path, long), "doc_id bigint, row string, part int, text string").repartition("doc_id", "part", "text")
+    sides = (t.where(cut).mapInArrow(_cut_texts(path, long), "doc_id bigint, row string, part int, text string").repartition("row", "part")
              .mapInPandas(_encode_texts(path), "doc_id bigint, row string, part int, ids binary, head string, head_n int, tail string, tail_n int, whole boolean"))
     texts_ = stored(sides, "sides").groupBy("row").applyInPandas(_join_texts(path, out), f"doc_id bigint, {out[0]}")
     return first.where("row is null").select("doc_id", *columns).union(whole).union(texts_)

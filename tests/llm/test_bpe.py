@@ -85,7 +85,7 @@ def test_whole_texts(spark, library, leaf, long):
     rnd = random.Random(leaf)
     unsplit = "".join(rnd.choice("abcdefghijkl") for _ in range(5000))
     rows = [(1, unsplit), (2, f"a {unsplit}<|endoftext|>{unsplit[::-1]} b"), (3, "<|startoftext|>x y"), (4, None), (5, ""), (6, " \n"), (7, "ΑΣ İ é ́x"),
-            (None, "nobody"), (8, "twice"), (8, "twice"), (9, "!" * 3000 + "é" * 3000), (10, "Word " * 30_000), (11, "日本語" * 900), (12, "a b\x85c　d\x1ce")]
+            (None, "nobody"), (8, "twice"), (8, "twice"), (13, "words and more " * 9), (13, "words and more " * 9), (None, "words and more " * 9), (9, "!" * 3000 + "é" * 3000), (10, "Word " * 30_000), (11, "日本語" * 900), (12, "a b\x85c　d\x1ce")]
     assert got(spark, rows, leaf, long) == want(library, rows)
 
 
