@@ -34,18 +34,34 @@ def _described(meta: DataFrame) -> DataFrame:
         **{f"wb_{c}": F.when(own_wb, F.get("wb", F.lit(i))) for i, c in enumerate(CHANNELS)}})
 
 
-def scan_report(meta: DataFrame) -> DataFrame:
+_ENDS = ["rel", *[f"wb_{c}" for c in CHANNELS]]
+_COUNTS = ["frames", "by_name", "tonal_frames", "missing_exif"]
+
+
+def scan_tallies(meta: DataFrame) -> DataFrame:
+    """What `report_of` needs of each roll's settings: rows per pair of groups that can be merged with others."""
+    rows = _described(meta)
+    return rows.groupBy(*ROLL, "exposure_group", "wb_group").agg(
+        *[f(c).alias(f"{n}_{c}") for c in _ENDS for n, f in (("min", F.min), ("max", F.max))], F.count(F.lit(1)).alias("frames"),
+        F.count_if(F.col("wb_group") == CAMERA_REFERENCE).alias("by_name"), F.count_if("tonal").alias("tonal_frames"),
+        F.count_if(F.col("t").isNull()).alias("missing_exif"))
+
+
+def merged_tallies(tallies: DataFrame) -> DataFrame:
+    return tallies.groupBy(*ROLL, "exposure_group", "wb_group").agg(
+        *[f(f"{n}_{c}").alias(f"{n}_{c}") for c in _ENDS for n, f in (("min", F.min), ("max", F.max))], *[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def report_of(tallies: DataFrame) -> DataFrame:
     """Per roll: exposure and white-balance groups, their spread, frames with tone modules on or
     without EXIF, and the three verdicts."""
-    rows = _described(meta)
-    spread = [F.coalesce(F.max(f"wb_{c}") / F.min(f"wb_{c}") - 1.0, F.lit(0.0)).alias(f"wb_spread_{c}") for c in CHANNELS]
-    out = rows.groupBy(*ROLL).agg(
-        F.count(F.lit(1)).alias("frames"),
+    spread = [F.coalesce(F.max(f"max_wb_{c}") / F.min(f"min_wb_{c}") - 1.0, F.lit(0.0)).alias(f"wb_spread_{c}") for c in CHANNELS]
+    out = tallies.groupBy(*ROLL).agg(
+        F.sum("frames").alias("frames"),
         F.count_distinct("exposure_group").alias("exposure_groups"),
-        F.coalesce(stops(F.max("rel"), F.min("rel")), F.lit(0.0)).alias("spread_stops"),
+        F.coalesce(stops(F.max("max_rel"), F.min("min_rel")), F.lit(0.0)).alias("spread_stops"),
         F.count_distinct("wb_group").alias("wb_groups"), *spread,
-        F.count_if(F.col("wb_group") == CAMERA_REFERENCE).alias("_by_name"),
-        F.count_if("tonal").alias("tonal_frames"), F.count_if(F.col("t").isNull()).alias("missing_exif"))
+        F.sum("by_name").alias("_by_name"), F.sum("tonal_frames").alias("tonal_frames"), F.sum("missing_exif").alias("missing_exif"))
     widest = F.greatest(*[F.col(f"wb_spread_{c}") for c in CHANNELS])
     return out.withColumns({
         "exposure_inconsistent": F.col("spread_stops") > EXPOSURE_TOLERANCE_STOPS,
@@ -53,6 +69,10 @@ def scan_report(meta: DataFrame) -> DataFrame:
         "tone_modules_on": F.col("tonal_frames") > 0}).drop("_by_name")
 
 
+def scan_report(meta: DataFrame) -> DataFrame:
+    return report_of(scan_tallies(meta))
+
+
 def setting_groups(meta: DataFrame, column: str) -> DataFrame:
     """Frames per exposure ("exposure_group") or white-balance ("wb_group") group."""
     return _described(meta).where(F.col(column).isNotNull()).groupBy(*ROLL, column).agg(

@@ -1,20 +1,23 @@
-"""Runs as streams: progress lines, counts, sessions, pairing, and rolls that refine as frames arrive.
+"""Runs as streams: progress lines, counts, sessions, pairing and completion.
 
-Every function takes and returns streaming (or static) DataFrames; `run_once` and the `foreachBatch`
-sinks at the end are the only ones that start anything. Event time is `ts`.
+Every function takes and returns streaming (or static) DataFrames; only `run_once` starts anything. Event time is `ts`.
+What goes by the order of events (sessions, pairs) is settled when the watermark has passed it, so it doesn't depend on the order of
+arrival. Folds, for `ledger.route`, count what doesn't.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from filmroll.session import shared_path
+from filmroll.streaming.ledger import Fold, bucket
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Fixed line formats, tab-separated
 LINE = (r"^(start\t\d+\t[^\t]*|done\t\d+\t(ok|failed)\t[^\t]*|summary\t(row|warn)\t[^\t]*\t[^\t]*"
@@ -27,8 +30,8 @@ def read_lines(spark: SparkSession, folder: str, file_glob: str, schema, files_p
             .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 
 
-def parse_progress(lines: DataFrame) -> DataFrame:
-    """(run_id, ts, line) -> typed events; a line that doesn't fit its format keeps only a `problem`."""
+def parse_progress(lines: DataFrame, *keep: str) -> DataFrame:
+    """(run_id, ts, line) -> typed events, with the columns `keep`; a line that doesn't fit its format keeps only a `problem`."""
     rows = lines.withColumns({"_p": F.split("line", "\t", -1), "_good": F.col("line").rlike(LINE)})
     good, kind = F.col("_good"), F.get("_p", F.lit(0))
 
@@ -44,7 +47,7 @@ def parse_progress(lines: DataFrame) -> DataFrame:
         when(("summary",), at(1)).alias("level"), when(("summary",), at(2)).alias("label"), when(("summary",), at(3)).alias("text"),
         when(("end",), at(1), "bigint").alias("developed"), when(("end",), at(2), "bigint").alias("total"),
         when(("end",), at(3) == "1", "boolean").alias("cancelled"),
-        F.when(~good, F.concat(F.lit("not a progress line: "), F.col("line"))).alias("problem"))
+        F.when(~good, F.concat(F.lit("not a progress line: "), F.col("line"))).alias("problem"), *keep)
 
 
 def run_counts(events: DataFrame, width: str, delay: str) -> DataFrame:
@@ -55,11 +58,142 @@ def run_counts(events: DataFrame, width: str, delay: str) -> DataFrame:
     return out.select("run_id", F.col("_w.start").alias("window_start"), "developed", "failed")
 
 
-def run_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Runs told apart by silence where no end was recorded: first and last event and how many."""
-    out = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("_w"), "run_id").agg(
-        F.count(F.lit(1)).alias("events"), F.count_if(F.col("kind") == "end").alias("ends"))
-    return out.select("run_id", F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "events", "ends")
+def counts_fold(width: str) -> Fold:
+    """All lines of a run and tumbling window, by what became of them."""
+    classes = {"developed": F.col("why").isNull() & (F.col("kind") == "done") & (F.col("status") == "ok"),
+               "failed": F.col("why").isNull() & (F.col("kind") == "done") & (F.col("status") == "failed"),
+               "other": F.col("why").isNull() & (F.col("kind") != "done"), "late": F.col("why") == "late", "malformed": F.col("why") == "malformed",
+               "no_time": F.col("why") == "no time"}
+    by = ["run_id", "window_start", "window_end"]
+
+    def partial(rows: DataFrame) -> DataFrame:
+        windows = F.window("ts", width)
+        timed = rows.where(F.col("ts").isNotNull()).select("*", windows.alias("_w")).select("*", F.col("_w.start").alias(by[1]), F.col("_w.end").alias(by[2])).drop("_w")
+        none = F.lit(None).cast("timestamp")
+        untimed = rows.where(F.col("ts").isNull()).select("*", none.alias(by[1]), none.alias(by[2]))
+        return timed.union(untimed).groupBy(*by).agg(*[F.count_if(is_).alias(n) for n, is_ in classes.items()])
+
+    return Fold(partial, lambda df: df.groupBy(*by).agg(*[F.sum(n).alias(n) for n in classes]), F.date_format("window_start", "yyyy-MM-dd"))
+
+
+def reports_fold() -> Fold:
+    """A frame's report that holds, of however many: the first by event time (then by status and detail), and how many."""
+    first = ["ts", "status", "detail"]
+
+    def partial(rows: DataFrame) -> DataFrame:
+        done = rows.where(F.col("why").isNull() & (F.col("kind") == "done"))
+        return done.groupBy("run_id", "idx").agg(F.min(F.struct(*first)).alias("first"), F.count(F.lit(1)).alias("reports"))
+
+    def merge(df: DataFrame) -> DataFrame:
+        return df.groupBy("run_id", "idx").agg(F.min("first").alias("first"), F.sum("reports").alias("reports"))
+
+    return Fold(partial, merge, bucket(["run_id", "idx"]))
+
+
+def _stateful(events: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """State with timers needs the store that keeps several values for a key."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return events.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def _ms(us: int) -> int:
+    return -(-us // 1000)
+
+
+class _Ordered(StatefulProcessor):
+    """Rows of a key in event-time order: each waits in a list until the watermark has passed it."""
+
+    ROW = ""  # columns of a waiting row, the first its time in microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.ROW)
+        self.start(handle)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(None if pd.isna(v) else v for v in r) for chunk in rows for r in self.rows(chunk).itertuples(index=False)]
+        self.waiting.appendList(new)
+        for at in {_ms(int(r[0])) for r in new}:
+            self.handle.registerTimer(at)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs()  # timers set here fire with a later batch, so all that is due is settled
+        waiting = [tuple(r) for r in self.waiting.get()]
+        due = [r for r in waiting if _ms(int(r[0])) < until]
+        if due:
+            rest = [r for r in waiting if _ms(int(r[0])) >= until]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        found = self.settle(key, sorted(due, key=self.order), until)
+        if found:
+            yield pd.DataFrame(found, columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+class _Sessions(_Ordered):
+    ROW = "us bigint, events bigint, ends bigint, malformed bigint"
+    COLUMNS = ["run_id", "session_start", "session_end", "events", "ends", "malformed"]
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def start(self, handle) -> None:
+        self.open = handle.getValueState("open", "first bigint, last bigint, events bigint, malformed bigint")
+
+    def rows(self, chunk):
+        return chunk[["us", "events", "ends", "malformed"]]
+
+    def order(self, row):
+        return row[0]
+
+    def settle(self, key, due, until):
+        out = []
+        now = tuple(self.open.get()) if self.open.exists() else None
+
+        def row(end, ends):
+            return (key[0], pd.Timestamp(now[0], unit="us"), pd.Timestamp(end, unit="us"), now[2], ends, now[3])
+
+        seconds: dict[int, list[int]] = {}
+        for us, n, ends, bad in due:  # one second may have come in several batches
+            have = seconds.setdefault(us, [0, 0, 0])
+            have[0], have[1], have[2] = have[0] + n, have[1] + ends, have[2] + bad
+        for us, (n, ends, bad) in seconds.items():
+            if now and us - now[1] >= self.gap:
+                out.append(row(now[1] + self.gap, 0))
+                now = None
+            now = (now[0], us, now[2] + n, now[3] + bad) if now else (us, us, n, bad)
+            if ends:
+                out.append(row(us, ends))
+                now = None
+        if now and _ms(now[1] + self.gap) < until:
+            out.append(row(now[1] + self.gap, 0))
+            now = None
+        if now:
+            self.open.update(now)
+            self.handle.registerTimer(_ms(now[1] + self.gap))
+        else:
+            self.open.clear()
+        return out
+
+
+def run_sessions(events: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
+    """Runs told apart by their ends, and by silence where no end was recorded. Times are whole seconds, and all that a run
+    reports in one second is counted before the shuffle, so a busy run is as many rows as it lasts seconds."""
+    second = F.date_trunc("second", "ts")
+    counted = events.where(F.col("ts").isNotNull()).select("run_id", second.alias("ts"), F.coalesce(F.col("kind") == "end", F.lit(False)).alias("_end"), F.col("kind").isNull().alias("_bad"))
+    counted = counted.mapInPandas(_per_second, "run_id bigint, ts timestamp, us bigint, events bigint, ends bigint, malformed bigint").withWatermark("ts", delay)
+    return _stateful(counted, ["run_id"], _Sessions(gap_seconds * 1_000_000),
+                     "run_id bigint, session_start timestamp, session_end timestamp, events bigint, ends bigint, malformed bigint")
+
+
+def _per_second(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for c in chunks:
+        c = c.assign(events=1, ends=c["_end"].astype("int64"), malformed=c["_bad"].astype("int64"))
+        c = c.groupby(["run_id", "ts"], as_index=False, dropna=False)[["events", "ends", "malformed"]].sum()
+        c["us"] = [int(t.value // 1000) for t in c["ts"]]
+        yield c[["run_id", "ts", "us", "events", "ends", "malformed"]]
 
 
 def frames_once(events: DataFrame, delay: str) -> DataFrame:
@@ -67,66 +201,128 @@ def frames_once(events: DataFrame, delay: str) -> DataFrame:
     return events.where(F.col("kind") == "done").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "idx"])
 
 
+class _Pairs(_Ordered):
+    ROW = "us bigint, done int, status string"
+    COLUMNS = ["run_id", "idx", "started", "ended", "status"]
+
+    def __init__(self, within_us: int):
+        self.within = within_us
+
+    def start(self, handle) -> None:
+        self.open = handle.getValueState("open", "us bigint")
+
+    def rows(self, chunk):
+        return chunk[["us", "done", "status"]]
+
+    def order(self, row):
+        return row[0], row[1], row[2] or ""
+
+    def settle(self, key, due, until):
+        out = []
+        start = self.open.get()[0] if self.open.exists() else None
+
+        def row(ended, status):
+            return (*key, pd.Timestamp(start, unit="us"), pd.NaT if ended is None else pd.Timestamp(ended, unit="us"), status)
+
+        for us, done, status in due:
+            if not done:
+                if start is not None:
+                    out.append(row(None, None))
+                start = us
+            elif start is not None and us - start <= self.within:
+                out.append(row(us, status))
+                start = None
+        if start is not None and _ms(start + self.within) < until:
+            out.append(row(None, None))
+            start = None
+        if start is not None:
+            self.open.update((start,))
+            self.handle.registerTimer(_ms(start + self.within))
+        else:
+            self.open.clear()
+        return out
+
+
 def start_to_done(events: DataFrame, within: str, delay: str) -> DataFrame:
-    """Each start with the ends of the same frame that follow `within` it; a start without one comes out
-    once none can come any more."""
-    starts = events.where(F.col("kind") == "start").select("run_id", "idx", F.col("ts").alias("started")).withWatermark("started", delay)
-    dones = events.where(F.col("kind") == "done").select(
-        F.col("run_id").alias("_run"), F.col("idx").alias("_idx"), F.col("ts").alias("ended"), "status").withWatermark("ended", delay)
-    same = (F.col("run_id") == F.col("_run")) & (F.col("idx") == F.col("_idx")) & (F.col("ended") >= F.col("started")) & (
-        F.col("ended") <= F.col("started") + F.expr(f"INTERVAL {within}"))
-    return starts.join(dones, same, "leftOuter").drop("_run", "_idx")
+    """One row for each start: with the first end of the same frame before the frame's next start, `within` the start, or without
+    one, once none can come any more. A start and an end at the same time belong together."""
+    one = events.sparkSession.sql(f"SELECT CAST(unix_micros(TIMESTAMP_MICROS(0) + INTERVAL {within}) AS BIGINT)").first()[0]
+    rows = events.where(F.col("kind").isin("start", "done") & F.col("ts").isNotNull()).select(
+        "run_id", "idx", "ts", F.unix_micros("ts").alias("us"), (F.col("kind") == "done").cast("int").alias("done"), "status").withWatermark("ts", delay)
+    return _stateful(rows, ["run_id", "idx"], _Pairs(one), "run_id bigint, idx bigint, started timestamp, ended timestamp, status string")
 
 
 ROLL_DONE = "run_id bigint, expected bigint, developed bigint, failed bigint, outcome string"
 
 
-def _tally(wait_ms: int):
-    def step(key: tuple, counts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, developed, failed, last = state.get if state.exists else (0, 0, 0, 0)
-
-        def row(outcome: str) -> pd.DataFrame:
-            if state.exists:
-                state.remove()
-            return pd.DataFrame([(key[0], expected, developed, failed, outcome)],
-                                columns=["run_id", "expected", "developed", "failed", "outcome"])
-
-        if state.hasTimedOut:
-            yield row("didn't finish")
-            return
-        for chunk in counts:  # sums and a maximum: chunks may come in any order
-            developed += int(chunk["developed"].sum())
-            failed += int(chunk["failed"].sum())
-            expected = int(chunk["expected"].iloc[0])
-            last = max(last, int(chunk["ts"].max().timestamp() * 1000))
-        if developed + failed >= expected:
-            yield row("complete")
-        elif last + wait_ms <= state.getCurrentWatermarkMs():
-            yield row("didn't finish")
+class _Completion(StatefulProcessor):
+    """A run's frames with their first reports, and whether the run was told of; that outlives the frames."""
+
+    def __init__(self, wait_ms: int, keep_ms: int):
+        self.wait, self.keep = wait_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.frames = handle.getMapState("frames", "idx bigint", "us bigint, ok boolean")
+        self.run = handle.getValueState("run", "expected bigint, last bigint, closed boolean")
+
+    def _wake(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def _told(self, key: tuple, expected: int, last: int, outcome: str) -> pd.DataFrame:
+        reports = [v[1] for v in self.frames.values()]
+        self.frames.clear()
+        self.run.update((expected, last, True))
+        self._wake(last + self.keep)
+        return pd.DataFrame([(key[0], expected, sum(reports), len(reports) - sum(reports), outcome)], columns=["run_id", "expected", "developed", "failed", "outcome"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        expected, last, closed = self.run.get() if self.run.exists() else (0, 0, False)
+        for chunk in rows:
+            for idx, us, ok, most, newest in zip(chunk["idx"], chunk["us"], chunk["ok"], chunk["expected"], chunk["newest"]):
+                last, expected = max(last, int(newest)), max(expected, int(most))
+                if closed:
+                    continue
+                have = self.frames.getValue((int(idx),)) if self.frames.containsKey((int(idx),)) else None
+                if have is None or (int(us), bool(ok)) < (have[0], have[1]):
+                    self.frames.updateValue((int(idx),), (int(us), bool(ok)))
+        if closed:  # repeats after the end change nothing, and keep the marker
+            self.run.update((expected, last, True))
+            self._wake(last + self.keep)
+        elif sum(1 for _ in self.frames.keys()) >= expected:
+            yield self._told(key, expected, last, "complete")
         else:
-            state.update((expected, developed, failed, last))
-            state.setTimeoutTimestamp(last + wait_ms)
+            self.run.update((expected, last, False))
+            self._wake(last + self.wait)
 
-    return step
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expected, last, closed = self.run.get()
+        if closed:
+            self.run.clear()
+        else:
+            yield self._told(key, expected, last, "didn't finish")
+
+    def close(self) -> None:
+        pass
 
 
-def _combine(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for chunk in chunks:
-        ok = chunk["status"] == "ok"
-        counted = chunk.assign(developed=ok.astype("int64"), failed=(~ok).astype("int64"))
-        yield counted.groupby(["run_id", "expected"], as_index=False).agg(
-            ts=("ts", "max"), developed=("developed", "sum"), failed=("failed", "sum"))
+def _first_reports(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for c in chunks:
+        us = pd.Series([int(t.value // 1000) for t in c["ts"]], index=c.index, dtype="int64")
+        c = c.assign(us=us, ok=c["status"] == "ok", newest=(us + 999) // 1000).sort_values(["us", "ok"])
+        yield c.groupby(["run_id", "idx", "expected"], as_index=False).agg(
+            ts=("ts", "max"), us=("us", "first"), ok=("ok", "first"), newest=("newest", "max"))[["run_id", "idx", "expected", "ts", "us", "ok", "newest"]]
 
 
-def roll_completion(done: DataFrame, wait_ms: int, delay: str) -> DataFrame:
-    """(run_id, ts, status, expected) -> one line per run: when every expected frame has a result, or
-    when nothing came for `wait_ms` of event time. Results are counted before the shuffle by run, so even
-    a very busy run reaches its state, four numbers, as a few counts."""
-    counted = done.select("run_id", "ts", "status", "expected").mapInPandas(
-        _combine, "run_id bigint, expected bigint, ts timestamp, developed bigint, failed bigint")
-    return counted.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(
-        _tally(wait_ms), ROLL_DONE, "expected bigint, developed bigint, failed bigint, last bigint", "append",
-        GroupStateTimeout.EventTimeTimeout)
+def roll_completion(done: DataFrame, wait_ms: int, delay: str, keep_ms: int = 30 * 86_400_000) -> DataFrame:
+    """(run_id, idx, ts, status, expected) -> one row per run: when every expected frame has a report, or when none came
+    for `wait_ms` of event time. A frame counts once, as its first report says; reports are cut to one per frame before the shuffle.
+    A run that was told of is remembered for `keep_ms` of event time after its last report, so repeats don't tell of it again."""
+    reports = done.select("run_id", "idx", "ts", "status", "expected").mapInPandas(
+        _first_reports, "run_id bigint, idx bigint, expected bigint, ts timestamp, us bigint, ok boolean, newest bigint").withWatermark("ts", delay)
+    return _stateful(reports, ["run_id"], _Completion(wait_ms, keep_ms), ROLL_DONE)
 
 
 def run_once(stream: DataFrame, label: str) -> DataFrame:
@@ -137,32 +333,3 @@ def run_once(stream: DataFrame, label: str) -> DataFrame:
              .option("checkpointLocation", shared_path(spark, f"{label}-state")).trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
-
-
-BUCKETS = 64
-
-
-def refresh_touched(rows: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
-    """Keep a table of results up to date with a stream of `rows`: every batch is stored, and the keys it
-    touched are computed again from all their rows. For statistics that don't merge, like medians. Rows
-    are stored by a bucket of their key, so only the buckets a batch touched are read again, and a batch
-    written again after a failure replaces itself. The result has the latest row set of every key."""
-    spark = rows.sparkSession
-    seen, results = shared_path(spark, f"{label}-rows"), shared_path(spark, f"{label}-results")
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
-
-    def batch(new: DataFrame, batch_id: int) -> None:
-        new.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{seen}/batch={batch_id}")
-        stored = spark.read.schema(schema).parquet(seen).where(F.col("batch") <= batch_id)
-        touched = stored.where(F.col("batch") == batch_id).select("bucket", *keys).distinct()
-        buckets = [r[0] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        again = stored.where(F.col("bucket").isin(buckets)).join(touched, ["bucket", *keys], "left_semi")
-        compute(again.drop("batch", "bucket")).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
-
-    query = (rows.writeStream.foreachBatch(batch).option("checkpointLocation", shared_path(spark, f"{label}-state"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    history = spark.read.parquet(results)
-    latest = history.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return history.join(latest, [*keys, "batch"]).drop("batch")
