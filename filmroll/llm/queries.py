@@ -63,4 +63,5 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_license_scan, op4_simhash_near_dedup, op5_chroma_fingerprints, op6_secret_scan, op7_exact_dedup,
                                   op8_bpe, op9_mixing, op10_suffix_dedup, op11_periodic_runs, op12_prefix_trie, op13_token_counts)}
-ORACLES = {"op2_warc": warc.ORACLE, "op3_license_scan": licenses.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op3_license_scan": licenses.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE,
+           "op12_prefix_trie": trie.ORACLE}

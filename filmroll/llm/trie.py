@@ -363,3 +363,24 @@ def trie(convs: DataFrame, turns: DataFrame, limit: int = LIMIT, held: int = HEL
 def prefix_trie(turns: DataFrame, limit: int = LIMIT, held: int = HELD) -> DataFrame:
     """The trie of conversations (conv_id, turn, role, text) as `rebuilt` makes them."""
     return trie(*rebuilt(turns), limit, held)
+
+
+ORACLE = f"""
+WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at FROM conversations WHERE conv_id IS NOT NULL),
+byte AS (SELECT conv_id, count(*) AS n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)::BIGINT[]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc FROM own GROUP BY conv_id),
+conv AS (SELECT c.conv_id, c.crc % {MOST_DONATED} AS h, least(c.crc % {MOST_DONATED}, coalesce(g.n, 0)) AS given, c.conv_id - c.conv_id % {DONOR} AS donor
+    FROM byte c LEFT JOIN byte g ON g.conv_id = c.conv_id - c.conv_id % {DONOR}),
+turn AS (SELECT c.conv_id, o.at AS d, o.role, o.text FROM conv c JOIN own o ON o.conv_id = c.donor AND o.at <= c.given
+    UNION ALL SELECT c.conv_id, c.given + o.at - c.h, o.role, o.text FROM conv c JOIN own o ON o.conv_id = c.conv_id AND o.at > c.h),
+path AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY d) AS p FROM turn GROUP BY conv_id),
+whole AS (SELECT conv_id, coalesce(p, []) AS p FROM conv LEFT JOIN path USING (conv_id)),
+pre AS (SELECT conv_id, d, p[1:d] AS node, d = len(p) AS last FROM whole, range(0, (SELECT max(len(p)) + 1 FROM whole)) t(d) WHERE d <= len(p)),
+node AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE len(node[d].t) END AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM pre GROUP BY node, d),
+kids AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+under AS (SELECT n.node[1:t.a] AS top, n.n_convs, n.size, k.n IS NULL AS leaf FROM node n LEFT JOIN kids k USING (node), range(0, (SELECT max(d) + 1 FROM node)) t(a) WHERE t.a <= n.d),
+sums AS (SELECT top AS node, count_if(leaf) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved FROM under GROUP BY top)
+SELECT n.conv_id, n.d AS depth, CASE WHEN n.d > 0 THEN q.conv_id END AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved AS saved_tokens, n.ends_sha256
+FROM node n JOIN sums s USING (node) LEFT JOIN kids k USING (node) LEFT JOIN node q ON q.node = n.node[1:n.d - 1] AND n.d > 0"""
