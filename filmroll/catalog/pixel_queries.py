@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from filmroll.catalog.registry import query, rounded
@@ -14,9 +12,9 @@ from filmroll.functions.pixel import RGB, map_rgb
 from filmroll.operators import pixels as px
 from filmroll.operators.points import reference_scan
 from filmroll.operators.scans import scan_match
-from filmroll.plans.develop import frame_tones, print_frames
-from filmroll.session import materialize
-from filmroll.sources.pixels import normalise_samples
+from filmroll.plans.develop import frame_tones
+from filmroll.session import materialize, shared_path
+from filmroll.sources.pixels import read_pixels
 
 P = with_sql(PIXEL_SQL)
 PM = with_sql(PIXEL_SQL, META_SQL)
@@ -34,7 +32,10 @@ def matrix_sql(m) -> str:
 
 @query("src_pixels", P + f"SELECT roll_id, frame_id, y, x, round(r / 4294967295e0, 9) AS r, round(g / 4294967295e0, 9) AS g, round(b / 4294967295e0, 9) AS b FROM samples")
 def src_pixels(spark, sf):
-    return rounded(normalise_samples(samples(spark, sf), "uint32"), 9)
+    """Raw samples, written and read back."""
+    path = shared_path(spark, "samples")
+    samples(spark, sf).write.parquet(path)
+    return rounded(read_pixels(spark, path, "uint32"), 9)
 
 
 @query("px_working_space", P + f"SELECT roll_id, frame_id, y, x, {rgb_sql()} FROM (SELECT roll_id, frame_id, y, x, {matrix_sql(REC2020)} FROM pixels)")

@@ -132,13 +132,37 @@ def set_rolls_union(spark, sf):
     return rolls.all_jobs(jobs.where(nested), jobs.where(~nested))
 
 
-@query("set_exclude_destinations", FS + """SELECT folder, count_if(kind = 'scan') AS scans, count_if(kind = 'positive') AS positives FROM files
-WHERE folder NOT IN (SELECT folder FROM files WHERE p_size > 45) GROUP BY folder HAVING count_if(kind = 'scan') > 0""")
+FOLDER_SQL = FS + """, fo AS (SELECT CASE WHEN p_size % 13 = 5 THEN concat(folder, '/.trash') WHEN p_size % 13 = 6 THEN concat(folder, '/.thumbs/small') ELSE folder END AS folder, kind, p_size FROM files),
+h AS (SELECT folder, count_if(kind = 'scan' AND p_size % 10 < 4) AS scans, count_if(kind = 'positive') AS positives, max(p_size) > 49 AS dest FROM fo WHERE NOT contains(folder, '/.') GROUP BY folder)
+"""
+
+
+def _listed(spark, sf):
+    """Folders with their counts, some hidden; where fewer files are scans; and those written to."""
+    size, kind = F.col("p_size"), F.col("kind")
+    inside = F.when(size % 13 == 5, F.concat("folder", F.lit("/.trash"))).when(size % 13 == 6, F.concat("folder", F.lit("/.thumbs/small"))).otherwise(F.col("folder"))
+    classified = rolls.classify(files(spark, sf)).withColumn("folder", inside)
+    folders = classified.groupBy("folder").agg(F.count_if((kind == "scan") & (size % 10 < 4)).alias("scans"), F.count_if(kind == "positive").alias("positives"))
+    return folders, classified.where(size > 49).select("folder").distinct()
+
+
+@query("set_exclude_destinations", FOLDER_SQL + "SELECT folder, scans, positives FROM h WHERE scans > 0 AND NOT dest")
 def set_exclude_destinations(spark, sf):
-    classified = rolls.classify(files(spark, sf))
-    folders = classified.groupBy("folder").agg(F.count_if(F.col("kind") == "scan").alias("scans"), F.count_if(F.col("kind") == "positive").alias("positives"))
-    destinations = classified.where(F.col("p_size") > 45).select("folder").distinct()
-    return rolls.exclude_destinations(folders, destinations)
+    return rolls.exclude_destinations(*_listed(spark, sf))
+
+
+@query("agg_skipped_folders", FOLDER_SQL + "SELECT count_if(scans = 0 AND positives > 0) AS earlier_outputs, count_if(scans > 0 AND dest) AS destinations FROM h")
+def agg_skipped_folders(spark, sf):
+    return rolls.skipped_folders(*_listed(spark, sf))
+
+
+@query("join_roll_clash", FS + """, r AS (SELECT folder, concat('/out/', upper(left(split_part(folder, '/', -1), 5))) AS output_dir, count_if(kind = 'scan') AS jobs FROM files GROUP BY folder)
+SELECT lower(output_dir) AS output_key, count(*) AS rolls, arg_min(folder, folder) AS first_roll, arg_max(folder, folder) AS last_roll FROM r WHERE jobs > 0 GROUP BY lower(output_dir) HAVING count(*) > 1""")
+def join_roll_clash(spark, sf):
+    """Rolls whose output folders are named by a few letters."""
+    counted = rolls.classify(files(spark, sf)).groupBy("folder").agg(F.count_if(F.col("kind") == "scan").alias("jobs"))
+    last = F.substring_index("folder", "/", -1)
+    return rolls.roll_clashes(counted.withColumns({"roll_name": F.col("folder"), "output_dir": F.concat(F.lit("/out/"), F.upper(F.substring(last, 1, 5)))}))
 
 
 @query("agg_check_inputs", FS + """, n AS (SELECT folder, name, path, count(*) OVER (PARTITION BY name) AS k FROM (SELECT DISTINCT folder, CASE WHEN kind = 'folder' THEN 'dir' ELSE name END AS name, concat(folder, '/', CASE WHEN kind = 'folder' THEN 'dir' ELSE name END) AS path FROM files))

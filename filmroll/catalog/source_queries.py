@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from filmroll.catalog.pixel_queries import CURVE_SQL, PROFILE, TONE_SQL, rgb_sql
 from filmroll.catalog.registry import query, rounded
-from filmroll.catalog.tables import META_SQL, PIXEL_SQL, curve, exif, pixels, positives, table, with_sql
+from filmroll.catalog.tables import PIXEL_SQL, curve, exif, positives, table, with_sql
 from filmroll.plans.develop import frame_tones
 from filmroll.session import materialize, shared_path
 from filmroll.sources import profiles as pf
-from filmroll.sources.pixels import write_developed
+from filmroll.sources.pixels import read_developed, write_developed
 from filmroll.sources.provenance import provenance_record, with_provenance
 
 
@@ -41,38 +41,42 @@ def _profiles(spark, sf):
 
 PROFILE_SQL = """
 WITH pr AS (SELECT *, concat('P', p_partkey) AS file, CAST(concat('0.', lpad(CAST(p_size AS VARCHAR), 2, '0')) AS DOUBLE) AS half,
-  CASE WHEN p_partkey % 17 = 0 THEN 'damaged profile: it isn''t valid JSON' WHEN p_partkey % 29 = 0 THEN 'damaged profile: it isn''t a JSON object'
-    WHEN p_partkey % 23 <= 1 THEN 'damaged profile: white_balance must be three positive numbers' WHEN p_partkey % 19 = 0 THEN 'missing required field ''density_scale'''
-    WHEN p_partkey % 19 = 1 THEN 'damaged profile: density_scale must be three positive numbers' END AS problem FROM part),
+  CASE WHEN p_partkey % 17 = 0 THEN 'unreadable: not JSON' WHEN p_partkey % 29 = 0 THEN 'unreadable: JSON, but no object'
+    WHEN p_partkey % 23 <= 1 THEN 'white_balance: three numbers above zero are needed' WHEN p_partkey % 19 = 0 THEN 'no density_scale given'
+    WHEN p_partkey % 19 = 1 THEN 'density_scale: three numbers above zero are needed' END AS problem FROM part),
 ok AS (SELECT * FROM pr WHERE problem IS NULL)
 """
 
 
 @query("src_profiles", PROFILE_SQL + """SELECT file, CASE WHEN problem IS NULL THEN p_name END AS name, CASE WHEN problem IS NULL THEN p_brand END AS film_stock,
-  CASE WHEN problem IS NULL THEN round(half + 0.001e0, 6) END AS wb_r, CASE WHEN problem IS NULL THEN 0.78e0 END AS s_b,
+  CASE WHEN problem IS NULL THEN round(half + 0.001e0, 6) END AS wb_r, CASE WHEN problem IS NULL THEN 1e0 END AS wb_g, CASE WHEN problem IS NULL THEN 1.05e0 END AS wb_b,
+  CASE WHEN problem IS NULL THEN 1.12e0 END AS s_r, CASE WHEN problem IS NULL THEN 1e0 END AS s_g, CASE WHEN problem IS NULL THEN 0.78e0 END AS s_b,
   CASE WHEN problem IS NULL THEN CASE WHEN p_size % 7 = 0 THEN 'manual' ELSE 'anchor' END END AS source, CASE WHEN problem IS NULL THEN '2024-05-06' END AS created, problem FROM pr""")
 def src_profiles(spark, sf):
-    return rounded(_profiles(spark, sf).select(
-        "file", "name", "film_stock", F.col("white_balance.r").alias("wb_r"), F.col("density_scale.b").alias("s_b"), "source",
+    """A file for each profile, written and read back."""
+    path = shared_path(spark, "profile-files")
+    pf.write_profiles(profile_files(spark, sf), path)
+    return rounded(pf.read_profiles(spark, path).select(
+        "file", "name", "film_stock", *[F.col(f"{v}.{c}").alias(f"{k}_{c}") for k, v in (("wb", "white_balance"), ("s", "density_scale")) for c in "rgb"], "source",
         F.date_format("created_at", "yyyy-MM-dd").alias("created"), "problem"))
 
 
 @query("src_tone_sidecar", PROFILE_SQL + """SELECT file, CASE WHEN tone_problem IS NULL THEN round(half + 0.005e0, 6) END AS exposure, CASE WHEN tone_problem IS NULL THEN p_size / 20e0 END AS contrast, tone_problem
-FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'tone needs a finite exposure and a contrast' WHEN p_size > 40 THEN 'tone contrast must be above 0 and at most 2' END AS tone_problem FROM ok WHERE p_size % 3 = 0)""")
+FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'tone without finite numbers for exposure and contrast' WHEN p_size > 40 THEN 'tone with a contrast outside (0, 2]' END AS tone_problem FROM ok WHERE p_size % 3 = 0)""")
 def src_tone_sidecar(spark, sf):
     return rounded(pf.tone_overrides(_profiles(spark, sf)))
 
 
 @query("src_scan_sidecar", PROFILE_SQL + """SELECT file, CASE WHEN p_size % 4 = 0 THEN 0.04e0 END AS t, CASE WHEN p_size % 4 = 0 THEN 8e0 END AS f, CASE WHEN p_size % 4 = 0 THEN CAST(p_size AS DOUBLE) END AS iso,
-  CASE WHEN p_size % 4 = 1 THEN 'scan needs exposure_time, f_number and iso' END AS scan_problem FROM ok WHERE p_size % 4 <= 1""")
+  CASE WHEN p_size % 4 = 1 THEN 'scan settings that are incomplete' END AS scan_problem FROM ok WHERE p_size % 4 <= 1""")
 def src_scan_sidecar(spark, sf):
     return rounded(pf.scan_references(_profiles(spark, sf)))
 
 
-@query("src_anchors", PROFILE_SQL + """SELECT file, CAST(i AS INTEGER) AS i, '/scans/a.tif' AS frame, p_size AS x, 2 AS y, 0.1e0 AS r, 0.2e0 AS g, round(half + 0.001e0, 6) AS b FROM ok, range(2) t(i) WHERE p_size % 5 = 0
-UNION ALL SELECT file, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM pr WHERE NOT coalesce(problem IS NULL AND p_size % 5 = 0, false)""")
+@query("src_anchors", PROFILE_SQL + """SELECT file, CAST(i AS INTEGER) AS i, '/scans/a.tif' AS frame, p_size AS x, 2 AS y, 0.1e0 AS r, 0.2e0 AS g, round(half + 0.001e0, 6) AS b, CAST(NULL AS DOUBLE) AS t, CAST(NULL AS DOUBLE) AS f, CAST(NULL AS DOUBLE) AS iso FROM ok, range(2) t(i) WHERE p_size % 5 = 0
+UNION ALL SELECT file, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM pr WHERE NOT coalesce(problem IS NULL AND p_size % 5 = 0, false)""")
 def src_anchors(spark, sf):
-    return rounded(pf.profile_points(_profiles(spark, sf)).drop("t", "f", "iso"))
+    return rounded(pf.profile_points(_profiles(spark, sf)))
 
 
 def _changes(spark, sf):
@@ -91,34 +95,57 @@ def _changes(spark, sf):
                        (size % 3 == 0).alias("overwrite"), fields.alias("fields"), *[v.alias(c) for c, v in body.items()])
 
 
-@query("snk_profiles", """
-WITH c AS (SELECT *, CASE p_size % 5 WHEN 0 THEN 'save' WHEN 1 THEN 'rename' WHEN 2 THEN 'edit' ELSE 'delete' END AS action,
+CHANGE_SQL = PROFILE_SQL + """, c AS (SELECT *, CASE p_size % 5 WHEN 0 THEN 'save' WHEN 1 THEN 'rename' WHEN 2 THEN 'edit' ELSE 'delete' END AS action,
     CASE WHEN p_size % 10 >= 8 THEN concat('q', p_partkey) ELSE concat('p', p_partkey) END AS key,
     CASE WHEN p_size % 2 = 0 THEN concat('N', p_partkey) WHEN p_size % 3 = 0 THEN 'same' ELSE concat('p', p_partkey) END AS new_name FROM part WHERE p_type <> 'LARGE'),
-j AS (SELECT coalesce(c.key, concat('p', p.p_partkey)) AS key, p.p_partkey IS NOT NULL AS there, c.action, c.new_name, c.p_size AS csize, p.p_brand AS brand, concat('P', p.p_partkey) AS file,
-    p.p_partkey % 17 = 0 OR p.p_partkey % 29 = 0 OR p.p_partkey % 23 <= 1 OR p.p_partkey % 19 <= 1 AS broken,
-    count(*) FILTER (WHERE action = 'rename') OVER (PARTITION BY CASE WHEN action = 'rename' THEN lower(c.new_name) END) AS claims
-  FROM part p FULL JOIN c ON c.key = concat('p', p.p_partkey)),
-d AS (SELECT *, CASE WHEN action IS NULL THEN NULL WHEN action = 'save' AND there AND csize % 3 <> 0 THEN 'a profile of that name already exists'
-    WHEN action <> 'save' AND NOT there THEN 'no saved profile of that name' WHEN action = 'rename' AND lower(new_name) <> key AND claims > 1 THEN 'a profile of the new name already exists'
-    WHEN action = 'edit' AND csize % 4 = 0 THEN 'not an editable profile field: name' END AS problem FROM j)
-SELECT CASE WHEN problem IS NULL AND action = 'rename' THEN new_name WHEN there THEN file ELSE CASE WHEN action IS NOT NULL THEN upper(left(key, 1)) || substring(key, 2) END END AS file,
+j AS (SELECT coalesce(c.key, concat('p', p.p_partkey)) AS key, p.p_partkey IS NOT NULL AS there, p.p_partkey IS NOT NULL AND p.problem IS NULL AS sound, c.action, c.new_name, c.p_size AS csize, p.p_size AS psize, p.p_brand AS brand, p.p_name AS pname, p.half AS half,
+    concat('P', p.p_partkey) AS file, count(*) FILTER (WHERE action = 'rename') OVER (PARTITION BY CASE WHEN action = 'rename' THEN lower(c.new_name) END) AS claims
+  FROM pr p FULL JOIN c ON c.key = concat('p', p.p_partkey)),
+d AS (SELECT *, CASE WHEN action IS NULL THEN NULL WHEN action = 'save' AND there AND csize % 3 <> 0 THEN 'refused: the name is taken'
+    WHEN action <> 'save' AND NOT there THEN 'refused: no such profile' WHEN action = 'rename' AND lower(new_name) <> key AND claims > 1 THEN 'refused: the new name is taken'
+    WHEN action = 'edit' AND csize % 4 = 0 THEN 'refused, not editable: name' END AS problem FROM j),
+k AS (SELECT *, problem IS NULL AND action IS NOT NULL AS done FROM d),
+r AS (SELECT CASE WHEN done AND action = 'rename' THEN new_name WHEN there THEN file ELSE upper(left(key, 1)) || substring(key, 2) END AS file,
+  CASE WHEN done AND action = 'rename' THEN new_name WHEN done AND action = 'save' THEN CASE WHEN there THEN key ELSE upper(left(key, 1)) || substring(key, 2) END WHEN sound THEN pname END AS name,
+  CASE WHEN done AND action = 'save' THEN 0.9e0 WHEN sound THEN round(half + 0.001e0, 6) END AS wb_r, CASE WHEN sound OR (done AND action = 'save') THEN 1e0 END AS wb_g, CASE WHEN done AND action = 'save' THEN 1.1e0 WHEN sound THEN 1.05e0 END AS wb_b,
+  CASE WHEN done AND action = 'save' THEN 0.9e0 WHEN sound THEN 1.12e0 END AS s_r, CASE WHEN sound OR (done AND action = 'save') THEN 1e0 END AS s_g, CASE WHEN done AND action = 'save' THEN 1.1e0 WHEN sound THEN 0.78e0 END AS s_b,
+  CASE WHEN done AND action = 'save' THEN 'new stock' WHEN done AND action = 'edit' THEN NULL WHEN sound THEN brand END AS film_stock,
+  CAST(NULL AS VARCHAR) AS process, CAST(NULL AS VARCHAR) AS scanner, CASE WHEN sound AND NOT (done AND action = 'save') THEN '2024-05-06' END AS created,
+  CASE WHEN done AND action = 'save' THEN 'manual' WHEN sound THEN CASE WHEN psize % 7 = 0 THEN 'manual' ELSE 'anchor' END END AS source,
+  CASE WHEN done AND action = 'edit' THEN 'edited' END AS notes,
+  CASE WHEN sound AND NOT (done AND action = 'save') AND psize % 3 = 0 THEN psize / 20e0 END AS contrast,
+  CASE WHEN sound AND NOT (done AND action = 'save') AND psize % 4 <= 1 THEN CASE WHEN psize % 4 = 0 THEN psize * 1e0 ELSE 100e0 END END AS iso,
+  CASE WHEN sound AND NOT (done AND action = 'save') AND psize % 5 = 0 THEN 2 END AS points,
   CASE WHEN action IS NULL THEN 'kept' WHEN problem IS NOT NULL THEN 'refused' WHEN action = 'save' AND there THEN 'replaced' WHEN action = 'save' THEN 'saved' WHEN action = 'rename' THEN 'renamed' WHEN action = 'edit' THEN 'edited' ELSE 'deleted' END AS outcome,
-  CASE WHEN problem IS NULL AND action = 'save' THEN 'new stock' WHEN problem IS NULL AND action = 'edit' THEN NULL WHEN broken THEN NULL ELSE brand END AS film_stock,
-  CASE WHEN problem IS NULL AND action = 'edit' THEN 'edited' END AS notes, problem, there AS existed FROM d""")
+  problem, there AS existed FROM k)
+"""
+
+
+def _told(rows, *more):
+    """Every column of profiles, in values that SQL can say."""
+    return rounded(rows.select(
+        "file", "name", *[F.col(f"{v}.{c}").alias(f"{k}_{c}") for k, v in (("wb", "white_balance"), ("s", "density_scale")) for c in "rgb"], "film_stock", "process", "scanner",
+        F.date_format("created_at", "yyyy-MM-dd").alias("created"), "source", "notes", F.col("tone.contrast").alias("contrast"), F.col("scan.iso").alias("iso"),
+        F.when(F.col("anchors").isNotNull(), F.size("anchors")).alias("points"), *more))
+
+
+def _upserted(spark, sf):
+    """A store of profiles, and the changes made to it."""
+    path = shared_path(spark, "profiles")
+    pf.save_profiles(_profiles(spark, sf), path)
+    applied, _ = pf.upsert_profiles(spark, path, _changes(spark, sf))
+    return applied, path
+
+
+@query("snk_profiles", CHANGE_SQL + "SELECT * FROM r")
 def snk_profiles(spark, sf):
-    applied = pf.apply_changes(_profiles(spark, sf), _changes(spark, sf))
-    return applied.select("file", "outcome", "film_stock", "notes", "problem", "existed")
+    return _told(_upserted(spark, sf)[0], "outcome", "problem", "existed")
 
 
-@query("snk_profiles_snapshot", """
-WITH gone AS (SELECT count(*) AS n FROM part WHERE p_type <> 'LARGE' AND p_size % 5 >= 3 AND p_size % 10 < 8),
-added AS (SELECT count(*) AS n FROM part WHERE p_type <> 'LARGE' AND p_size % 5 = 0 AND p_size % 10 >= 8)
-SELECT (SELECT count(*) FROM part) - gone.n + added.n AS profiles FROM gone, added""")
+@query("snk_profiles_snapshot", CHANGE_SQL + "SELECT * EXCLUDE (outcome, problem, existed) FROM r WHERE outcome <> 'deleted' AND NOT (outcome = 'refused' AND NOT existed)")
 def snk_profiles_snapshot(spark, sf):
-    """How many profiles the snapshot written back holds."""
-    snap = materialize(pf.snapshot(pf.apply_changes(_profiles(spark, sf), _changes(spark, sf))), "snapshot")
-    return snap.agg(F.count(F.lit(1)).alias("profiles"))
+    """The store's next version, read back."""
+    return _told(pf.stored_profiles(spark, _upserted(spark, sf)[1]))
 
 
 def _tones(spark, sf):
@@ -152,20 +179,24 @@ def snk_provenance(spark, sf):
     return rounded(rows.select("roll_id", "frame_id", "_r.output", "_r.contrast", "_r.linear_scale", "_r.film_stock", "_r.scan_gain", "problem"))
 
 
-@query("fn_json", RECORD_SQL + """SELECT roll_id, frame_id, concat('{"filmroll":{"output":"flat","version":"1","linear_scale":0.25,"white_balance":[0.73,1.0,1.05],"density_scale":[1.12,1.0,0.78]',
-  CASE WHEN frame_id % 2 = 0 THEN ',"film_stock":"Gold 200"' ELSE '' END, CASE WHEN frame_id % 3 = 0 THEN ',"scan_gain":1.5' ELSE '' END, '}}') AS description
-FROM frame_tone WHERE frame_id % 5 = 4 AND frame_id % 11 <> 3""")
+@query("fn_json", RECORD_SQL + f"""SELECT roll_id, frame_id, CASE WHEN {BAD_RECORD} THEN NULL ELSE concat('{{"filmroll":{{"output":"', CASE WHEN frame_id % 5 = 4 THEN 'flat' ELSE 'print' END, '","version":"1",',
+  CASE WHEN frame_id % 5 = 4 THEN '"linear_scale":0.25' ELSE '"exposure":#,"contrast":#' END, ',"white_balance":[0.73,1.0,1.05],"density_scale":[1.12,1.0,0.78]',
+  CASE WHEN frame_id % 2 = 0 THEN ',"film_stock":"Gold 200"' ELSE '' END, CASE WHEN frame_id % 3 = 0 THEN ',"scan_gain":1.5' ELSE '' END, '}}}}') END AS description,
+  CASE WHEN frame_id % 5 <> 4 THEN round(exposure, 6) END AS exposure, CASE WHEN frame_id % 5 <> 4 THEN round(grade, 6) END AS contrast FROM frame_tone""")
 def fn_json(spark, sf):
-    """The record itself, of flat frames."""
-    return _recorded(spark, sf).where((F.col("mode") == "linear") & F.col("problem").isNull()).select("roll_id", "frame_id", "description")
+    """Every record: its text, with the fitted numbers of a print beside it, since their last digits differ."""
+    number = lambda key: F.regexp_extract("description", f'"{key}":([-0-9.E]+)', 1)
+    shown = F.regexp_replace("description", r'"(exposure|contrast)":[-0-9.E]+', '"$1":#')
+    return rounded(_recorded(spark, sf).select("roll_id", "frame_id", shown.alias("description"), *[
+        F.when(number(k) != "", number(k).cast("double")).alias(k) for k in ("exposure", "contrast")]))
 
 
-@query("snk_frames", with_sql(PIXEL_SQL) + f"SELECT roll_id, frame_id, y, x, {rgb_sql(4)} FROM positives")
+@query("snk_frames", with_sql(PIXEL_SQL) + f"SELECT roll_id, frame_id, y, x, {rgb_sql(4)}, 3 AS version FROM positives")
 def snk_frames(spark, sf):
-    """Positives written by roll, half the rolls first; the rest are added without touching those."""
-    path = shared_path(spark, "developed")
-    rows = positives(spark, sf)
-    write_developed(rows.where(F.col("roll_id") % 2 == 0), path, by=["roll_id"])
-    write_developed(rows, path, "skip-existing", by=["roll_id"])
-    stored = spark.read.parquet(path)
-    return rounded(stored.select(F.col("roll_id").cast("bigint").alias("roll_id"), "frame_id", "y", "x", "r", "g", "b"), 4)
+    """Positives by roll: half the rolls first, all of them wrong; then written over; the rest are added without touching those."""
+    path, rows = shared_path(spark, "developed"), materialize(positives(spark, sf), "positives")
+    half = rows.where(F.col("roll_id") % 2 == 0)
+    write_developed(half.withColumn("r", F.col("r") + 1.0), path, by=["roll_id"])
+    write_developed(half, path, "overwrite", by=["roll_id"])
+    head = write_developed(rows, path, "skip-existing", by=["roll_id"])
+    return rounded(read_developed(spark, path, rows.schema).select("roll_id", "frame_id", "y", "x", "r", "g", "b"), 4).withColumn("version", F.lit(head.version))

@@ -74,10 +74,36 @@ def roll_names(folders: DataFrame, top: str) -> DataFrame:
     return joined.select("folder", name.alias("roll_name"))
 
 
-def exclude_destinations(folders: DataFrame, destinations: DataFrame) -> DataFrame:
-    """Folders that are rolls: they hold scans, and are not where this run writes. `folders` comes from
+def hidden_folder(folder: Column, top: str) -> Column:
+    """Whether a folder, or one between it and `top`, has a name that starts with a dot."""
+    return F.substring(folder, len(top) + 1, 2**31 - 1).rlike(r"/\.")
+
+
+def _placed(folders: DataFrame, destinations: DataFrame) -> DataFrame:
+    return folders.join(destinations.select("folder").distinct().withColumn("_to", F.lit(True)), "folder", "left").withColumn("_to", F.coalesce("_to", F.lit(False)))
+
+
+def exclude_destinations(folders: DataFrame, destinations: DataFrame, top: str = "") -> DataFrame:
+    """Folders that are rolls: they hold scans, aren't hidden, and are not where this run writes. `folders` comes from
     the listing with `scans` and `positives` counts; one left with positives only is earlier output."""
-    return folders.where(F.col("scans") > 0).join(destinations.select("folder"), "folder", "left_anti")
+    return _placed(folders.where((F.col("scans") > 0) & ~hidden_folder(F.col("folder"), top)), destinations).where(~F.col("_to")).drop("_to")
+
+
+def skipped_folders(folders: DataFrame, destinations: DataFrame, top: str = "") -> DataFrame:
+    """One row: how many folders are no rolls because they hold earlier output only, or are where this run writes. Hidden ones
+    aren't entered, so they aren't counted."""
+    seen = _placed(folders.where(~hidden_folder(F.col("folder"), top)), destinations)
+    return seen.agg(F.count_if((F.col("scans") == 0) & (F.col("positives") > 0)).alias("earlier_outputs"),
+                    F.count_if((F.col("scans") > 0) & F.col("_to")).alias("destinations"))
+
+
+def roll_clashes(planned: DataFrame) -> DataFrame:
+    """Output folders, compared without case, that more than one roll with frames to develop would be written to. `planned`:
+    folder, roll_name, output_dir, jobs."""
+    written = planned.where((F.col("jobs") > 0) & F.col("output_dir").isNotNull())
+    return written.groupBy(F.lower("output_dir").alias("output_key")).agg(
+        F.count(F.lit(1)).alias("rolls"), F.min(F.struct("folder", "roll_name"))["roll_name"].alias("first_roll"),
+        F.max(F.struct("folder", "roll_name"))["roll_name"].alias("last_roll")).where(F.col("rolls") > 1)
 
 
 def plan_jobs(numbered: DataFrame, out_dir: Column, template: str, roll: Column, stock: Column,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from filmroll.constants import EDITABLE_FIELDS
 from filmroll.functions.pixel import is_finite
 from filmroll.functions.text import base_name, stem
+from filmroll.session import materialize
+from filmroll.sources.versions import Head, Versions
 
 SCAN = "struct<exposure_time:double,f_number:double,iso:double>"
 ANCHOR = f"struct<frame:string,x:int,y:int,rgb:array<double>,scan:{SCAN}>"
@@ -19,17 +21,23 @@ BODY = ("white_balance", "density_scale", "film_stock", "process", "scanner", "c
 
 
 def read_profiles(spark: SparkSession, glob: str) -> DataFrame:
-    """Every profile file under `glob`, hidden ones aside."""
-    files = spark.read.text(glob, wholetext=True).select(
-        base_name(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))
+    """Every profile file under `glob`, hidden ones aside; or those that `write_profiles` wrote."""
+    found = spark.read.text(glob, wholetext=True)
+    name = F.col("file") if "file" in found.columns else base_name(F.col("_metadata.file_path"))
+    files = found.select(name.alias("file"), F.col("value").alias("text"))
     return parse_profiles(files.where(~F.col("file").startswith(".")))
 
 
+def write_profiles(files: DataFrame, path: str) -> None:
+    """(file, text) as a folder per profile with one text file, as `read_profiles` takes them."""
+    files.select("file", "text").repartition("file").write.mode("error").partitionBy("file").text(path)
+
+
 def _three(name: str, keys: Column) -> Column:
     value = F.col(f"_p.{name}")
     fine = (F.size(value) == 3) & F.forall(value, lambda v: F.coalesce(is_finite(v) & (v > 0), F.lit(False)))
-    return (F.when(~F.array_contains(keys, name), f"missing required field '{name}'")
-            .when(~F.coalesce(fine, F.lit(False)), f"damaged profile: {name} must be three positive numbers"))
+    return (F.when(~F.array_contains(keys, name), f"no {name} given")
+            .when(~F.coalesce(fine, F.lit(False)), f"{name}: three numbers above zero are needed"))
 
 
 def parse_profiles(files: DataFrame) -> DataFrame:
@@ -40,8 +48,8 @@ def parse_profiles(files: DataFrame) -> DataFrame:
     rows = files.select("file", plain.alias("_plain"), F.from_json("text", PROFILE).alias("_p"), F.json_object_keys(plain).alias("_keys"))
     invalid = F.try_parse_json("_plain").isNull()
     problem = F.coalesce(
-        F.when(invalid, "damaged profile: it isn't valid JSON"),
-        F.when(F.col("_keys").isNull(), "damaged profile: it isn't a JSON object"),
+        F.when(invalid, "unreadable: not JSON"),
+        F.when(F.col("_keys").isNull(), "unreadable: JSON, but no object"),
         _three("white_balance", F.col("_keys")), _three("density_scale", F.col("_keys")))
     fine = problem.isNull()
 
@@ -62,8 +70,8 @@ def tone_overrides(profiles: DataFrame) -> DataFrame:
     """The exposure and grade a profile suggests, where it has any; `tone_problem` where they're unusable."""
     exposure, contrast = F.col("tone.exposure"), F.col("tone.contrast")
     numbers = F.coalesce(is_finite(exposure) & is_finite(contrast), F.lit(False))
-    problem = F.when(~numbers, "tone needs a finite exposure and a contrast").when(
-        ~((contrast > 0) & (contrast <= 2)), "tone contrast must be above 0 and at most 2")
+    problem = F.when(~numbers, "tone without finite numbers for exposure and contrast").when(
+        ~((contrast > 0) & (contrast <= 2)), "tone with a contrast outside (0, 2]")
     return profiles.where(F.col("tone").isNotNull()).select(
         "file", F.when(problem.isNull(), exposure).alias("exposure"), F.when(problem.isNull(), contrast).alias("contrast"),
         problem.alias("tone_problem"))
@@ -74,7 +82,7 @@ def scan_references(profiles: DataFrame) -> DataFrame:
     whole = F.col("scan.exposure_time").isNotNull() & F.col("scan.f_number").isNotNull() & F.col("scan.iso").isNotNull()
     return profiles.where(F.col("scan").isNotNull()).select(
         "file", *[F.when(whole, F.col(f"scan.{k}")).alias(c) for k, c in (("exposure_time", "t"), ("f_number", "f"), ("iso", "iso"))],
-        F.when(~whole, "scan needs exposure_time, f_number and iso").alias("scan_problem"))
+        F.when(~whole, "scan settings that are incomplete").alias("scan_problem"))
 
 
 def profile_points(profiles: DataFrame) -> DataFrame:
@@ -103,19 +111,23 @@ def apply_changes(profiles: DataFrame, changes: DataFrame) -> DataFrame:
     act, there = F.col("_new.action"), F.col("_old").isNotNull()
     target = F.when(act == "rename", _key(F.col("_new.new_name"))).when(act == "save", F.col("key"))
 
-    # a rename needs its new name free: not held by another profile and not claimed twice
-    claims = rows.where(act == "rename").groupBy(target.alias("target")).agg(F.count(F.lit(1)).alias("claims"))
+    # a rename needs its new name free: not held by another profile and not claimed twice. Only renames are joined, since
+    # all other rows would meet at one NULL target
+    rows = rows.withColumn("target", target)
+    claims = rows.where(act == "rename").groupBy("target").agg(F.count(F.lit(1)).alias("claims"))
     held = rows.where(there | (act == "save")).select(F.col("key").alias("target"), F.lit(True).alias("held")).distinct()
-    rows = rows.withColumn("target", target).join(claims, "target", "left").join(held, "target", "left")
+    moving = F.coalesce((act == "rename") & F.col("target").isNotNull(), F.lit(False))
+    moved = rows.where(moving).join(claims, "target", "left").join(held, "target", "left")
+    rows = moved.unionByName(rows.where(~moving), allowMissingColumns=True)
     self_rename = F.col("target") == F.col("key")
     unknown = F.array_except(F.map_keys("_new.fields"), F.array(*[F.lit(f) for f in EDITABLE_FIELDS]))
     problem = (
         F.when(act.isNull(), F.lit(None).cast("string"))
-        .when((act == "save") & there & ~F.coalesce(F.col("_new.overwrite"), F.lit(False)), "a profile of that name already exists")
-        .when((act != "save") & ~there, "no saved profile of that name")
+        .when((act == "save") & there & ~F.coalesce(F.col("_new.overwrite"), F.lit(False)), "refused: the name is taken")
+        .when((act != "save") & ~there, "refused: no such profile")
         .when((act == "rename") & ~self_rename & (F.coalesce("held", F.lit(False)) | (F.col("claims") > 1)),
-              "a profile of the new name already exists")
-        .when((act == "edit") & (F.size(unknown) > 0), F.concat(F.lit("not an editable profile field: "), F.array_join(F.array_sort(unknown), ", "))))
+              "refused: the new name is taken")
+        .when((act == "edit") & (F.size(unknown) > 0), F.concat(F.lit("refused, not editable: "), F.array_join(F.array_sort(unknown), ", "))))
     done = problem.isNull() & act.isNotNull()
     saved, edited, renamed = done & (act == "save"), done & (act == "edit"), done & (act == "rename")
 
@@ -138,3 +150,28 @@ def snapshot(applied: DataFrame) -> DataFrame:
     """The table to write back: everything that still exists."""
     gone = (F.col("outcome") == "deleted") | ((F.col("outcome") == "refused") & ~F.col("existed"))
     return applied.where(~gone).select("file", "name", *BODY)
+
+
+STORED = ("file string, name string, white_balance struct<r:double,g:double,b:double>, density_scale struct<r:double,g:double,b:double>, film_stock string, "
+          "process string, scanner string, created_at timestamp, source string, notes string, tone struct<exposure:double,contrast:double>, "
+          f"scan {SCAN}, anchors array<{ANCHOR}>")
+_WHOLE = "_store"
+
+
+def stored_profiles(spark: SparkSession, path: str, version: Head | None = None) -> DataFrame:
+    return Versions(spark, path).read("profiles", STORED, version)
+
+
+def save_profiles(profiles: DataFrame, path: str, expected: Head | None = None) -> Head:
+    """The whole profile table as the next version of the store at `path`. `expected`: the version it was made from (the newest, if
+    not given); a writer that another has overtaken is refused."""
+    held = Versions(profiles.sparkSession, path)
+    staged = held.stage(profiles.select("file", "name", *BODY).withColumn(_WHOLE, F.lit("all")), "profiles", _WHOLE, also=("all",))
+    return held.commit([staged], expected or held.head())
+
+
+def upsert_profiles(spark: SparkSession, path: str, changes: DataFrame) -> tuple[DataFrame, Head]:
+    """Apply changes to the store and write its next version: what became of each profile and change, and that version."""
+    head = Versions(spark, path).head()
+    applied = materialize(apply_changes(stored_profiles(spark, path, head), changes), "applied")
+    return applied, save_profiles(snapshot(applied), path, head)

@@ -73,7 +73,7 @@ class Versions:
         """Write rows of some keys, unseen. They replace those of the same keys (and of the keys `also`), or are added to them."""
         write = uuid.uuid4().hex
         path = f"{self.path}/{name}/write={write}"
-        df.withColumn("key", F.col(key).cast("string")).write.mode("error").partitionBy("key").parquet(path)
+        df.withColumn("key", F.col(key).cast("string")).drop(key if key.startswith("_") else "").write.mode("error").partitionBy("key").parquet(path)
         try:
             found = [r[0] for r in self.spark.read.schema("key string").parquet(path).distinct().collect()]  # a name for each folder
         except AnalysisException:

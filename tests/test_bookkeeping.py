@@ -9,9 +9,10 @@ from filmroll.operators import rolls, scans, summary
 from filmroll.operators.ordering import number_within
 from filmroll.session import attach, materialize
 from filmroll.sources import profiles as pf
-from filmroll.sources.pixels import normalise_samples, write_developed
+from filmroll.sources.pixels import normalise_samples, read_developed, write_developed
 from filmroll.sources.provenance import provenance_record, read_provenance
 from filmroll.sources.runlog import previous_unfinished
+from filmroll.sources.versions import Stale, Versions
 from filmroll.sources.scans import edit_history, edit_state, scan_settings
 
 
@@ -155,8 +156,8 @@ def test_profiles_from_a_folder(spark, tmp_path):
     got = {r.file: r for r in pf.read_profiles(spark, str(tmp_path)).collect()}
     assert set(got) == {"gold", "cut", "list", "nan", "lacking", "words"}
     assert got["gold"].problem is None and got["gold"].white_balance.b == 1.05 and got["gold"].source == "manual"
-    assert "valid JSON" in got["cut"].problem and "object" in got["list"].problem
-    assert "density_scale" in got["nan"].problem and "missing" in got["lacking"].problem and "white_balance" in got["words"].problem
+    assert "not JSON" in got["cut"].problem and "object" in got["list"].problem
+    assert "density_scale" in got["nan"].problem and "no white_balance" in got["lacking"].problem and "white_balance" in got["words"].problem
     assert pf.tone_overrides(pf.read_profiles(spark, str(tmp_path))).collect()[0].contrast == 0.9
 
 
@@ -174,7 +175,7 @@ def test_write_policies(spark, tmp_path):
 
     path = str(tmp_path / "out")
     def state():
-        return {r.frame_id: r.r for r in spark.read.parquet(path).collect()}
+        return {r.frame_id: r.r for r in read_developed(spark, path, frames([], 0.0).schema).collect()}
     write_developed(frames([1, 2], 0.1), path)
     with pytest.raises(Exception):
         write_developed(frames([1], 0.2), path)
@@ -182,6 +183,35 @@ def test_write_policies(spark, tmp_path):
     assert state() == {1: 0.1, 2: 0.1, 3: 0.3}
     write_developed(frames([2], 0.5), path, "overwrite")
     assert state() == {1: 0.1, 2: 0.5, 3: 0.3}
+    dies = frames([1, 2, 3], 0.7).withColumn("r", F.when(F.col("frame_id") < 3, F.col("r")).otherwise(F.raise_error(F.lit("lost")).cast("double")))
+    with pytest.raises(Exception):
+        write_developed(dies, path, "overwrite")
+    assert state() == {1: 0.1, 2: 0.5, 3: 0.3}  # a write that dies leaves the version before it
+
+
+def profile_rows(spark, *names):
+    whole = [(n, n, (0.7, 1.0, 1.0), (1.1, 1.0, 0.8), "stock", None, None, None, "manual", None, None, None, None) for n in names]
+    return spark.createDataFrame(whole, pf.STORED)
+
+
+def test_profiles_are_changed_by_one_writer_at_a_time(spark, tmp_path):
+    path = str(tmp_path / "store")
+    pf.save_profiles(profile_rows(spark, "gold", "portra"), path)
+    before = Versions(spark, path).head()
+    body = ", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in pf.stored_profiles(spark, path).dtypes if c in pf.BODY)
+    changes = spark.sql(f"SELECT name, action, new_name, false AS overwrite, map('notes', 'x') AS fields, {body} FROM VALUES ('gold', 'rename', 'silver'), ('portra', 'edit', NULL), ('none', 'delete', NULL) AS t(name, action, new_name)")
+    applied, _ = pf.upsert_profiles(spark, path, changes)
+    assert {(r.file, r.outcome) for r in applied.collect()} == {("silver", "renamed"), ("portra", "edited"), ("none", "refused")}
+    assert {(r.file, r.notes) for r in pf.stored_profiles(spark, path).collect()} == {("silver", None), ("portra", "x")}
+    with pytest.raises(Stale):  # made from the version before
+        pf.save_profiles(profile_rows(spark, "gold"), path, before)
+    assert pf.stored_profiles(spark, path).count() == 2
+
+
+def test_profiles_written_as_files(spark, tmp_path):
+    files = spark.createDataFrame([("a.json", '{"white_balance": [1, 1, 1], "density_scale": [1, 1, 1]}'), ("b c.json", "{")], "file string, text string")
+    pf.write_profiles(files, str(tmp_path / "p"))
+    assert {(r.file, r.problem) for r in pf.read_profiles(spark, str(tmp_path / "p")).collect()} == {("a", None), ("b c", "unreadable: not JSON")}
 
 
 def test_summary_known_roll(spark):
@@ -202,3 +232,19 @@ def test_unfinished_run_is_named_once(spark):
                                  "log string, run_id int, started_at string, finished_at string")
     got = {r.run_id: r.unfinished_start for r in previous_unfinished(runs).collect()}
     assert got == {1: None, 2: None, 3: "03", 4: None, 5: None}
+
+
+def test_folders_that_are_no_rolls(spark):
+    rows = [("/in", 3, 0), ("/in/.trash", 4, 0), ("/in/.cache/a", 4, 0), ("/in/a", 2, 1), ("/in/a/out", 0, 5), ("/in/b", 1, 0), ("/in/empty", 0, 0)]
+    folders = spark.createDataFrame(rows, "folder string, scans long, positives long")
+    to = spark.createDataFrame([("/in/b",), ("/in/b",), ("/elsewhere",)], "folder string")
+    assert sorted(r.folder for r in rolls.exclude_destinations(folders, to, "/in").collect()) == ["/in", "/in/a"]
+    assert tuple(rolls.skipped_folders(folders, to, "/in").first()) == (1, 1)
+    below = spark.createDataFrame([("/home/.scans/in/a", 1, 0)], "folder string, scans long, positives long")
+    assert rolls.exclude_destinations(below, to, "/home/.scans/in").count() == 1  # what is above the top doesn't matter
+
+
+def test_two_rolls_into_one_folder(spark):
+    rows = [("/in/a", "a", "/out/Roll", 2), ("/in/b", "b", "/OUT/roll", 1), ("/in/c", "c", "/out/roll", 0), ("/in/d", "d", "/out/d", 3), ("/in/e", "e", None, 3), ("/in/f", "f", None, 3)]
+    planned = spark.createDataFrame(rows, "folder string, roll_name string, output_dir string, jobs long")
+    assert [tuple(r) for r in rolls.roll_clashes(planned).collect()] == [("/out/roll", 2, "a", "b")]
