@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +44,19 @@ def without(docs: DataFrame, dropped: DataFrame, text_hash: str = "text_hash") -
     keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), hash_: F.xxhash64(F.coalesce("text", F.lit("")))})
     out = dropped.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(id_), F.col(text_hash).alias(hash_)).distinct()
     return attach(keyed, out, [id_, hash_], "left_anti", label="dropped").drop(id_, hash_)
+
+
+def returning(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`task`, after which the worker gives memory it no longer uses back to the system: workers are kept for later tasks of
+    other operators, beside which it would count."""
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return run

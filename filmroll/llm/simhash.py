@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filmroll.llm.common import stored, texts
+from filmroll.llm.common import returning, stored, texts
 from filmroll.llm.graph import components
 
 SHINGLE = 4
@@ -73,7 +73,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text as it is, and the fingerprint's 64 bits as a signed long."""
     rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, text_hash bigint, fp bigint")
+    return rows.mapInArrow(returning(_fingerprints), "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -217,15 +217,15 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, run: int = RUN, stars
     `stars`, every link, some of them more than once."""
     if threshold > THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
-    spread = distinct.select("fp").mapInArrow(_replicas, "anchor bigint, fp bigint")
-    found = stored(spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(run, threshold, stars), _FOUND), "links")
+    spread = distinct.select("fp").mapInArrow(returning(_replicas), "anchor bigint, fp bigint")
+    found = stored(spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(returning(_compare(run, threshold, stars)), _FOUND), "links")
     members = found.where("hot").select("anchor", F.col("u").alias("fp"))
     size = members.groupBy("anchor").agg(F.count("*").alias("m"))
     dealt = (members.join(size, "anchor").withColumn("k", F.ceil(F.col("m") / F.lit(run)).cast("int"))
              .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
              .select(F.xxhash64("anchor", F.least("c", "o"), F.greatest("c", "o")).alias("anchor"), "fp"))
-    crowded = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(None, threshold, stars), _FOUND)
+    crowded = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(returning(_compare(None, threshold, stars)), _FOUND)
     return found.where("not hot").select("u", "v").union(crowded.select("u", "v"))
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filmroll.llm.common import stored, texts
+from filmroll.llm.common import returning, stored, texts
 
 HELD_OUT = 2
 DECAY = 0.8
@@ -439,22 +439,21 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of `docs`, all columns, that are not predicted toxic."""
-    judge = None
-
-    def judged(column: pd.Series) -> pd.Series:
-        nonlocal judge
-        if not model["names"]:
-            return pd.Series(np.full(len(column), model["share"]))
-        judge = judge or Judge(model["names"], model["weights"], model["constant"])
-        found, raw, held = [], [], 0
-        for text in column:
-            raw.append(text.encode())
-            held += len(raw[-1])
-            if held > SLICE:
+    def judged(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = Judge(model["names"], model["weights"], model["constant"]) if model["names"] else None
+        for column in columns:
+            if judge is None:
+                yield pd.Series(np.full(len(column), model["share"]))
+                continue
+            found, raw, held = [np.zeros(0)], [], 0
+            for text in column:
+                raw.append(text.encode())
+                held += len(raw[-1])
+                if held > SLICE:
+                    found.append(_probability(judge.evidence(raw) @ model["curve"]))
+                    raw, held = [], 0
+            if raw:
                 found.append(_probability(judge.evidence(raw) @ model["curve"]))
-                raw, held = [], 0
-        if raw:
-            found.append(_probability(judge.evidence(raw) @ model["curve"]))
-        return pd.Series(np.concatenate(found) if found else np.zeros(0))
+            yield pd.Series(np.concatenate(found))
 
-    return docs.where(F.pandas_udf(judged, "double")(F.coalesce("text", F.lit(""))) < THRESHOLD)
+    return docs.where(F.pandas_udf(returning(judged), "double")(F.coalesce("text", F.lit(""))) < THRESHOLD)
