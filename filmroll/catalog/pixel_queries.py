@@ -299,6 +299,28 @@ def plan_develop_errors(spark, sf):
     return develop_errors(scanned(spark, sf), materialize(profile, "profile"), curve())
 
 
+@query("plan_outcomes", P + """, bad AS (SELECT roll_id, frame_id, count(*) AS pixels, count_if(isnan(r)) AS bad_pixels, avg(CASE WHEN isnan(r) THEN 1e0 ELSE 0e0 END) AS share FROM scanned GROUP BY roll_id, frame_id),
+flat AS (SELECT roll_id + 1000 AS roll_id, frame_id, pixels, CAST(0 AS BIGINT) AS bad_pixels FROM bad)
+SELECT roll_id, frame_id, pixels, bad_pixels, CASE WHEN share > 0.01 THEN printf('%.1f', share * 100) || '% of its pixels aren''t valid numbers' WHEN roll_id % 3 = 1 THEN 'no calibration' END AS error,
+  share <= 0.01 AND roll_id % 3 <> 1 AS printed FROM bad
+UNION ALL SELECT roll_id, frame_id, pixels, bad_pixels, CASE WHEN (roll_id - 1000) % 3 = 1 THEN 'no calibration' ELSE 'unfittable' END, false FROM flat""")
+def plan_outcomes(spark, sf):
+    """A row for every frame of a run, with the reason where it has no print: broken ones, rolls without a calibration, and
+    frames whose calibration has a number that isn't one, of which there is one beside each other."""
+    from filmroll.plans.develop import develop
+
+    rows = scanned(spark, sf)
+    double = rows.select((F.col("roll_id") + 1000).alias("roll_id"), "frame_id", "y", "x", *[F.lit(0.5).alias(c) for c in RGB])
+    both = rows.select("roll_id", "frame_id", "y", "x", *RGB).union(double)
+    rolls = both.select("roll_id").distinct().where("pmod(roll_id, 1000) % 3 <> 1").withColumns(
+        {k: F.when((F.col("roll_id") >= 1000) & (F.lit(k) == "wb_r"), F.lit(float("nan"))).otherwise(F.lit(float(v))) for k, v in PROFILE.items()})
+    run = develop(both, materialize(rolls, "rolls"), curve(), on=["roll_id"], unknown="no calibration")
+    prints = run.frames.select("roll_id", "frame_id").distinct().withColumn("printed", F.lit(True))
+    error = F.when((F.col("roll_id") >= 1000) & F.col("error").isNotNull() & (F.col("error") != "no calibration"), "unfittable").otherwise(F.col("error"))
+    return run.outcomes.join(prints, ["roll_id", "frame_id"], "left").select(
+        "roll_id", "frame_id", "pixels", "bad_pixels", error.alias("error"), F.coalesce("printed", F.lit(False)).alias("printed"))
+
+
 @query("plan_print_frames", PRINT_SQL + """, failed AS (SELECT roll_id, frame_id FROM scanned GROUP BY roll_id, frame_id HAVING avg(CASE WHEN isnan(r) THEN 1e0 ELSE 0e0 END) > 0.01)
 SELECT p.roll_id, p.frame_id, count(*) AS pixels, round(any_value(exposure), 6) AS exposure, round(any_value(grade), 6) AS grade,
   round(avg(r), 6) AS mean_r, round(avg(g), 6) AS mean_g, round(avg(b), 6) AS mean_b

@@ -46,10 +46,10 @@ def clean_nonfinite(df: DataFrame) -> DataFrame:
                            **{c: F.when(ok, F.col(c)).otherwise(F.lit(0.0)) for c, ok in fine.items()}})
 
 
-def nonfinite_report(cleaned: DataFrame) -> DataFrame:
-    """Per frame: bad pixels, their share, whether the frame failed, and what to say about it."""
+def frame_report(cleaned: DataFrame) -> DataFrame:
+    """`nonfinite_report`, with each frame's number of pixels."""
     counts = cleaned.groupBy(*FRAME).agg(
-        F.count_if("bad").alias("bad_pixels"), F.avg(F.col("bad").cast("double")).alias("share"))
+        F.count(F.lit(1)).alias("pixels"), F.count_if("bad").alias("bad_pixels"), F.avg(F.col("bad").cast("double")).alias("share"))
     failed = F.col("share") > NONFINITE_LIMIT
     return counts.withColumns({
         "failed": failed,
@@ -61,6 +61,11 @@ def nonfinite_report(cleaned: DataFrame) -> DataFrame:
             F.lit(" pixels weren't valid numbers and were treated as clear film")))})
 
 
+def nonfinite_report(cleaned: DataFrame) -> DataFrame:
+    """Per frame: bad pixels, their share, whether the frame failed, and what to say about it."""
+    return frame_report(cleaned).drop("pixels")
+
+
 def apply_gain(df: DataFrame, gains: DataFrame) -> DataFrame:
     """Multiply by the frame's scan gain; 1 where it has none."""
     joined = attach(df, gains.select(*FRAME, "gain"), FRAME, "left", "gains", size=known_bytes(gains))

@@ -14,10 +14,10 @@ from filmroll.operators.pixels import FRAME
 from filmroll.operators.quantiles import exact_quantiles, largest_group
 
 
-def density_range(positive: DataFrame) -> DataFrame:
-    """Per frame: robust ends of its density range, measured on luminance."""
+def density_range(positive: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Per frame: robust ends of its density range, measured on luminance. `at_most` bounds the pixels of a frame, where known."""
     measured = positive.select(*FRAME, log_luminance(F.col("r"), F.col("g"), F.col("b")).alias("_d"))
-    return exact_quantiles(measured, FRAME, "_d", {"d_lo": PRINT_SHADOW, "d_hi": PRINT_HIGHLIGHT})
+    return exact_quantiles(measured, FRAME, "_d", {"d_lo": PRINT_SHADOW, "d_hi": PRINT_HIGHLIGHT}, at_most)
 
 
 def paper_range(curves: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:

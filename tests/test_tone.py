@@ -143,3 +143,23 @@ def test_broken_frames_are_left_out(spark, paths):
     out = print_summary(good.union(bad).union(few), px.IDENTITY, PAPER).collect()
     assert {r.frame_id for r in out} == {1, 3}
     assert all(math.isfinite(r.mean_g) and r.pixels == 1200 for r in out)
+
+
+def test_every_frame_of_a_run_is_told_of(spark, paths):
+    """Frames without a print say why, from the run that printed the others."""
+    from filmroll.plans.develop import develop, develop_all
+
+    good = neutral(spark, 0.1, 1.5, 1200).withColumns({c: 1 / F.col(c) for c in "rgb"})
+    broken = good.withColumns({"roll_id": F.lit(2), "g": F.lit(float("inf"))})
+    lost, odd = good.withColumn("roll_id", F.lit(3)), good.withColumn("roll_id", F.lit(4))
+    rolls = spark.createDataFrame([(r, *[float("nan") if r == 4 else v for v in px.IDENTITY.values()]) for r in (1, 2, 4)], ["roll_id", *px.IDENTITY])
+    both = good.withColumn("roll_id", F.lit(1)).union(broken).union(lost).union(odd)
+    run = develop(both, rolls, PAPER, on=["roll_id"], unknown="no roll")
+    told = {r.roll_id: r for r in run.outcomes.collect()}
+    assert set(told) == {1, 2, 3, 4} and all(r.pixels == 1200 for r in told.values())
+    assert told[1].error is None and told[1].exposure is not None
+    assert "valid numbers" in told[2].error and told[3].error == "no roll" and "density range" in told[4].error
+    assert {r.roll_id for r in run.frames.select("roll_id").distinct().collect()} == {1}
+    flat = good.withColumns({c: F.lit(0.5) for c in "rgb"}).withColumn("roll_id", F.lit(9))
+    outcomes = {r.roll_id: r.error for r in develop_all(good.withColumn("roll_id", F.lit(1)).union(flat), PAPER, 1).outcomes.collect()}
+    assert set(outcomes) == {1, 9} and "calibration" in outcomes[9]  # a roll that no frame votes for
