@@ -44,14 +44,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filmroll.llm.common import stored, texts
+from filmroll.llm.common import returning, stored, texts
 
 #: Bytes of a stretch, or symbols of unsplit text, that one call encodes.
 LEAF = 1024
 #: Characters of a text that one row encodes.
 LONG = 16_384
 #: Stretches, and words, kept between batches by a worker: bounds on memory, not on what is encoded. Twice as many are held.
-KEPT, WORDS = 80_000, 120_000
+KEPT, WORDS = 60_000, 100_000
 #: Text bytes worked on at a time.
 SLICE = 4 << 20
 WORD_END = "</w>"
@@ -446,7 +446,7 @@ def _encoded(docs: DataFrame, path: str | None, leaf: int, long: int, out: tuple
     path, columns, t = path or default_path(), out[1].names, texts(docs)
     # no stretch of more than `leaf` bytes has as few characters as this
     cut = (F.char_length("text") > long) & ~F.col("text").rlike(f"[^\\x20\\x09-\\x0D]{{{leaf // 4 + 1},}}")
-    first = stored(t.where(~cut).mapInArrow(_first(path, leaf, out), f"{_PARTS}, {out[0]}"), "encoded")
+    first = stored(t.where(~cut).mapInArrow(returning(_first(path, leaf, out)), f"{_PARTS}, {out[0]}"), "encoded")
     parts = first.where("row is not null")
     leaves = parts.where("done is null").repartition("row", "part", "leaf").mapInPandas(
         _encode_leaves(path), "doc_id bigint, row string, part int, leaf int, done binary")
@@ -454,7 +454,7 @@ def _encoded(docs: DataFrame, path: str | None, leaf: int, long: int, out: tuple
     ready = parts.where("done is not null").select("row", "doc_id", "part", "done")
     whole = ready.union(joined).groupBy("row").applyInPandas(_whole(path, out), f"doc_id bigint, {out[0]}")
     sides = (t.where(cut).mapInArrow(_cut_texts(path, long), "doc_id bigint, row string, part int, text string").repartition("row", "part")
-             .mapInPandas(_encode_texts(path), "doc_id bigint, row string, part int, ids binary, head string, head_n int, tail string, tail_n int, whole boolean"))
+             .mapInPandas(returning(_encode_texts(path)), "doc_id bigint, row string, part int, ids binary, head string, head_n int, tail string, tail_n int, whole boolean"))
     texts_ = stored(sides, "sides").groupBy("row").applyInPandas(_join_texts(path, out), f"doc_id bigint, {out[0]}")
     return first.where("row is null").select("doc_id", *columns).union(whole).union(texts_)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filmroll.llm.common import stored, texts
+from filmroll.llm.common import returning, stored, texts
 from filmroll.llm.graph import components
 from filmroll.llm.simhash import SLICE, THRESHOLD, links
 
@@ -100,39 +100,34 @@ def _node(kind: Column | int, value: str, hash_: Column | str) -> Column:
 def _similar(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """Of pairs (a, b) of documents those whose texts are similar."""
     a, b = (rows.select(F.col("doc").alias(n), F.col("text").alias(f"{n}_text")) for n in "ab")
-    return pairs.join(b, "b").join(a, "a").mapInArrow(_alike(least), pairs.select("a", "b").schema)
+    return pairs.join(b, "b").join(a, "a").mapInArrow(returning(_alike(least)), pairs.select("a", "b").schema)
 
 
-def _candidates(prints: DataFrame, stars: bool) -> DataFrame:
-    """Edges (u, v): documents with their fingerprints where those are shared or close to others, and those between fingerprints."""
-    shared = prints.groupBy("seed", "fp").agg(F.count("*").alias("n"))
-    out = []
-    for seed in range(SEEDS):
-        one = prints.where(F.col("seed") == seed)
-        near = stored(links(one.select("fp").distinct(), THRESHOLD, stars=stars), "near")
-        ends = near.select(F.col("u").alias("fp")).union(near.select("v")).union(
-            shared.where((F.col("seed") == seed) & (F.col("n") > 1)).select("fp")).distinct()
-        out.append((near, one.join(ends, "fp", "left_semi"), seed))
-    return out
-
-
-def _fp(name: str, seed: int) -> Column:
-    return _node(1 + seed, name, F.lit(0).cast("bigint"))
+def _candidates(prints: DataFrame, stars: bool) -> tuple[DataFrame, DataFrame]:
+    """Links between fingerprints, and the rows of `prints` whose fingerprint has one or is shared. All seeds go together: a link
+    between two seeds' is one candidate too many, no more."""
+    shared = prints.groupBy("fp").agg(F.count("*").alias("n"))
+    near = stored(links(shared.select("fp"), THRESHOLD, stars=stars), "near")
+    ends = near.select(F.col("u").alias("fp")).union(near.select("v")).union(shared.where("n > 1").select("fp")).distinct()
+    return near, stored(prints.join(ends, "fp", "left_semi"), "linked")
 
 
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, text_hash) of the documents to drop, and the doc_id of the one that is kept for each."""
     t = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    found = stored(t.mapInArrow(_prints, "doc_id bigint, text_hash bigint, prints array<bigint>"), "word-prints")
+    found = stored(t.mapInArrow(returning(_prints), "doc_id bigint, text_hash bigint, prints array<bigint>"), "word-prints")
     known = found.where(F.size("prints") > 0).select(F.coalesce("doc_id", F.lit(LAST)).alias("value"), "text_hash", "prints")
-    prints = known.select(_node(0, "value", "text_hash").alias("doc"), F.posexplode("prints").alias("seed", "fp")).distinct()
+    prints = known.select(_node(0, "value", "text_hash").alias("doc"), F.explode("prints").alias("fp")).distinct()
     rows = t.select(F.coalesce("doc_id", F.lit(LAST)).alias("value"), "text_hash", "text").select(_node(0, "value", "text_hash").alias("doc"), "text")
 
+    def told(pairs: DataFrame) -> DataFrame:
+        whole = lambda c: F.when(F.col(c) != LAST, F.col(c))
+        return pairs.select(whole("b.value").alias("doc_id"), F.col("b.hash").alias("text_hash"), whole("a.value").alias("keep_id"))
+
     # the smallest of each component against every other member
-    edges = None
-    for near, of, seed in _candidates(prints, True):
-        e = near.select(_fp("u", seed).alias("u"), _fp("v", seed).alias("v")).union(of.select("doc", _fp("fp", seed)))
-        edges = e if edges is None else edges.union(e)
+    near, of = _candidates(prints, True)
+    fp = lambda c: _node(1, c, F.lit(0).cast("bigint"))
+    edges = near.select(fp("u").alias("u"), fp("v").alias("v")).union(of.select("doc", fp("fp")))
     member = stored(components(edges).where("node.kind = 0 AND root.kind = 0").select(F.col("root").alias("a"), F.col("node").alias("b")), "members")
     in_some = member.select(F.col("b").alias("doc")).union(member.select("a")).distinct()
     some = stored(rows.join(in_some, "doc", "left_semi").dropDuplicates(["doc"]), "candidates")
@@ -141,15 +136,13 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # the rest of them pair by pair
     rest = member.select("b").join(first.select("b"), "b", "left_anti").withColumnRenamed("b", "doc")
     rest = stored(prints.join(rest, "doc", "left_semi"), "rest")
-    pairs = None
-    for near, of, seed in _candidates(rest, False):
-        one = of.select("fp", "doc")
-        close = near.union(near.select("u", "u").union(near.select("v", "v")).distinct()).union(
-            one.select("fp").distinct().join(near.select(F.col("u").alias("fp")).union(near.select("v")), "fp", "left_anti").select("fp", "fp"))
-        p = (close.join(one.toDF("u", "x"), "u").join(one.toDF("v", "y"), "v").where("x != y")
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        pairs = p if pairs is None else pairs.union(p)
+    if rest.isEmpty():
+        return told(first)
+    near, of = _candidates(rest, False)
+    own = of.select("fp").distinct()
+    close = near.union(own.select("fp", "fp"))
+    pairs = (close.join(of.select(F.col("fp").alias("u"), F.col("doc").alias("x")), "u").join(of.select(F.col("fp").alias("v"), F.col("doc").alias("y")), "v")
+             .where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     again = stored(_similar(pairs.distinct(), some, least), "again")
     second = components(again.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("root").alias("a"), F.col("node").alias("b"))
-
     return told(first.union(second))
