@@ -48,17 +48,29 @@ ok AS (SELECT * FROM pr WHERE problem IS NULL)
 """
 
 
-@query("src_profiles", PROFILE_SQL + """SELECT file, CASE WHEN problem IS NULL THEN p_name END AS name, CASE WHEN problem IS NULL THEN p_brand END AS film_stock,
+SOUND_SQL = PROFILE_SQL + """SELECT file, CASE WHEN problem IS NULL THEN p_name END AS name, CASE WHEN problem IS NULL THEN p_brand END AS film_stock,
   CASE WHEN problem IS NULL THEN round(half + 0.001e0, 6) END AS wb_r, CASE WHEN problem IS NULL THEN 1e0 END AS wb_g, CASE WHEN problem IS NULL THEN 1.05e0 END AS wb_b,
   CASE WHEN problem IS NULL THEN 1.12e0 END AS s_r, CASE WHEN problem IS NULL THEN 1e0 END AS s_g, CASE WHEN problem IS NULL THEN 0.78e0 END AS s_b,
-  CASE WHEN problem IS NULL THEN CASE WHEN p_size % 7 = 0 THEN 'manual' ELSE 'anchor' END END AS source, CASE WHEN problem IS NULL THEN '2024-05-06' END AS created, problem FROM pr""")
+  CASE WHEN problem IS NULL THEN CASE WHEN p_size % 7 = 0 THEN 'manual' ELSE 'anchor' END END AS source, CASE WHEN problem IS NULL THEN '2024-05-06' END AS created, problem FROM pr"""
+
+
+def _numbers(profiles):
+    return rounded(profiles.select(
+        "file", "name", "film_stock", *[F.col(f"{v}.{c}").alias(f"{k}_{c}") for k, v in (("wb", "white_balance"), ("s", "density_scale")) for c in "rgb"], "source",
+        F.date_format("created_at", "yyyy-MM-dd").alias("created"), "problem"))
+
+
+@query("src_profiles", SOUND_SQL)
 def src_profiles(spark, sf):
+    return _numbers(_profiles(spark, sf))
+
+
+@query("src_profile_files", SOUND_SQL)
+def src_profile_files(spark, sf):
     """A file for each profile, written and read back."""
     path = shared_path(spark, "profile-files")
     pf.write_profiles(profile_files(spark, sf), path)
-    return rounded(pf.read_profiles(spark, path).select(
-        "file", "name", "film_stock", *[F.col(f"{v}.{c}").alias(f"{k}_{c}") for k, v in (("wb", "white_balance"), ("s", "density_scale")) for c in "rgb"], "source",
-        F.date_format("created_at", "yyyy-MM-dd").alias("created"), "problem"))
+    return _numbers(pf.read_profiles(spark, path))
 
 
 @query("src_tone_sidecar", PROFILE_SQL + """SELECT file, CASE WHEN tone_problem IS NULL THEN round(half + 0.005e0, 6) END AS exposure, CASE WHEN tone_problem IS NULL THEN p_size / 20e0 END AS contrast, tone_problem

@@ -30,7 +30,8 @@ def read_profiles(spark: SparkSession, glob: str) -> DataFrame:
 
 def write_profiles(files: DataFrame, path: str) -> None:
     """(file, text) as a folder per profile with one text file, as `read_profiles` takes them."""
-    files.select("file", "text").repartition("file").write.mode("error").partitionBy("file").text(path)
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+    files.select("file", "text").repartition(tasks, "file").write.mode("error").partitionBy("file").text(path)
 
 
 def _three(name: str, keys: Column) -> Column:
