@@ -38,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text they decode to."""
-    return bpe.digests(docs)
+    return bpe.digests(docs, limits=bpe.Limits(kept=15_000, words=25_000, slice=1 << 19))  # beside what earlier stages left in an executor
 
 
 STAGES = [("toxicity", not_toxic), ("exact dedup", no_copies), ("SimHash near-dedup", no_near_copies),

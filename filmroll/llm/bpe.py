@@ -36,6 +36,7 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -50,10 +51,6 @@ from filmroll.llm.common import returning, stored, texts
 LEAF = 1024
 #: Characters of a text that one row encodes.
 LONG = 16_384
-#: Stretches, and words, kept between batches by a worker: bounds on memory, not on what is encoded. Twice as many are held.
-KEPT, WORDS = 60_000, 100_000
-#: Text bytes worked on at a time.
-SLICE = 4 << 20
 WORD_END = "</w>"
 #: Stretches whose characters are settled: no normal form but their own, lower case one character for one.
 PLAIN = re.compile(r"(?!.*<\|)[\x21-\x7e\u00a1-\u012f]+")
@@ -68,6 +65,14 @@ _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SYMBOLS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
 
 
+class Limits(NamedTuple):
+    """Bounds on a worker's memory, not on what is encoded: stretches and words kept between batches (twice as many are held, and at
+    least those of a slice), and the text bytes worked on at a time."""
+    kept: int = 60_000
+    words: int = 100_000
+    slice: int = 4 << 20
+
+
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
@@ -101,9 +106,10 @@ class Coder:
     _loaded: dict[str, Coder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Coder:
+    def of(cls, path: str, limits: Limits = Limits()) -> Coder:
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
+        cls._loaded[path].limits = limits
         return cls._loaded[path]
 
     def __init__(self, path: str):
@@ -126,6 +132,7 @@ class Coder:
         size = self.tokenizer.get_vocab_size()
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)] if spec.get("decoder") is None else None
         self.small = "<u2" if size <= 1 << 16 else "<u4"
+        self.limits = Limits()
         self.ids: dict[bytes, bytes] = {}
         self.said: dict[bytes, bytes] = {}
         self.before: dict[bytes, tuple[bytes, bytes]] = {}
@@ -167,10 +174,10 @@ class Coder:
 
     def encode(self, words: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded text of documents cut at white space."""
-        if len(self.ids) > KEPT:  # the last KEPT or so stay at hand, and what is used again moves on
+        if len(self.ids) > self.limits.kept:  # the last so many stay at hand, and what is used again moves on
             self.before = {s: (i, self.said[s]) for s, i in self.ids.items()}
             self.ids, self.said = {}, {}
-        if len(self.words) > WORDS:
+        if len(self.words) > self.limits.words:
             self.words, self.words_before = {}, self.words
         new = set().union(*words).difference(self.ids)
         for s in new.intersection(self.before):
@@ -341,13 +348,13 @@ def _parts_of(coder: Coder, doc: int | None, stretches: list[bytes], leaf: int)
     return rows
 
 
-def _first(path: str, leaf: int, out: tuple):
+def _first(path: str, leaf: int, out: tuple, limits: Limits):
     """Encodes texts, and cuts those with a long stretch."""
     _, fields, told = out
     schema = pa.schema([*_PART_FIELDS, *fields])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder.of(path)
+        coder = Coder.of(path, limits)
 
         def batch(docs, words, others):
             rows = [(d, *[None] * (len(_PART_FIELDS) - 1), *told(*f)) for d, f in zip(docs, coder.encode(words))]
@@ -365,7 +372,7 @@ def _first(path: str, leaf: int, out: tuple):
                 else:
                     docs.append(doc)
                     words.append(stretches)
-                if held > SLICE:
+                if held > limits.slice:
                     yield batch(docs, words, others)
                     docs, words, others, held = [], [], [], 0
             if docs or others:
@@ -387,12 +394,12 @@ def _cut_texts(path: str, long: int):
     return task
 
 
-def _encode_texts(path: str):
+def _encode_texts(path: str, limits: Limits):
     """Ids of each part, and the stretches at its ends, which its neighbours' may go on with."""
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder.of(path)
+        coder = Coder.of(path, limits)
         for b in batches:
-            group = b["text"].str.len().cumsum() // SLICE
+            group = b["text"].str.len().cumsum() // limits.slice
             for _, part in b.groupby(group):
                 found = Side.each(coder, part["text"].tolist())
                 yield part[["doc_id", "row", "part"]].assign(
@@ -442,11 +449,11 @@ def _whole(path: str, out: tuple):
     return task
 
 
-def _encoded(docs: DataFrame, path: str | None, leaf: int, long: int, out: tuple) -> DataFrame:
+def _encoded(docs: DataFrame, path: str | None, leaf: int, long: int, limits: Limits, out: tuple) -> DataFrame:
     path, columns, t = path or default_path(), out[1].names, texts(docs)
     # no stretch of more than `leaf` bytes has as few characters as this
     cut = (F.char_length("text") > long) & ~F.col("text").rlike(f"[^\\x20\\x09-\\x0D]{{{leaf // 4 + 1},}}")
-    first = stored(t.where(~cut).mapInArrow(returning(_first(path, leaf, out)), f"{_PARTS}, {out[0]}"), "encoded")
+    first = stored(t.where(~cut).mapInArrow(returning(_first(path, leaf, out, limits)), f"{_PARTS}, {out[0]}"), "encoded")
     parts = first.where("row is not null")
     leaves = parts.where("done is null").repartition("row", "part", "leaf").mapInPandas(
         _encode_leaves(path), "doc_id bigint, row string, part int, leaf int, done binary")
@@ -454,16 +461,16 @@ def _encoded(docs: DataFrame, path: str | None, leaf: int, long: int, out: tuple
     ready = parts.where("done is not null").select("row", "doc_id", "part", "done")
     whole = ready.union(joined).groupBy("row").applyInPandas(_whole(path, out), f"doc_id bigint, {out[0]}")
     sides = (t.where(cut).mapInArrow(_cut_texts(path, long), "doc_id bigint, row string, part int, text string").repartition("row", "part")
-             .mapInPandas(returning(_encode_texts(path)), "doc_id bigint, row string, part int, ids binary, head string, head_n int, tail string, tail_n int, whole boolean"))
+             .mapInPandas(returning(_encode_texts(path, limits)), "doc_id bigint, row string, part int, ids binary, head string, head_n int, tail string, tail_n int, whole boolean"))
     texts_ = stored(sides, "sides").groupBy("row").applyInPandas(_join_texts(path, out), f"doc_id bigint, {out[0]}")
     return first.where("row is null").select("doc_id", *columns).union(whole).union(texts_)
 
 
-def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, long: int = LONG) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, long: int = LONG, limits: Limits = Limits()) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and decoded text of every row of `docs`."""
-    return _encoded(docs, path, leaf, long, WHOLE)
+    return _encoded(docs, path, leaf, long, limits, WHOLE)
 
 
-def digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF, long: int = LONG) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF, long: int = LONG, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of every row of `docs`, made where the ids are."""
-    return _encoded(docs, path, leaf, long, DIGESTS)
+    return _encoded(docs, path, leaf, long, limits, DIGESTS)
