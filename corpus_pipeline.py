@@ -48,8 +48,17 @@ STAGES = [("toxicity", not_toxic), ("exact dedup", no_copies), ("SimHash near-de
 ORACLE_SQL = None
 
 
+#: Whole texts that go to a Python worker at once; a session's 10,000 rows would hold most of a task's input.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    try:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return docs
