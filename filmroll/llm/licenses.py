@@ -6,8 +6,8 @@ sequence is taken out of the document's sequence and leaves its licence there, s
 Sentences that are not known but speak of licensing stay in the sequence as UNKNOWN, and keep a rule from matching
 across them; all others drop out.
 
-Known sentences that have a semicolon, or a blank line before a URL, are kept whole (see `WHOLE`). The SQL cuts them
-there; it gives the same rows for texts without such a notice, as all given tables are.
+Known sentences that have a semicolon, or a blank line before a URL, are kept whole (see `WHOLE`). Line ends of CR LF
+are LF. A licence expression (`MIT OR Apache-2.0`) is one identifier sentence for each licence it names.
 
 Only documents in which some word of licensing occurs are cut into sentences: every known sentence has one (see
 `WORDS`), so nothing is missed.
@@ -56,6 +56,12 @@ SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BsdSource",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdDisclaimer",
+    "this source code form is subject to the terms of the mozilla public license v": "Mpl2Form",
+    "this is free and unencumbered software released into the public domain": "UnlicenseGrant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "see the gnu lesser general public license for more details": "LgplDetails",
+    "see the gnu affero general public license for more details": "AgplDetails",
     "spdx-license-identifier: mit": "SpdxMit",
     "spdx-license-identifier: apache-2.0": "SpdxApache2",
     "spdx-license-identifier: bsd-2-clause": "SpdxBsd2",
@@ -67,9 +73,11 @@ SENTENCES = {
 # Sequences of sentences and the licence they make, in the order they are tried.
 RULES = [
     (["Apache2Head", "ApacheUse", "ApacheCopy", "ApacheWarranty", "ApacheLimits"], "Apache-2.0"),
+    (["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdDisclaimer"], "BSD-3-Clause"),
     (["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse"], "BSD-3-Clause"),
     (["Gpl3Later", "GplWarranty", "GplDetails", "GplCopy"], "GPL-3.0-or-later"),
     (["Gpl2Later", "GplWarranty", "GplDetails", "GplCopy"], "GPL-2.0-or-later"),
+    (["BsdGrant", "BsdSource", "BsdBinary", "BsdDisclaimer"], "BSD-2-Clause"),
     (["BsdGrant", "BsdSource", "BsdBinary"], "BSD-2-Clause"),
     (["MitGrant", "MitNotice", "MitWarranty"], "MIT"),
     (["Gpl3Later", "GplWarranty"], "GPL-3.0-or-later"),
@@ -78,6 +86,9 @@ RULES = [
     (["Gpl3Later"], "GPL-3.0-or-later"),
     (["Gpl2Later"], "GPL-2.0-or-later"),
     (["IscGrant"], "ISC"),
+    (["ZlibGrant"], "Zlib"),
+    (["UnlicenseGrant"], "Unlicense"),
+    (["Mpl2Form"], "MPL-2.0"),
     (["Apache2Head"], "Apache-2.0"),
     (["Apache2Ref"], "Apache-2.0"),
     (["Gpl3Ref"], "GPL-3.0"),
@@ -95,10 +106,34 @@ RULES = [
     (["SpdxGpl3"], "GPL-3.0"),
     (["SpdxGpl3Later"], "GPL-3.0-or-later"),
 ]
+# The notices of the GNU family, and public licence identifiers.
+FAMILY = [("", "GPL", ("2", "3")), ("lesser ", "LGPL", ("2.1", "3")), ("affero ", "AGPL", ("3",))]
+PLAIN_IDS = ["MIT", "ISC", "Zlib", "Unlicense", "0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0"]
+GNU_IDS = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+LICENCE_IDS = PLAIN_IDS + [f"{i}{end}" for i in GNU_IDS for end in ("", "-only", "-or-later")]
+for kind, short, versions in FAMILY:
+    for version in versions:
+        name, licence = f"{short.capitalize()}{version}Later", f"{short}-{version if '.' in version else version + '.0'}-or-later"
+        for subject in ("program", "library", "file"):
+            for mark in ("", ":"):
+                SENTENCES.setdefault(f"this {subject} is free software{mark} you can redistribute it and or modify it under the terms of the gnu {kind}general public license as published by "
+                                     f"the free software foundation either version {version} of the license or at your option any later version", name)
+        if kind:
+            RULES += [([name, "GplWarranty", f"{short.capitalize()}Details"], licence), ([name, "GplWarranty"], licence), ([name], licence)]
+for subject in ("library", "file"):
+    SENTENCES[f"this {subject} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"] = "GplWarranty"
+for verb in ("licensed", "released", "distributed"):
+    for end in ("", " see license", " see license for details", " see the license file", " see the license file for details"):
+        for said, name in (("the mit license", "MitRef"), ("the bsd license", "BsdRef"), ("the apache license version 2.0", "Apache2Ref")):
+            SENTENCES.setdefault(f"{verb} under {said}{end}", name)
+for licence in LICENCE_IDS:
+    if f"spdx-license-identifier: {licence.lower()}" not in SENTENCES:
+        SENTENCES[f"spdx-license-identifier: {licence.lower()}"] = f"Spdx{licence}"
+        RULES.append(([f"Spdx{licence}"], licence))
 #: Words of which every known sentence has one.
-WORDS = "licen[cs]|copyright|warrant|permi|redistribut"
+WORDS = "licen[cs]|copyright|warrant|permi|redistribut|unencumber"
 #: A line that starts so starts a sentence, even after a line without a full stop.
-STARTS = ("Licensed under|Released under|This work is|This program is|Permission is|Permission to|Redistribution|Neither the|"
+STARTS = ("Licensed under|Released under|Distributed under|This work is|This program is|This library is|This Source Code|This software is|This is free|Permission is|Permission to|Redistribution|Neither the|"
           "THE SOFTWARE IS|The software is|The above copyright|You may|Unless required|You should have|See the|SPDX-")
 LINE_START = f"[\\x0A\\x0D]+[\\x20\\x09/*#;%-]*({STARTS})"
 #: An identifier ends with its line.
@@ -106,12 +141,16 @@ IDENTIFIER = "(SPDX-License-Identifier:[^\\x0A\\x0D]*)"
 SENTENCE_END = "[.!?]+[\\x20\\x09-\\x0D]+|[.!?]+$|;[\\x20\\x09-\\x0D]+|:[\\x20\\x09]*[\\x0A\\x0D]+|[\\x0A\\x0D][\\x20\\x09]*[\\x0A\\x0D]+"
 #: What lies between two words of a notice: white space, line ends, comment marks.
 GAP = "[^A-Za-z0-9.!?;:]+"
-#: Where SENTENCE_END would cut a known sentence within itself, and what stands there instead.
-WHOLE = [(pattern.replace(" ", GAP), kept) for pattern, kept in (
-    ("(?i)\\b(free software);(?= you can redistribute\\b)", "$1,"),
-    ("(?i)\\b(free software foundation);(?= either version [0-9])", "$1,"),
-    ("(?i)\\b(without any warranty);(?= without even the implied\\b)", "$1,"),
-    ("(?i)\\b(you may obtain a copy of the license at):? (?=https?://)", "$1 "))]
+#: Where SENTENCE_END would cut a known sentence within itself, and what stands between the two sides instead.
+WHOLE = [(pattern.replace(" ", GAP), between) for pattern, between in (
+    ("(?i)\\b(free software);( you can redistribute\\b)", ","),
+    ("(?i)\\b(free software foundation);( either version [0-9])", ","),
+    ("(?i)\\b(without any warranty);( without even the implied\\b)", ","),
+    ("(?i)\\b(you may obtain a copy of the license at):? (https?://)", " "))]
+_IDS = "|".join(sorted((i.replace(".", "[.]") for i in LICENCE_IDS), key=len, reverse=True))
+#: Two licences of an expression. Replaced twice, it parts expressions of any length: first each other pair, then those between.
+EXPRESSION = f"(?:SPDX-License-Identifier:[\\x20(]*)?\\b({_IDS})[\\x20)]*\\x20(?:OR|AND)\\x20[\\x20(]*(?:\\x0ASPDX-License-Identifier:\\x20)?({_IDS})\\b\\)*"
+TAG = "SPDX-License-Identifier: "
 NOISE = "[^a-z0-9+.:-]+"
 EDGES = "^[ .:+-]+|[ .:+-]+$"
 
@@ -124,7 +163,9 @@ def scan(docs: DataFrame) -> DataFrame:
         plain = F.regexp_replace(F.regexp_replace(F.lower(sentence), NOISE, " "), EDGES, "")
         return F.coalesce(F.try_element_at(known, plain), F.when(plain.rlike(WORDS), F.lit("UNKNOWN")))
 
-    whole = reduce(lambda c, w: F.regexp_replace(c, F.lit(w[0]), F.lit(w[1])), WHOLE, F.col("text"))
+    lines = F.replace("text", F.lit("\r\n"), F.lit("\n"))
+    parted = reduce(lambda c, _: F.regexp_replace(c, EXPRESSION, f"\n{TAG}$1\n{TAG}$2"), range(2), lines)
+    whole = reduce(lambda c, w: F.regexp_replace(c, F.lit(w[0]), F.lit(f"$1{w[1]}$2")), WHOLE, parted)
     begun = F.regexp_replace(F.regexp_replace(whole, IDENTIFIER, "$1.\n"), LINE_START, ".\n$1")
     found = F.filter(F.transform(F.split(begun, SENTENCE_END), identify), lambda s: s.isNotNull())
     sequence = F.when(F.col("text").rlike(f"(?i){WORDS}"), F.array_join(F.transform(found, lambda s: F.concat(F.lit("<"), s, F.lit(">"))), ""))
@@ -140,9 +181,11 @@ def scan(docs: DataFrame) -> DataFrame:
 def _oracle() -> str:
     known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
     taken = reduce(lambda c, rule: f"replace({c}, '{''.join(f'<{s}>' for s in rule[0])}', '{{{rule[1]}}}')", RULES, "sequence")
+    parted = reduce(lambda c, _: f"regexp_replace({c}, '{EXPRESSION}', E'\\n{TAG}\\\\1\\n{TAG}\\\\2', 'g')", range(2), "replace(text, chr(13) || chr(10), chr(10))")
+    whole = reduce(lambda c, w: f"regexp_replace({c}, '{w[0]}', '\\1{w[1]}\\2', 'g')", WHOLE, parted)
     return f"""
 WITH cut AS (SELECT doc_id, unnest(list_zip(parts, range(len(parts)))) AS part FROM (
-    SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(text, '{IDENTIFIER}', E'\\\\1.\\n', 'g'), '{LINE_START}', E'.\\n\\\\1', 'g'), '{SENTENCE_END}') AS parts FROM documents)),
+    SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace({whole}, '{IDENTIFIER}', E'\\\\1.\\n', 'g'), '{LINE_START}', E'.\\n\\\\1', 'g'), '{SENTENCE_END}') AS parts FROM documents)),
 plain AS (SELECT doc_id, part[2] AS pos, regexp_replace(regexp_replace(lower(part[1]), '{NOISE}', ' ', 'g'), '{EDGES}', '', 'g') AS s FROM cut),
 named AS (SELECT doc_id, pos, coalesce({known}[s], CASE WHEN regexp_matches(s, '{WORDS}') THEN 'UNKNOWN' END) AS id FROM plain),
 seq AS (SELECT d.doc_id, coalesce(any_value(n.sequence), '') AS sequence FROM documents d LEFT JOIN (

@@ -1,3 +1,5 @@
+import duckdb
+
 from filmroll.llm import licenses
 
 SCHEMA = "doc_id long, text string, licenses string, sequence int"
@@ -101,3 +103,42 @@ def test_verbatim_notices(spark):
 
 def test_other_semicolons_still_cut(spark):
     assert one(spark, "Released under the MIT License; without any warranty; licensed under the BSD license.")[:2] == ("MitRef,UNKNOWN,BsdRef", "MIT,BSD")
+
+
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+SHORT = {LGPL: "LGPL-2.1-or-later", MPL: "MPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later\ncode": "GPL-2.0-or-later",
+         "# SPDX-License-Identifier: MIT OR Apache-2.0": "MIT,Apache-2.0",
+         "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause OR LGPL-2.1-only\ncode": "MIT,Apache-2.0,BSD-3-Clause,LGPL-2.1-only",
+         "license: MIT OR Apache-2.0": "MIT,Apache-2.0", "Licensed under the MIT license (see LICENSE)": "MIT", "Distributed under the BSD license": "BSD",
+         "This is free and unencumbered software released into the public domain.": "Unlicense"}
+
+
+def crlf(text):
+    return text.replace("\n", "\r\n")
+
+
+def test_more_licences_and_expressions(spark):
+    rows = [*SHORT, *map(crlf, SHORT)]
+    got = scan(spark, list(enumerate(rows)))
+    assert [got[i, i][1] for i in range(len(rows))] == [*SHORT.values()] * 2
+
+
+def test_line_ends_and_sql_agree(spark):
+    rows = [t for n in (MIT, GPL2, GPL3, APACHE, BSD3, *SHORT) for t in (n, crlf(n), f"Prose.\n{n}\nLicense unknown.")]
+    got = scan(spark, list(enumerate(rows)))
+    assert all(got[i, i][:3] == got[i + 1, i + 1][:3] and got[i, i][1] for i in range(0, len(rows), 3))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(rows)))
+    want = {(r[0], r[0]): tuple(r[1:]) for r in con.execute(f"SELECT doc_id, sentences, licenses, unmatched, unknown FROM ({licenses.ORACLE})").fetchall()}
+    assert got == want
