@@ -7,6 +7,7 @@ from filmroll.functions import text
 from filmroll.functions.scan import describe_scan, hex_float
 from filmroll.operators import rolls, scans, summary
 from filmroll.operators.ordering import number_within
+from filmroll.operators.pixels import clean_nonfinite, nonfinite_report
 from filmroll.session import attach, materialize
 from filmroll.sources import profiles as pf
 from filmroll.sources.pixels import normalise_samples, read_developed, write_developed
@@ -54,6 +55,16 @@ def test_general_number(spark, value):
     assert spark.range(1).select(text.general_number(F.lit(value)).alias("t")).first().t == f"{value:g}"
 
 
+@pytest.mark.parametrize("value", [1.25, 1.35, 2.25, 0.05, 1.45, 99.95, 0.0, -1.25, 33.35])
+def test_fixed(spark, value):
+    assert spark.range(1).select(text.fixed(F.lit(value), 1).alias("t")).first().t == f"{value:.1f}"
+
+
+def test_share_of_bad_pixels_at_a_tie(spark):
+    rows = spark.range(800).select(F.lit(1).alias("roll_id"), F.lit(2).alias("frame_id"), F.col("id").alias("y"), F.lit(0).alias("x"), F.when(F.col("id") < 10, float("nan")).otherwise(0.5).alias("r"), F.lit(0.5).alias("g"), F.lit(0.5).alias("b"))
+    assert nonfinite_report(clean_nonfinite(rows)).first().message == "1.2% of its pixels aren't valid numbers"
+
+
 def test_describe_scan(spark):
     row = spark.range(1).select(describe_scan(F.lit(1 / 30), F.lit(8.0), F.lit(100.0)).alias("a"), describe_scan(F.lit(2.5), F.lit(5.6), F.lit(6400.0)).alias("b")).first()
     assert (row.a, row.b) == ("1/30 f/8 ISO100", "2.5s f/5.6 ISO6400")
