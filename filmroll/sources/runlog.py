@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filmroll.functions.text import general_number, one_line
+from filmroll.functions.text import fixed, general_number, one_line
 from filmroll.operators.ordering import number_within
 
 RESULT_WORD = {"develop": "developed", "print": "printed", "export": "exported"}
 
 
+def _rounded(value: Column, unit: Column | float) -> Column:
+    """Rounded to a multiple of 1 / unit as SQL's round does: the product, a tie away from zero. Rounding the shortest decimal of the
+    value itself differs where the product isn't the tie that it looks like."""
+    return F.round(value * unit) / unit
+
+
+def _places(value: Column, digits: int) -> Column:
+    return fixed(_rounded(value, 10.0 ** digits), digits)
+
+
 def human_time(seconds: Column) -> Column:
     s = F.greatest(seconds, F.lit(0.0))
     whole = F.rint(s).cast("bigint")
     minutes = F.floor(whole / 60)
-    return (F.when(seconds.isNull(), F.lit(None).cast("string")).when(F.round(s, 1) < 60, F.concat(F.format_string("%.1f", s), F.lit("s")))
+    return (F.when(seconds.isNull(), F.lit(None).cast("string")).when(_rounded(s, 10.0) < 60, F.concat(_places(s, 1), F.lit("s")))
             .when(minutes < 60, F.format_string("%dm%02ds", minutes, whole % 60))
             .otherwise(F.format_string("%dh%02dm", F.floor(minutes / 60), minutes % 60)))
 
@@ -25,20 +35,21 @@ def log_rows(results: DataFrame, kind: str) -> DataFrame:
     failed = F.col("error").isNotNull()
     grade = (F.when(F.col("linear_scale").isNotNull(), F.concat(F.lit("flat x"), _three_digits(F.col("linear_scale"))))
              .when(F.col("grade").isNotNull(), F.concat(
-                 F.format_string("%.2f", F.col("grade")),
+                 _places(F.col("grade"), 2),
                  F.when(F.coalesce("grade_fitted", F.lit(False)), "").otherwise(" (pinned)"))))
-    exposure = F.when(F.col("linear_scale").isNull() & F.col("grade").isNotNull(), F.format_string("%+.2f", F.col("exposure")))
+    exposure = F.when(F.col("linear_scale").isNull() & F.col("grade").isNotNull(), F.concat(
+        F.when(F.col("exposure") < 0, "-").otherwise("+"), _places(F.abs("exposure"), 2)))
     notes = F.concat_ws("; ", one_line(F.col("error")), one_line(F.col("warning")))
     return results.select(
         "roll_id", "frame_id", "name", F.when(failed, "failed").otherwise(RESULT_WORD[kind]).alias("result"),
         F.when(~failed, grade).alias("grade"), F.when(~failed, exposure).alias("exposure"),
-        F.when(~failed, F.format_string("%.2f", F.coalesce("gain", F.lit(1.0)))).alias("gain"),
+        F.when(~failed, _places(F.coalesce("gain", F.lit(1.0)), 2)).alias("gain"),
         human_time(F.col("seconds")).alias("time"), notes.alias("notes"))
 
 
 def _three_digits(value: Column) -> Column:
     unit = F.pow(F.lit(10.0), 2 - F.floor(F.log10(F.abs(value))))
-    return general_number(F.rint(value * unit) / unit)
+    return general_number(_rounded(value, unit))
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from filmroll.session import attach, materialize
 from filmroll.sources import profiles as pf
 from filmroll.sources.pixels import normalise_samples, read_developed, write_developed
 from filmroll.sources.provenance import provenance_record, read_provenance
-from filmroll.sources.runlog import previous_unfinished
+from filmroll.sources.runlog import log_rows, previous_unfinished
 from filmroll.sources.versions import Stale, Versions
 from filmroll.sources.scans import edit_history, edit_state, scan_settings
 
@@ -60,6 +61,15 @@ def test_fixed(spark, value):
     assert spark.range(1).select(text.fixed(F.lit(value), 1).alias("t")).first().t == f"{value:.1f}"
 
 
+def test_log_rounds_as_sql(spark):
+    row = dict(roll_id=1, frame_id=1, name="a.tif", error=None, warning=None, seconds=30.05, grade=0.615, exposure=-0.001, linear_scale=None, grade_fitted=True, gain=1.115)
+    kinds = "roll_id int, frame_id int, name string, error string, warning string, seconds double, grade double, exposure double, linear_scale double, grade_fitted boolean, gain double"
+    rows = spark.createDataFrame([tuple(row.values()), tuple((row | {"linear_scale": 0.8105}).values())], kinds)
+    sql = duckdb.sql("SELECT printf('%.1f', round(30.05e0, 1)) || 's', printf('%.2f', round(0.615e0, 2)), printf('%+.2f', round(-0.001e0, 2)), printf('%.2f', round(1.115e0, 2)), 'flat x' || printf('%.3f', round(0.8105e0, 3))").fetchall()[0]
+    paper, flat = log_rows(rows, "develop").collect()
+    assert (paper.time, paper.grade, paper.exposure, paper.gain, flat.grade) == sql
+
+
 def test_share_of_bad_pixels_at_a_tie(spark):
     rows = spark.range(800).select(F.lit(1).alias("roll_id"), F.lit(2).alias("frame_id"), F.col("id").alias("y"), F.lit(0).alias("x"), F.when(F.col("id") < 10, float("nan")).otherwise(0.5).alias("r"), F.lit(0.5).alias("g"), F.lit(0.5).alias("b"))
     assert nonfinite_report(clean_nonfinite(rows)).first().message == "1.2% of its pixels aren't valid numbers"
