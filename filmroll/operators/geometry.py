@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filmroll.constants import SNAP_RADIUS
 from filmroll.functions.pixel import RGB, Curve
+from filmroll.functions.text import let
 from filmroll.operators.pixels import FRAME, PLACE, print_paper, to_positive, with_profile, with_tone
-from filmroll.session import attach, materialize
+from filmroll.session import attach
 
 TILE = 32
 
@@ -64,13 +67,41 @@ def around(clicks: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
     return near.select(*FRAME, "i", *PLACE, *RGB)
 
 
+#: Distances this much apart, as a share, may be equal but for the way they were worked out.
+NEAR_TIE = 1e-12
+
+
+def _c_distances(r, g, b):
+    """Distances by the C library's pow, which SQL squares with; its last bit isn't always that of the product."""
+    return r and [math.sqrt(math.pow(x, 2.0) + math.pow(y, 2.0) + math.pow(z, 2.0)) for x, y, z in zip(r, g, b)]
+
+
 def snap(clicks: DataFrame, pixels: DataFrame, radius: int = SNAP_RADIUS) -> DataFrame:
     """For each click: the pixel nearest the median colour of its neighbourhood, the first in row-major
-    order on a tie. A neighbourhood holds at most (2 radius + 1)^2 pixels, so its median is a bounded
-    aggregate."""
-    near = materialize(around(clicks, pixels, radius), "near")
-    middle = near.groupBy(*FRAME, "i").agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in RGB])
-    far = sum((F.pow(F.col(c) - F.col(f"_{c}"), F.lit(2.0)) for c in RGB), F.lit(0.0))
-    joined = near.join(middle, [*FRAME, "i"])
-    best = joined.groupBy(*FRAME, "i").agg(F.min(F.struct(F.sqrt(far).alias("distance"), *PLACE, *RGB)).alias("_b"))
-    return best.select(*FRAME, "i", *[F.col(f"_b.{c}").alias(c) for c in (*PLACE, *RGB)])
+    order on a tie. A neighbourhood holds at most (2 radius + 1)^2 pixels, so it is gathered and judged as one row.
+
+    The median of an even number lies between two pixels, which are then about equally far from it, and the last bit decides. So
+    near ties, of which few have more than two pixels, are measured again as SQL does."""
+    near = around(clicks, pixels, radius).groupBy(*FRAME, "i").agg(F.collect_list(F.struct(*PLACE, *RGB)).alias("_near"))
+
+    def middle(c: str) -> Column:
+        def between(v: Column) -> Column:
+            low, high = (F.get(v, F.floor((F.size(v) - 1 + k) / 2).cast("int")) for k in (0, 1))
+            return low * 0.5 + high * 0.5
+        return let(F.array_sort(F.transform("_near", lambda p: p[c])), between).alias(c)
+
+    def off(p: Column, c: str) -> Column:
+        return p[c] - F.col(f"_mid.{c}")
+
+    def judged(distance: Column, p: Column) -> Column:
+        return F.struct(distance.alias("distance"), *[p[c].alias(c) for c in (*PLACE, *RGB)])
+
+    far = F.transform("_near", lambda p: judged(F.sqrt(sum((off(p, c) * off(p, c) for c in RGB), F.lit(0.0))), p))
+    found = near.withColumn("_mid", F.struct(*[middle(c) for c in RGB])).withColumn("_far", far).withColumn("_b", F.array_min("_far"))
+    close = F.filter("_far", lambda p: p["distance"] <= F.col("_b.distance") * (1 + NEAR_TIE))
+    found = found.withColumn("_close", close).drop("_near", "_far")
+    tie = F.size("_close") > 1
+    again = F.udf(_c_distances, "array<double>")
+    found = found.withColumn("_again", again(*[F.when(tie, F.transform("_close", lambda p: off(p, c))) for c in RGB]))
+    best = F.when(tie, F.array_min(F.zip_with("_again", "_close", judged))).otherwise(F.col("_b"))
+    return found.select(*FRAME, "i", best.alias("_b")).select(*FRAME, "i", *[F.col(f"_b.{c}").alias(c) for c in (*PLACE, *RGB)])

@@ -1,7 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from filmroll.operators import geometry
 from filmroll.operators import points as pt
 
 SCALE, WB = np.array([1.12, 1.0, 0.78]), np.array([0.73, 1.0, 1.05])
@@ -152,3 +154,14 @@ def test_wedge_pools_a_roll(spark, paths):
     for roll in (0, 1):
         g = np.array([(i % 997) / 1000 for i in range(5000) if i % 2 == roll])
         assert got[roll] == pytest.approx(tuple(np.percentile(-np.log10(np.maximum(g, 1e-7)), [0.5, 99.5])), rel=1e-9)
+
+
+def test_snap_of_pairs_as_sql(spark, tmp_path):
+    """The median of two pixels is as far from one as from the other, but for the last bit of SQL's pow."""
+    duckdb.sql(f"""COPY (SELECT 1 AS roll_id, i // 2 AS frame_id, 0 AS y, CAST(i % 2 AS INTEGER) AS x, hash(i, 1) / 2e19 AS r, hash(i, 2) / 2e19 AS g, hash(i, 3) / 2e19 AS b
+      FROM range(40000) t(i)) TO '{tmp_path}/p.parquet'""")
+    pixels = spark.read.parquet(f"{tmp_path}/p.parquet")
+    clicks = pixels.where("x = 0").select("roll_id", "frame_id", F.lit(0).alias("i"), "y", "x")
+    want = duckdb.sql(f"""WITH p AS (SELECT * FROM '{tmp_path}/p.parquet'), m AS (SELECT frame_id, quantile_cont(r, 0.5) AS mr, quantile_cont(g, 0.5) AS mg, quantile_cont(b, 0.5) AS mb FROM p GROUP BY frame_id)
+      SELECT frame_id, x FROM (SELECT frame_id, x, row_number() OVER (PARTITION BY frame_id ORDER BY sqrt(pow(r - mr, 2) + pow(g - mg, 2) + pow(b - mb, 2)), y, x) AS k FROM p JOIN m USING (frame_id)) WHERE k = 1""").fetchall()
+    assert {(r.frame_id, r.x) for r in geometry.snap(clicks, pixels).collect()} == set(want)
