@@ -269,3 +269,17 @@ def test_two_rolls_into_one_folder(spark):
     rows = [("/in/a", "a", "/out/Roll", 2), ("/in/b", "b", "/OUT/roll", 1), ("/in/c", "c", "/out/roll", 0), ("/in/d", "d", "/out/d", 3), ("/in/e", "e", None, 3), ("/in/f", "f", None, 3)]
     planned = spark.createDataFrame(rows, "folder string, roll_name string, output_dir string, jobs long")
     assert [tuple(r) for r in rolls.roll_clashes(planned).collect()] == [("/out/roll", 2, "a", "b")]
+
+
+def test_pixels_are_moved_once(spark):
+    """Ranges of orders serve both the numbering of doubled places and the clustering of what is written."""
+    from filmroll.catalog.tables import cells
+
+    plan = cells(spark, "/root/testdata/sf0.001", ranged=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning(l_orderkey" in plan
+
+
+def test_curves_are_made_by_many_tasks(spark):
+    from filmroll.catalog.tables import papers
+
+    assert papers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
