@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from functools import partial
+from urllib.parse import quote
+
+from pyarrow.fs import FileSystem, FileType
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from filmroll.constants import EDITABLE_FIELDS
@@ -20,18 +25,45 @@ SIDECARS = ("tone", "scan", "anchors")
 BODY = ("white_balance", "density_scale", "film_stock", "process", "scanner", "created_at", "source", "notes", *SIDECARS)
 
 
+WRITTEN = "file="
+
+
 def read_profiles(spark: SparkSession, glob: str) -> DataFrame:
     """Every profile file under `glob`, hidden ones aside; or those that `write_profiles` wrote."""
-    found = spark.read.text(glob, wholetext=True)
-    name = F.col("file") if "file" in found.columns else base_name(F.col("_metadata.file_path"))
-    files = found.select(name.alias("file"), F.col("value").alias("text"))
+    found = spark.read.option("recursiveFileLookup", "true").text(glob, wholetext=True)
+    name = base_name(F.col("_metadata.file_path"))
+    written = F.url_decode(F.url_decode(F.substring(name, len(WRITTEN) + 1, 1 << 16)))  # the path of a file comes encoded once more
+    files = found.select(F.when(name.startswith(WRITTEN), written).otherwise(name).alias("file"), F.col("value").alias("text"))
     return parse_profiles(files.where(~F.col("file").startswith(".")))
 
 
 def write_profiles(files: DataFrame, path: str) -> None:
-    """(file, text) as a folder per profile with one text file, as `read_profiles` takes them."""
-    tasks = files.sparkSession.sparkContext.defaultParallelism
-    files.select("file", "text").repartition(tasks, "file").write.mode("error").partitionBy("file").text(path)
+    """(file, text) as a file per profile, as `read_profiles` takes them, in folders by hash. Tasks write them straight to the shared
+    folder: Spark's own writer makes a folder and starts two processes for each. A task that is run again writes the same files."""
+    fs, root = _opened(path)
+    if fs.get_file_info(root).type != FileType.NotFound:
+        raise FileExistsError(f"{path} holds profiles already")
+    fs.create_dir(root)
+    files.select("file", "text", F.pmod(F.xxhash64("file"), F.lit(FOLDERS)).alias("folder")).foreachPartition(partial(_write, path))
+
+
+FOLDERS = 256
+
+
+def _opened(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def _write(path: str, rows: Iterator[Row]) -> None:
+    fs, root = _opened(path)
+    made = set()
+    for r in rows:
+        folder = f"{root}/{r.folder}"
+        if folder not in made:
+            fs.create_dir(folder)
+            made.add(folder)
+        with fs.open_output_stream(f"{folder}/{WRITTEN}{quote(r.file, safe='')}") as out:
+            out.write((r.text or "").encode())
 
 
 def _three(name: str, keys: Column) -> Column:

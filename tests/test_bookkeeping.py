@@ -283,3 +283,13 @@ def test_curves_are_made_by_many_tasks(spark):
     from filmroll.catalog.tables import papers
 
     assert papers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_profile_files_share_folders(spark, tmp_path):
+    names = ["a+b.json", "50%.json", "b c.json", "_d.json", "e\u00e9.json", *[f"P{i}.json" for i in range(400)]]
+    pf.write_profiles(spark.createDataFrame([(n, "{\n") for n in names], "file string, text string"), f"file:{tmp_path}/p")
+    found = list((tmp_path / "p").rglob("file=*"))
+    assert len(found) == len(names) and all(f.is_file() for f in found)
+    assert sorted(r.file for r in pf.read_profiles(spark, str(tmp_path / "p")).collect()) == sorted(n.removesuffix(".json") for n in names)
+    with pytest.raises(FileExistsError):
+        pf.write_profiles(spark.createDataFrame([], "file string, text string"), str(tmp_path / "p"))
