@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -96,104 +97,161 @@ def _stateful(events: DataFrame, keys: list[str], processor: StatefulProcessor,
     return events.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
+#: Keys share so many buckets of state. A call to the store costs much more than a row, so there are some per bucket and batch, and
+#: none per key or row. A stream's buckets can't be changed later.
+BUCKETS = 1024
+
+
+def _keyed(*keys: str) -> list:
+    """A bucket of keys, and the key in it as text, which keeps NULL and any type."""
+    return [F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket"), F.to_json(F.struct(*keys)).alias("key")]
+
+
+def _unkeyed(df: DataFrame, key_schema: str, *columns) -> DataFrame:
+    return df.select(F.from_json("key", key_schema).alias("_k"), *columns).select("_k.*", *[c for c in df.columns if c != "key"])
+
+
 def _ms(us: int) -> int:
     return -(-us // 1000)
 
 
 class _Ordered(StatefulProcessor):
-    """Rows of a key in event-time order: each waits in a list until the watermark has passed it."""
+    """Rows of each key in event-time order: they wait in their bucket until the watermark has passed them. A bucket has one timer, for
+    the first time at which something in it is due. Waiting rows are appended, and read again only when some are due, as whole batches."""
 
-    ROW = ""  # columns of a waiting row, the first its time in microseconds
+    ROW: pa.Schema  # of a waiting row: first its key, then its time in microseconds
+    OPEN: pa.Schema  # of what is open of a key: first the key
+    FROM: int  # the column of OPEN from which its deadline counts
+    WAIT: int  # microseconds from there to the deadline
+    COLUMNS: dict[str, str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.ROW)
-        self.start(handle)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.open = handle.getListState("open", "rows binary")
+
+    def _wake(self, at: int) -> None:
+        set_ = list(self.handle.listTimers())
+        if set_ and min(set_) <= at:
+            return
+        for old in set_:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    @staticmethod
+    def _get(state, schema: pa.Schema) -> list[tuple]:
+        out = []
+        for (raw,) in state.get():
+            out += zip(*(c.to_pylist() for c in pa.ipc.read_record_batch(pa.py_buffer(bytes(raw)), schema).columns))
+        return out
+
+    @staticmethod
+    def _packed(rows: list[tuple], schema: pa.Schema) -> tuple:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+        return (pa.RecordBatch.from_arrays(columns, schema=schema).serialize().to_pybytes(),)
+
+    @classmethod
+    def _put(cls, state, rows: list[tuple], schema: pa.Schema) -> None:
+        if rows:
+            state.put([cls._packed(rows, schema)])
+        else:
+            state.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(v) else v for v in r) for chunk in rows for r in self.rows(chunk).itertuples(index=False)]
-        self.waiting.appendList(new)
-        for at in {_ms(int(r[0])) for r in new}:
-            self.handle.registerTimer(at)
+        first = []
+        for chunk in rows:
+            batch = pa.RecordBatch.from_pandas(chunk[self.ROW.names], self.ROW, preserve_index=False)
+            self.waiting.appendValue((batch.serialize().to_pybytes(),))
+            first.append(int(chunk["us"].min()))
+        if first:
+            self._wake(_ms(min(first)))
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs()  # timers set here fire with a later batch, so all that is due is settled
-        waiting = [tuple(r) for r in self.waiting.get()]
-        due = [r for r in waiting if _ms(int(r[0])) < until]
+        due: dict[str, list[tuple]] = {}
+        rest: list[tuple] = []
+        for r in self._get(self.waiting, self.ROW):
+            if _ms(r[1]) < until:
+                due.setdefault(r[0], []).append(r)
+            else:
+                rest.append(r)
         if due:
-            rest = [r for r in waiting if _ms(int(r[0])) >= until]
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        found = self.settle(key, sorted(due, key=self.order), until)
+            self._put(self.waiting, rest, self.ROW)
+        before = {r[0]: r for r in self._get(self.open, self.OPEN)}
+        after, found = [], []
+        for k in {**before, **due}:
+            now, out = self.settle(k, before.get(k), sorted(due.get(k, ()), key=self.order), until)
+            found += out
+            if now:
+                after.append(now)
+        if before or after:
+            self._put(self.open, after, self.OPEN)
+        ahead = [_ms(r[1]) for r in rest] + [_ms(r[self.FROM] + self.WAIT) for r in after]
+        if ahead:
+            self.handle.registerTimer(min(ahead))
         if found:
-            yield pd.DataFrame(found, columns=self.COLUMNS)
+            yield pd.DataFrame({n: pd.array(c, dtype=t) for (n, t), c in zip(self.COLUMNS.items(), zip(*found))})
 
     def close(self) -> None:
         pass
 
 
-class _Sessions(_Ordered):
-    ROW = "us bigint, events bigint, ends bigint, malformed bigint"
-    COLUMNS = ["run_id", "session_start", "session_end", "events", "ends", "malformed"]
+def _schema(**columns: pa.DataType) -> pa.Schema:
+    return pa.schema(list(columns.items()))
 
-    def __init__(self, gap_us: int):
-        self.gap = gap_us
 
-    def start(self, handle) -> None:
-        self.open = handle.getValueState("open", "first bigint, last bigint, events bigint, malformed bigint")
+class _Sessions(_Ordered):
+    ROW = _schema(key=pa.string(), us=pa.int64(), events=pa.int64(), ends=pa.int64(), malformed=pa.int64())
+    OPEN, FROM = _schema(key=pa.string(), first=pa.int64(), last=pa.int64(), events=pa.int64(), malformed=pa.int64()), 2
+    COLUMNS = {"key": "object", "session_start": "int64", "session_end": "int64", "events": "int64", "ends": "int64", "malformed": "int64"}
 
-    def rows(self, chunk):
-        return chunk[["us", "events", "ends", "malformed"]]
+    def __init__(self, gap_us: int):
+        self.WAIT = gap_us
 
     def order(self, row):
-        return row[0]
+        return row[1]
 
-    def settle(self, key, due, until):
+    def settle(self, key, now, due, until):
         out = []
-        now = tuple(self.open.get()) if self.open.exists() else None
 
         def row(end, ends):
-            return (key[0], pd.Timestamp(now[0], unit="us"), pd.Timestamp(end, unit="us"), now[2], ends, now[3])
+            return (key, now[1], end, now[3], ends, now[4])
 
         seconds: dict[int, list[int]] = {}
-        for us, n, ends, bad in due:  # one second may have come in several batches
+        for _, us, n, ends, bad in due:  # one second may have come in several batches
             have = seconds.setdefault(us, [0, 0, 0])
             have[0], have[1], have[2] = have[0] + n, have[1] + ends, have[2] + bad
         for us, (n, ends, bad) in seconds.items():
-            if now and us - now[1] >= self.gap:
-                out.append(row(now[1] + self.gap, 0))
+            if now and us - now[2] >= self.WAIT:
+                out.append(row(now[2] + self.WAIT, 0))
                 now = None
-            now = (now[0], us, now[2] + n, now[3] + bad) if now else (us, us, n, bad)
+            now = (key, now[1], us, now[3] + n, now[4] + bad) if now else (key, us, us, n, bad)
             if ends:
                 out.append(row(us, ends))
                 now = None
-        if now and _ms(now[1] + self.gap) < until:
-            out.append(row(now[1] + self.gap, 0))
+        if now and _ms(now[2] + self.WAIT) < until:
+            out.append(row(now[2] + self.WAIT, 0))
             now = None
-        if now:
-            self.open.update(now)
-            self.handle.registerTimer(_ms(now[1] + self.gap))
-        else:
-            self.open.clear()
-        return out
+        return now, out
 
 
 def run_sessions(events: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
     """Runs told apart by their ends, and by silence where no end was recorded. Times are whole seconds, and all that a run
     reports in one second is counted before the shuffle, so a busy run is as many rows as it lasts seconds."""
     second = F.date_trunc("second", "ts")
-    counted = events.where(F.col("ts").isNotNull()).select("run_id", second.alias("ts"), F.coalesce(F.col("kind") == "end", F.lit(False)).alias("_end"), F.col("kind").isNull().alias("_bad"))
-    counted = counted.mapInPandas(_per_second, "run_id bigint, ts timestamp, us bigint, events bigint, ends bigint, malformed bigint").withWatermark("ts", delay)
-    return _stateful(counted, ["run_id"], _Sessions(gap_seconds * 1_000_000),
-                     "run_id bigint, session_start timestamp, session_end timestamp, events bigint, ends bigint, malformed bigint")
+    counted = events.where(F.col("ts").isNotNull()).select(
+        *_keyed("run_id"), second.alias("ts"), F.unix_micros(second).alias("us"), F.lit(1).cast("bigint").alias("events"),
+        F.coalesce(F.col("kind") == "end", F.lit(False)).cast("bigint").alias("ends"), F.col("kind").isNull().cast("bigint").alias("malformed"))
+    counted = counted.mapInPandas(_per_second, counted.schema).withWatermark("ts", delay)
+    found = _stateful(counted, ["bucket"], _Sessions(gap_seconds * 1_000_000),
+                      "key string, session_start bigint, session_end bigint, events bigint, ends bigint, malformed bigint")
+    return _unkeyed(found, "run_id bigint", *[F.timestamp_micros(c).alias(c) for c in ("session_start", "session_end")], "events", "ends", "malformed")
 
 
 def _per_second(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for c in chunks:
-        c = c.assign(events=1, ends=c["_end"].astype("int64"), malformed=c["_bad"].astype("int64"))
-        c = c.groupby(["run_id", "ts"], as_index=False, dropna=False)[["events", "ends", "malformed"]].sum()
-        c["us"] = [int(t.value // 1000) for t in c["ts"]]
-        yield c[["run_id", "ts", "us", "events", "ends", "malformed"]]
+        yield c.groupby(["bucket", "key", "ts", "us"], as_index=False, sort=False).sum()
 
 
 def frames_once(events: DataFrame, delay: str) -> DataFrame:
@@ -202,45 +260,31 @@ def frames_once(events: DataFrame, delay: str) -> DataFrame:
 
 
 class _Pairs(_Ordered):
-    ROW = "us bigint, done int, status string"
-    COLUMNS = ["run_id", "idx", "started", "ended", "status"]
+    ROW = _schema(key=pa.string(), us=pa.int64(), done=pa.int32(), status=pa.string())
+    OPEN, FROM = _schema(key=pa.string(), us=pa.int64()), 1
+    COLUMNS = {"key": "object", "started": "int64", "ended": "Int64", "status": "object"}
 
     def __init__(self, within_us: int):
-        self.within = within_us
-
-    def start(self, handle) -> None:
-        self.open = handle.getValueState("open", "us bigint")
-
-    def rows(self, chunk):
-        return chunk[["us", "done", "status"]]
+        self.WAIT = within_us
 
     def order(self, row):
-        return row[0], row[1], row[2] or ""
+        return row[1], row[2], row[3] or ""
 
-    def settle(self, key, due, until):
+    def settle(self, key, now, due, until):
         out = []
-        start = self.open.get()[0] if self.open.exists() else None
-
-        def row(ended, status):
-            return (*key, pd.Timestamp(start, unit="us"), pd.NaT if ended is None else pd.Timestamp(ended, unit="us"), status)
-
-        for us, done, status in due:
+        start = now[1] if now else None
+        for _, us, done, status in due:
             if not done:
                 if start is not None:
-                    out.append(row(None, None))
+                    out.append((key, start, None, None))
                 start = us
-            elif start is not None and us - start <= self.within:
-                out.append(row(us, status))
+            elif start is not None and us - start <= self.WAIT:
+                out.append((key, start, us, status))
                 start = None
-        if start is not None and _ms(start + self.within) < until:
-            out.append(row(None, None))
+        if start is not None and _ms(start + self.WAIT) < until:
+            out.append((key, start, None, None))
             start = None
-        if start is not None:
-            self.open.update((start,))
-            self.handle.registerTimer(_ms(start + self.within))
-        else:
-            self.open.clear()
-        return out
+        return None if start is None else (key, start), out
 
 
 def start_to_done(events: DataFrame, within: str, delay: str) -> DataFrame:
@@ -248,8 +292,9 @@ def start_to_done(events: DataFrame, within: str, delay: str) -> DataFrame:
     one, once none can come any more. A start and an end at the same time belong together."""
     one = events.sparkSession.sql(f"SELECT CAST(unix_micros(TIMESTAMP_MICROS(0) + INTERVAL {within}) AS BIGINT)").first()[0]
     rows = events.where(F.col("kind").isin("start", "done") & F.col("ts").isNotNull()).select(
-        "run_id", "idx", "ts", F.unix_micros("ts").alias("us"), (F.col("kind") == "done").cast("int").alias("done"), "status").withWatermark("ts", delay)
-    return _stateful(rows, ["run_id", "idx"], _Pairs(one), "run_id bigint, idx bigint, started timestamp, ended timestamp, status string")
+        *_keyed("run_id", "idx"), "ts", F.unix_micros("ts").alias("us"), (F.col("kind") == "done").cast("int").alias("done"), "status").withWatermark("ts", delay)
+    found = _stateful(rows, ["bucket"], _Pairs(one), "key string, started bigint, ended bigint, status string")
+    return _unkeyed(found, "run_id bigint, idx bigint", *[F.timestamp_micros(c).alias(c) for c in ("started", "ended")], "status")
 
 
 ROLL_DONE = "run_id bigint, expected bigint, developed bigint, failed bigint, outcome string"

@@ -1,5 +1,6 @@
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,74 @@ def test_each_start_takes_the_first_end_before_the_next(spark, tmp_path):
     minute = lambda t: None if t is None else round((t.timestamp() - 1_700_000_000) / 60)
     assert sorted((minute(r.started), minute(r.ended)) for r in found if r.ended) == [(0, 3), (12, 14)]
     assert sorted(minute(r.started) for r in found if not r.ended) == [10, 20]
+
+
+class Store:
+    """A bucket's state and timers, and how often they are called."""
+
+    def __init__(self):
+        self.lists, self.timers, self.calls = {}, set(), 0
+
+    def getListState(self, name, schema):
+        return Kept(self, name)
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.until
+
+
+class Kept:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _set(self, rows):
+        self.store.calls += 1
+        self.store.lists[self.name] = rows
+
+    def get(self):
+        self.store.calls += 1
+        return iter(self.store.lists.get(self.name, []))
+
+    def appendValue(self, row):
+        self._set(self.store.lists.get(self.name, []) + [row])
+
+    def put(self, rows):
+        self._set(rows)
+
+    def clear(self):
+        self._set([])
+
+
+def test_keys_of_a_bucket_share_calls_to_the_store():
+    """Their number depends on batches, not on keys or rows; what is open, due or ahead of each key is kept apart."""
+    minute, keys = 60_000_000, 500
+    first = [(str(k), at * minute, done, "ok" if done else None) for k in range(keys) for at, done in ((1, 0), (2, 1), (3, 0), (90, 0))]
+    second = [(str(k), 4 * minute, 1, None) for k in range(0, keys, 2)]
+    of, store = st._Pairs(60 * minute), Store()
+    of.init(store)
+    found = []
+    for rows, until in ((first, 3 * 60_000 + 1), (second, 80 * 60_000), ([], 200 * 60_000)):
+        if rows:
+            list(of.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["key", "us", "done", "status"])]), store))
+        assert len(store.timers) == 1
+        store.until = until
+        (at,) = store.timers
+        assert at < until
+        for out in of.handleExpiredTimer((7,), store, None):
+            found += [tuple(None if pd.isna(v) else v for v in r) for r in out.itertuples(index=False)]
+        store.timers.discard(at)
+    want = [(str(k), 1 * minute, 2 * minute, "ok") for k in range(keys)]
+    want += [(str(k), 3 * minute, None if k % 2 else 4 * minute, None) for k in range(keys)] + [(str(k), 90 * minute, None, None) for k in range(keys)]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert store.calls < 30 and not store.timers and not any(store.lists.values())
