@@ -23,6 +23,7 @@ other; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -114,13 +115,19 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(fp), 8192):
-            part = fp[at:at + 8192]
-            keys, rows = anchors(part)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[rows].view(np.int64))], ["anchor", "fp"])
+def _table(b: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    return np.stack([b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in columns], axis=1)
+
+
+def _replicas(columns: list[str]):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = _table(b, columns)
+            for at in range(0, len(table), 8192):
+                part = table[at:at + 8192]
+                keys, rows = anchors(part[:, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(c[rows].view(np.int64)) for c in part.T]], ["anchor", *columns])
+    return task
 
 
 def _star(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,89 +150,111 @@ def _star(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def _links(key: np.ndarray, fp: np.ndarray, threshold: int, stars: bool) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """What links two rows, and how links are told: `columns` are fp, the node's where that is another, then marks."""
+    threshold: int
+    stars: bool
+    columns: list[str]
+    node: int
+    mark_bits: int
+
+
+def _links(key: np.ndarray, table: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """The links within runs of equal keys (rows sorted by key), or their components as stars."""
-    us, vs, held = [], [], 0
+    us, vs, held, fp, node, marks = [], [], 0, table[:, 0], table[:, rule.node], table[:, rule.node + 1:]
     at, lag = np.arange(len(key)), 1
     while True:
         at = at[at + lag < len(key)]
         at = at[key[at] == key[at + lag]]
         if not len(at):
             break
-        near = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= threshold]
-        us.append(fp[near])
-        vs.append(fp[near + lag])
+        near = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= rule.threshold]
+        if marks.shape[1]:
+            m, n = marks[near], marks[near + lag]
+            apart = np.bitwise_count(m ^ n).sum(axis=1, dtype=np.int64)
+            near = near[(apart <= rule.mark_bits) | ~m.any(axis=1) | ~n.any(axis=1)]
+        us.append(node[near])
+        vs.append(node[near + lag])
         held += len(near)
-        if stars and held > 1_000_000:
+        if rule.stars and held > 1_000_000:
             u, v = _star(np.concatenate(us), np.concatenate(vs))
             us, vs, held = [u], [v], 0
         lag += 1
     if not us:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     u, v = np.concatenate(us), np.concatenate(vs)
-    return _star(u, v) if stars else (u, v)
+    return _star(u, v) if rule.stars else (u, v)
 
 
-def _compare(limit: int | None, threshold: int, stars: bool):
+def _compare(limit: int | None, rule: Rule):
     """Over rows sorted by key: links of each run of at most `limit` rows, and the rows of longer runs as they are."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(hot, key, u, v):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(key), hot)), pa.array(key), pa.array(u.view(np.int64)), pa.array(v.view(np.int64))],
-                ["hot", "anchor", "u", "v"])
+        def out(hot, key, u, v, more):
+            columns = [pa.array(np.full(len(key), hot)), pa.array(key), pa.array(u.view(np.int64)), pa.array(v.view(np.int64))]
+            columns += [pa.nulls(len(key), pa.int64()) if more is None else pa.array(more[:, k].view(np.int64)) for k in range(len(rule.columns) - 1)]
+            return pa.RecordBatch.from_arrays(columns, ["hot", "anchor", "u", "v", *rule.columns[1:]])
+
+        def long(key, table):
+            return out(True, key, table[:, 0], table[:, 0], table[:, 1:])
 
-        def work(key, fp):
+        def work(key, table):
             if limit is not None:
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 size = np.repeat(np.diff(np.concatenate((first, [len(key)]))), np.diff(np.concatenate((first, [len(key)]))))
                 big = size > limit
                 if big.any():
-                    yield out(True, key[big], fp[big], fp[big])
-                    key, fp = key[~big], fp[~big]
-            u, v = _links(key, fp, threshold, stars)
+                    yield long(key[big], table[big])
+                    key, table = key[~big], table[~big]
+            u, v = _links(key, table, rule)
             if len(u):
-                yield out(False, np.zeros(len(u), np.int64), u, v)
+                yield out(False, np.zeros(len(u), np.int64), u, v, None)
 
-        key, fp, hot = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+        key, table, hot = np.zeros(0, np.int64), np.zeros((0, len(rule.columns)), np.uint64), None
         for b in batches:
             key = np.concatenate((key, b.column("anchor").to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((fp, b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)))
+            table = np.concatenate((table, _table(b, rule.columns)))
             if hot is not None and len(key):  # a run already known to be too long goes out as it comes
                 more = int(np.searchsorted(key != hot, True))
                 if more:
-                    yield out(True, key[:more], fp[:more], fp[:more])
-                    key, fp = key[more:], fp[more:]
+                    yield long(key[:more], table[:more])
+                    key, table = key[more:], table[more:]
                 hot = None if len(key) else hot
             if not len(key):
                 continue
             last = int(np.flatnonzero(key == key[-1])[0])
-            yield from work(key[:last], fp[:last])
-            key, fp = key[last:], fp[last:]
+            yield from work(key[:last], table[:last])
+            key, table = key[last:], table[last:]
             if limit is not None and len(key) > limit:
                 hot = int(key[0])
-                yield out(True, key, fp, fp)
-                key, fp = key[:0], fp[:0]
-        yield from work(key, fp)
+                yield long(key, table)
+                key, table = key[:0], table[:0]
+        yield from work(key, table)
     return task
 
 
 _FOUND = "hot boolean, anchor bigint, u bigint, v bigint"
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD, run: int = RUN, stars: bool = True) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = THRESHOLD, run: int = RUN, stars: bool = True, mark_bits: int = 0) -> DataFrame:
     """`fp` (distinct) -> edges `u`, `v` whose components are those of all links of at most `threshold` bits; or, without
-    `stars`, every link, some of them more than once."""
+    `stars`, every link, some of them more than once. Columns that may follow: `id` (bigint; `fp` needn't be distinct then), which
+    edges name instead of `fp`, and mark columns (bigint, named mark...): rows are linked only if their marks, together, differ
+    in at most `mark_bits` bits, or all marks of one of them are 0."""
     if threshold > THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
-    spread = distinct.select("fp").mapInArrow(returning(_replicas), "anchor bigint, fp bigint")
-    found = stored(spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(returning(_compare(run, threshold, stars)), _FOUND), "links")
-    members = found.where("hot").select("anchor", F.col("u").alias("fp"))
+    named = "id" in distinct.columns
+    rule = Rule(threshold, stars, ["fp", *["id"] * named, *sorted(c for c in distinct.columns if c.startswith("mark"))], int(named), mark_bits)
+    more = "".join(f", {c} bigint" for c in rule.columns[1:])
+    spread = distinct.select(*rule.columns).mapInArrow(returning(_replicas(rule.columns)), "anchor bigint, fp bigint" + more)
+    found = stored(spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(returning(_compare(run, rule)), _FOUND + more), "links")
+    members = found.where("hot").select("anchor", F.col("u").alias("fp"), *rule.columns[1:])
     size = members.groupBy("anchor").agg(F.count("*").alias("m"))
     dealt = (members.join(size, "anchor").withColumn("k", F.ceil(F.col("m") / F.lit(run)).cast("int"))
-             .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+             .withColumn("c", F.pmod(F.xxhash64(rule.columns[rule.node]), F.col("k")).cast("int"))
              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-             .select(F.xxhash64("anchor", F.least("c", "o"), F.greatest("c", "o")).alias("anchor"), "fp"))
-    crowded = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(returning(_compare(None, threshold, stars)), _FOUND)
+             .select(F.xxhash64("anchor", F.least("c", "o"), F.greatest("c", "o")).alias("anchor"), *rule.columns))
+    crowded = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(returning(_compare(None, rule)), _FOUND + more)
     return found.where("not hot").select("u", "v").union(crowded.select("u", "v"))
 
 

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from filmroll.llm import exact_dedup, similar
+from filmroll.llm import exact_dedup, simhash, similar
 from filmroll.llm.common import without
 
 SCHEMA = "doc_id long, text string, fp string, kind int, text_hash string"
@@ -76,3 +76,51 @@ def test_recall_against_all_pairs(spark, documents):
     caught = sum(a in got or b in got for a, b in near) / len(near)
     assert caught >= 0.9, caught
     assert got <= {d for p in near for d in p}  # nothing else goes
+
+
+def test_unlike_texts_with_equal_fingerprints_are_not_compared_in_pairs(spark, monkeypatch):
+    """60 texts of the same words in other orders, of which two have a near copy: comparisons grow with the texts, not their pairs."""
+    words, compared = text(8), []
+    similar_pairs = similar._similar
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return similar_pairs(pairs, *more)
+
+    monkeypatch.setattr(similar, "_similar", counted)
+    rows = [(i, random.Random(i).sample(words, len(words))) for i in range(60)]
+    rows += [(100 + i, edited(rows[i][1], 90).split()) for i in (7, 31)]
+    assert len({similar.word_prints(" ".join(w))[0] for _, w in rows[:60]}) == 1
+    assert dropped(spark, [(i, " ".join(w)) for i, w in rows]) == {(107, 7), (131, 31)}
+    assert sum(compared) < 3 * len(rows)
+
+
+def test_marks_of_similar_texts_are_near():
+    rnd, apart = random.Random(9), []
+    for seed in range(300):
+        words = text(seed, rnd.randrange(12, 400))
+        a, b = similar.shingles(" ".join(words)), similar.shingles(edited(words, *rnd.sample(range(len(words)), max(1, len(words) // 50))))
+        x, y, z = similar.mark(a, similar.WIDE), similar.mark(b, similar.WIDE), similar.mark(similar.shingles(" ".join(text(seed + 1000))), similar.WIDE)
+        bits = lambda u, v, n: sum(int(p ^ q).bit_count() for p, q in zip(u[:n], v[:n]))
+        assert (similar.mark(a)[0] == x[0]) and bits(x, z, similar.WIDE) > similar.WIDE_BITS
+        if similar.jaccard(a, b) >= similar.LEAST:
+            apart.append((bits(x, y, 1) <= similar.MARK_BITS, bits(x, y, similar.WIDE) <= similar.WIDE_BITS))
+    assert len(apart) > 200 and all(p and q for p, q in apart)
+
+
+@pytest.mark.parametrize("run", [512, 3])
+def test_links_by_id_and_marks_are_all_found(spark, run):
+    rnd = random.Random(10)
+    rows = []
+    for base in (rnd.getrandbits(64) for _ in range(6)):
+        for _ in range(8):
+            fp, mark = base, [rnd.getrandbits(64) for _ in range(2)] if rnd.random() < 0.3 else [base, base]
+            for _ in range(rnd.randrange(4)):
+                fp ^= 1 << rnd.randrange(64)
+            rows.append((fp, len(rows), *(mark if rnd.random() < 0.9 else [0, 0])))
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    df = spark.createDataFrame([tuple(map(signed, r)) for r in rows], "fp long, id long, mark0 long, mark1 long")
+    near = lambda a, b: not any(a[2:]) or not any(b[2:]) or (a[2] ^ b[2]).bit_count() + (a[3] ^ b[3]).bit_count() <= 20
+    want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if (a[0] ^ b[0]).bit_count() <= 4 and near(a, b)}
+    got = {(min(r.u, r.v), max(r.u, r.v)) for r in simhash.links(df, run=run, stars=False, mark_bits=20).collect()}
+    assert {p for p in got if p[0] != p[1]} == want and len(want) > 50
