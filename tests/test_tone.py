@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from filmroll.catalog import load
 from filmroll.catalog.tables import curve
 from filmroll.operators import pixels as px, tone
 from filmroll.functions.colour import pcs_to_working, rgb_to_xyz, working_to_srgb, AP1, ACES_WHITE
@@ -100,6 +101,22 @@ def test_curve_lookup_and_loading(spark):
         Curve.from_table(table.limit(1), 0.0, 2.0)
 
 
+def test_curve_lookup_of_values_without_place(spark):
+    loaded = Curve((0.25, 0.5, 1.0), 0.0, 2.0)
+    at = [(None,), (float("nan"),), (float("inf"),), (float("-inf"),), (2.0,), (-0.0,), (1.75,)]
+    got = [r.v for r in spark.createDataFrame(at, "t double").coalesce(1).select(loaded.lookup(F.col("t")).alias("v")).collect()]
+    assert got == [None, 1.0, 1.0, 0.25, 1.0, 0.25, 0.875]
+
+
+@pytest.mark.parametrize("name", ["plan_print_frames", "plan_develop_rolls", "px_srgb8"])
+def test_printing_is_compiled(spark, name):
+    """Java leaves methods of over 8,000 bytes uncompiled; the pixels of a print went through one of them."""
+    df = load().QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
 def test_srgb_grey_and_clipping(spark):
     df = spark.createDataFrame([(0, 0.18, 0.18, 0.18), (1, 100.0, 100.0, 100.0), (2, -1.0, -1.0, -1.0)], "x int, r double, g double, b double")
     got = {r.x: (r.r, r.g, r.b) for r in px.to_srgb8(df).collect()}
