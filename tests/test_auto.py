@@ -73,6 +73,18 @@ def test_bins_cut_inside_a_long_run_of_ties(spark, paths):
     assert [got[(i // 50, i % 50)] for i in range(len(rgb))] == list(reference_bins(rgb))
 
 
+def test_small_frames_are_moved_once_and_tasks_stay_small(spark, noisy, monkeypatch):
+    """Bins, medians and thresholds of a frame share one exchange, whose tasks grow in number with the rows."""
+    monkeypatch.setattr(auto, "TASK_ROWS", 100)
+    monkeypatch.setattr(auto, "materialize", lambda df, label: df)
+    rows = image(spark, noisy)
+    assert auto.density_bins(rows).rdd.getNumPartitions() == 20
+    found = auto.neutral_candidates(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count(" Join ") == 0 and plan.count("Sort [") == 2
+    assert found.count() == len(noisy) // 2 + 1
+
+
 def test_estimate_equals_numpy(spark, noisy, paths):
     row = auto.auto_estimate(image(spark, noisy)).first()
     wb, scale = reference_estimate(noisy)
