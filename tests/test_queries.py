@@ -50,3 +50,15 @@ def test_query(spark, duck, name):
     found = duck.execute(sql)
     want = rows([c[0] for c in found.description], found.fetchall())
     assert got == want
+
+
+def test_outcomes_of_more_than_a_thousand_rolls(spark, tmp_path):
+    """Rolls that have the number of another's double, which has other pixels and may have another calibration."""
+    con = duckdb.connect()
+    made = " UNION ALL ".join(f"SELECT * REPLACE (l_orderkey + {roll} * 5000 AS l_orderkey) FROM '{SF}/lineitem.parquet'" for roll in (0, 1, 2, 1000, 1001, 2002))
+    con.execute(f"COPY ({made}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    df = entry.queries()["plan_outcomes"](spark, str(tmp_path))
+    found = con.execute(entry.oracle_sql()["plan_outcomes"])
+    want = rows([c[0] for c in found.description], found.fetchall())
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == want
