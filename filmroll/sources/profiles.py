@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from itertools import batched
 from urllib.parse import quote
 
-from pyarrow.fs import FileSystem, FileType
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,32 +30,141 @@ BODY = ("white_balance", "density_scale", "film_stock", "process", "scanner", "c
 
 
 WRITTEN = "file="
+HIDDEN = r"^\.|^_(?!metadata|common_metadata)[^=]*$|\._COPYING_$"  # as Spark's readers have it
 
 
 def read_profiles(spark: SparkSession, glob: str) -> DataFrame:
-    """Every profile file under `glob`, hidden ones aside; or those that `write_profiles` wrote."""
-    found = spark.read.option("recursiveFileLookup", "true").text(glob, wholetext=True)
-    name = base_name(F.col("_metadata.file_path"))
-    written = F.url_decode(F.url_decode(F.substring(name, len(WRITTEN) + 1, 1 << 16)))  # the path of a file comes encoded once more
-    files = found.select(F.when(name.startswith(WRITTEN), written).otherwise(name).alias("file"), F.col("value").alias("text"))
-    return parse_profiles(files.where(~F.col("file").startswith(".")))
+    """Every profile file under `glob` (a path whose names may have `*`, `?`, `[a-z]` and `{a,b}`), hidden ones aside; or those that
+    `write_profiles` wrote. Tasks list the folders and read the files, so that the driver knows of no file. Only in a store that
+    pyarrow can't open it's Spark that lists them, in the driver."""
+    try:
+        base, parts = _parted(_absolute(spark, glob))
+        _opened(base)
+    except (pa.ArrowException, OSError):
+        found = spark.read.option("recursiveFileLookup", "true").text(glob, wholetext=True)
+        named = F.url_decode(F.replace(base_name(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
+        return parse_profiles(_named(found.select(named.alias("name"), F.col("value").alias("text"))))
+    read = _files(spark, base, parts).repartition(_tasks(spark), "path").mapInArrow(partial(_read, base), "path string, content binary")
+    return parse_profiles(_named(read.select(base_name(F.col("path")).alias("name"), F.col("content").cast("string").alias("text"))))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    name = F.col("name")
+    written = F.coalesce(F.try_url_decode(F.substring(name, len(WRITTEN) + 1, 1 << 16)), name)
+    return found.select(F.when(name.startswith(WRITTEN), written).otherwise(name).alias("file"), "text").where(~F.col("file").startswith("."))
+
+
+def _parted(glob: str) -> tuple[str, list[str]]:
+    """The folder or file that a glob starts from, and a pattern for each name below it."""
+    names = glob.rstrip("/").split("/")
+    first = next((i for i, name in enumerate(names) if re.search(r"[*?\[{\\]", name)), len(names))
+    return "/".join(names[:first]) or "/", [_pattern(name) for name in names[first:]]
+
+
+def _pattern(name: str) -> str:
+    """A name of a glob as a regular expression."""
+    out, nested = "", 0
+    for t in re.findall(r"\\.|\[[^\]]+\]|.", name):
+        nested += (t == "{") - (t == "}")
+        out += {"*": ".*", "?": ".", "{": "(?:", "}": ")"}.get(t) or (
+            "|" if t == "," and nested else t.replace("[!", "[^") if len(t) > 2 else re.escape(t[-1]))
+    return f"(?s)^{out}$"
+
+
+def _files(spark: SparkSession, base: str, parts: list[str]) -> DataFrame:
+    """path of every file, found a level of folders at a time. Only a level's being empty is told to the driver."""
+    fs, root = _opened(base)
+    kind = fs.get_file_info(root).type
+    level = spark.createDataFrame([(root,)], "path string")
+    if kind == FileType.File and not parts:
+        return level
+    if kind != FileType.Directory:
+        raise FileNotFoundError(base)
+    found = []
+    while not level.isEmpty():
+        listed = level.repartition(_tasks(spark)).mapInArrow(partial(_list, base), "path string, is_dir boolean")
+        name, depth = base_name(F.col("path")), len(found)
+        if depth < len(parts):  # a folder that is asked for may be hidden, and a file is one when all of the glob is used
+            listed = listed.where(name.rlike(parts[depth]) & (F.col("is_dir") | (F.lit(depth + 1 == len(parts)) & ~name.rlike(HIDDEN))))
+        else:
+            listed = listed.where(~name.rlike(HIDDEN))
+        listed = materialize(listed, "listed")
+        if depth < len(parts) and listed.isEmpty():
+            raise FileNotFoundError(f"nothing in {base} is like {parts}")
+        found.append(listed.where("NOT is_dir").select("path"))
+        level = listed.where("is_dir").select("path")
+    return reduce(DataFrame.union, found)
+
+
+def _entries(fs: FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    if isinstance(fs, LocalFileSystem):  # one by one, also in a folder of very many
+        with os.scandir(folder) as found:
+            yield from ((e.path, e.is_dir()) for e in found if e.is_dir() or e.is_file())  # a link may lead nowhere
+    else:
+        yield from ((e.path, e.type == FileType.Directory) for e in fs.get_file_info(FileSelector(folder)))
+
+
+def _list(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fs, _ = _opened(base)
+    for b in batches:
+        for folder in b.column("path").to_pylist():
+            for some in batched(_entries(fs, folder), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.bool_()))], ["path", "is_dir"])
+
+
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+
+
+def _read(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fs, _ = _opened(base)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    paths, contents, held = [], [], 0
+    for b in batches:
+        for path in b.column("path").to_pylist():
+            with fs.open_input_stream(path) as file:
+                content = file.read()
+            paths.append(path)
+            contents.append(content)
+            held += len(content)
+            if len(paths) == BATCH_ROWS or held > BATCH_BYTES:
+                yield out()
+                paths, contents, held = [], [], 0
+    if paths:
+        yield out()
 
 
 def write_profiles(files: DataFrame, path: str) -> None:
     """(file, text) as a file per profile, as `read_profiles` takes them, in folders by hash. Tasks write them straight to the shared
     folder: Spark's own writer makes a folder and starts two processes for each. A task that is run again writes the same files."""
+    path = _absolute(files.sparkSession, path)
     fs, root = _opened(path)
     if fs.get_file_info(root).type != FileType.NotFound:
         raise FileExistsError(f"{path} holds profiles already")
     fs.create_dir(root)
-    files.select("file", "text", F.pmod(F.xxhash64("file"), F.lit(FOLDERS)).alias("folder")).foreachPartition(partial(_write, path))
+    rows = files.select("file", "text", F.pmod(F.xxhash64("file"), F.lit(FOLDERS)).alias("folder"))
+    rows.repartition(_tasks(files.sparkSession), "folder").foreachPartition(partial(_write, path))
 
 
 FOLDERS = 256
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _absolute(spark: SparkSession, path: str) -> str:
+    """A path of this machine as it is, others with their store, which is Spark's own where none is told."""
+    store = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:/"
+    if path.startswith("/") and not store.startswith("file:"):
+        return store.rstrip("/") + path
+    return re.sub(r"^file:(//)?(?=/)", "", path)
+
+
 def _opened(path: str) -> tuple[FileSystem, str]:
-    return FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+    return (LocalFileSystem(), path) if path.startswith("/") else FileSystem.from_uri(path)
 
 
 def _write(path: str, rows: Iterator[Row]) -> None:

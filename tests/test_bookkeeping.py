@@ -293,3 +293,30 @@ def test_profile_files_share_folders(spark, tmp_path):
     assert sorted(r.file for r in pf.read_profiles(spark, str(tmp_path / "p")).collect()) == sorted(n.removesuffix(".json") for n in names)
     with pytest.raises(FileExistsError):
         pf.write_profiles(spark.createDataFrame([], "file string, text string"), str(tmp_path / "p"))
+
+
+def test_profile_files_are_listed_by_tasks(spark, tmp_path):
+    """Plans that name each file fill the driver's memory."""
+    pf.write_profiles(spark.createDataFrame([(f"P{i}.json", "[" if i else "") for i in range(400)], "file string, text string"), str(tmp_path / "p"))
+    found = pf.read_profiles(spark, str(tmp_path / "p"))
+    assert len(found.inputFiles()) < 100
+    assert {r.file: r.problem for r in found.collect()} == {f"P{i}": "unreadable: not JSON" for i in range(400)}  # the empty one too
+
+
+@pytest.mark.parametrize("glob", ["", "/a/x1.json", "/{a,b c}/x*", "/[!a]*", "/*/deep", "/.*", "/*/x[12].json", r"/a/w\*.json"])
+def test_profile_globs_are_those_of_spark(spark, tmp_path, glob):
+    for name in ("top.json", "a/x1.json", "a/x2.json", "a/x10.json", "a/.h.json", "a/_h.json", "a/_h=.json", "a/w*.json", "b c/x+1 %41.json", "b c/deep/x1.json", "a/_tmp/y.json", "a/.g/z.json", ".kept/k.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps({"white_balance": [1, 1, 1], "density_scale": [1, 1, 1], "notes": name}))
+    mine = sorted(r.notes for r in pf.read_profiles(spark, f"{tmp_path}{glob}").collect())
+    assert mine == sorted(json.loads(r.value)["notes"] for r in spark.read.option("recursiveFileLookup", "true").text(f"{tmp_path}{glob}", wholetext=True).collect())
+
+
+def test_profile_globs_without_a_match(spark, tmp_path):
+    (tmp_path / "b c").mkdir()
+    (tmp_path / "b c" / "x+1 %41.json").write_text("{")
+    assert [r.file for r in pf.read_profiles(spark, str(tmp_path)).collect()] == ["x+1 %41"]
+    assert pf.read_profiles(spark, str(tmp_path / "b c" / "*")).count() == 1
+    for none in ("none", "*.json", "b c/y*", "b c/*/y", "none/*"):
+        with pytest.raises(FileNotFoundError):
+            pf.read_profiles(spark, str(tmp_path / none))
