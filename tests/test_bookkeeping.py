@@ -320,3 +320,15 @@ def test_profile_globs_without_a_match(spark, tmp_path):
     for none in ("none", "*.json", "b c/y*", "b c/*/y", "none/*"):
         with pytest.raises(FileNotFoundError):
             pf.read_profiles(spark, str(tmp_path / none))
+
+
+def test_profiles_in_a_store_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    names = ["a+b.json", "50%.json", "b c.json", "_d.json"]
+    pf.write_profiles(spark.createDataFrame([(n, "{") for n in names], "file string, text string"), str(tmp_path / "p"))
+    (tmp_path / "p" / "x+1 %41.json").write_text("{")
+
+    def refused(path):
+        raise pf.pa.ArrowInvalid(path)
+
+    monkeypatch.setattr(pf, "_opened", refused)
+    assert {r.file for r in pf.read_profiles(spark, str(tmp_path / "p")).collect()} == {"a+b", "50%", "b c", "_d", "x+1 %41"}
